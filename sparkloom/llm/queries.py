@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import pii, secrets
+from sparkloom.llm import encodings, pii, secrets
 from sparkloom.session import table
 
 # --- 5: personal information -----------------------------------------------------------------------
@@ -59,7 +59,25 @@ def p7_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("trigram").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
+# --- 10: wrong character encoding -----------------------------------------------------------------------
+
+
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_key"), "text")
+    return encodings.repair_texts(d).withColumnRenamed("row_key", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir).where("state <> 'clean'").select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir).where("state <> 'clean'")
+
+
 QUERIES = {
+    "p10_found": (p10_found, None),
+    "p10_restored": (p10_restored, None),
     "p5_found": (p5_found, None),
     "p5_redacted": (p5_redacted, None),
     "p7_found": (p7_found, None),
