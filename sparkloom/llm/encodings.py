@@ -144,7 +144,7 @@ def _cyrillic(line: str) -> tuple[str, str]:
     best = None
     for codec in ("cp1251", "koi8_r"):
         fixed = high.sub(lambda m, c=codec: _reread(m[0], c), line)
-        odd = len(INVERTED.findall(fixed)) + len(re.findall("[а-яё][А-ЯЁ]", fixed)) + len(re.findall("[^\W\d_Ѐ-ӿ][Ѐ-ӿ]", fixed))
+        odd = len(INVERTED.findall(fixed)) + len(re.findall("[а-яё][А-ЯЁ]", fixed)) + len(re.findall(r"[^\W\d_Ѐ-ӿ][Ѐ-ӿ]", fixed))
         if best is None or odd < best[0]:
             best = (odd, fixed, codec)
     return best[1], best[2]

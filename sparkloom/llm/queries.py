@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import encodings, pii, secrets
-from sparkloom.session import table
+from sparkloom.llm import encodings, mixing, packing, pii, secrets, tokens
+from sparkloom.session import table, written
 
 # --- 5: personal information -----------------------------------------------------------------------
 
@@ -59,6 +59,39 @@ def p7_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("trigram").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
+# --- 8: filling containers -------------------------------------------------------------------------------
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_key"), "text")
+    return packing.pack(written(tokens.token_sizes(d), "tokens"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).withColumnRenamed("row_key", "doc_id")
+
+
+def p8_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.filling(_packed(spark, sf_dir))
+
+
+# --- 9: mixing sources -----------------------------------------------------------------------------------
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_key"), "source", F.md5("text").alias("text_key"), "text")
+    sized = written(tokens.token_sizes(d, keep=("source", "text_key")), "tokens")
+    return mixing.mix(sized, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).withColumnRenamed("row_key", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 # --- 10: wrong character encoding -----------------------------------------------------------------------
 
 
@@ -76,6 +109,10 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p8_packed": (p8_packed, None),
+    "p8_filling": (p8_filling, None),
+    "p9_mixed": (p9_mixed, None),
+    "p9_shares": (p9_shares, None),
     "p10_found": (p10_found, None),
     "p10_restored": (p10_restored, None),
     "p5_found": (p5_found, None),
