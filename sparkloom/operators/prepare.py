@@ -368,10 +368,15 @@ def simplify(df, p):
 MARKERS = {"en": "the and of to is that with for are this", "fr": "le la les des et est une dans pour que", "de": "der die das und ist nicht ein mit für von", "es": "el los las que una por con para está del", "pt": "não uma que com para os do da em são", "it": "il che di una per con non sono gli della", "ru": "и в не на что с по для это как"}
 
 
+def _one_of(words: list) -> Callable[[Column], Column]:
+    """Membership as a function of one argument, as higher-order functions count arguments."""
+    return lambda w: w.isin(words)
+
+
 @processor("LanguageDetector")
 def detect_language(df, p):
     words = F.split(F.lower(col(p["column"])), r"[^\p{L}]+")
-    score = [F.struct(F.size(F.filter(words, lambda w, m=m: w.isin(m.split()))).alias("n"), F.lit(k).alias("k")) for k, m in sorted(MARKERS.items(), reverse=True)]
+    score = [F.struct(F.size(F.filter(words, _one_of(m.split()))).alias("n"), F.lit(k).alias("k")) for k, m in sorted(MARKERS.items(), reverse=True)]
     best = F.array_max(F.array(*score))
     return put(df, out(p, p["column"] + "_language"), F.when(best["n"] > 0, best["k"]))
 
@@ -460,7 +465,8 @@ def text_chunks(df, p):
 
         return s.map(one)
 
-    return df.select("*", F.posexplode_outer(cut(col(p["column"]))).alias(p.get("indexColumn", "chunk_index"), out(p, p["column"] + "_chunk")))
+    index, chunk = p.get("indexColumn", "chunk_index"), out(p, p["column"] + "_chunk")
+    return df.select(*[quoted(c) for c in df.columns if c not in (index, chunk)], F.posexplode_outer(cut(col(p["column"]))).alias(index, chunk))
 
 
 # --- identifiers on the net ------------------------------------------------------------------------------
@@ -993,7 +999,7 @@ def unfold(df, p):
     if p.get("dummify"):
         values = p.get("values") or modes.distinct_values(df.select(F.explode(_array(df, p["column"])).alias("v")) if p.get("array") else df.select(col(p["column"]).alias("v")), "v")
         arr = _array(df, p["column"]) if p.get("array") else F.array(col(p["column"]))
-        return df.withColumns({f"{p['column']}_{modes.slug(v)}": F.nullif(F.size(F.filter(arr, lambda x, v=v: x == F.lit(v))), F.lit(0)) for v in values})
+        return df.withColumns({f"{p['column']}_{modes.slug(v)}": F.nullif(F.size(F.filter(arr, _one_of([v]))), F.lit(0)) for v in values})
     return df.withColumn(out(p), F.explode_outer(_array(df, p["column"])))
 
 
@@ -1026,7 +1032,8 @@ def nest(df, p):
 @processor("FoldObject")
 def fold_object(df, p):
     m = F.from_json(col(p["column"]), "map<string,string>")
-    return df.select(*[quoted(c) for c in df.columns if c != p["column"]], F.explode_outer(m).alias(p.get("keyColumn", "key"), p.get("valueColumn", "value")))
+    key, value = p.get("keyColumn", "key"), p.get("valueColumn", "value")
+    return df.select(*[quoted(c) for c in df.columns if c not in (p["column"], key, value)], F.explode_outer(m).alias(key, value))
 
 
 @processor("FoldMultipleColumns")
