@@ -12,7 +12,6 @@ and identity numbers and street addresses disclose by their form.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -157,11 +156,11 @@ def disclosing(counts: DataFrame, parts: dict[str, str]) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("place") == "given", F.col("n"))), F.lit(0)).alias("given"),
         F.coalesce(F.sum(F.when(F.col("place") == "family", F.col("n"))), F.lit(0)).alias("family"),
     )
-    base = counts.agg((F.sum(F.when(F.col("place") != "", F.col("n"))) / total).alias("base"))
+    base = float(counts.agg((F.sum(F.when(F.col("place") != "", F.col("n"))) / total).alias("base")).first()[0] or 0.0)
     kind = F.when(F.col("given") > F.col("family"), "given").otherwise("family")
     beside = F.greatest("given", "family")
-    scored = per_term.where(beside >= MIN_SEEN).crossJoin(F.broadcast(base)).withColumn("part_kind", kind).withColumn("share", F.least(F.lit(1.0), beside / F.greatest("n", beside)))
-    scored = scored.withColumn("bits", F.log2(F.col("share") / F.greatest(F.col("base"), F.lit(1e-12))))
+    scored = per_term.where(beside >= MIN_SEEN).withColumn("part_kind", kind).withColumn("share", F.least(F.lit(1.0), beside / F.greatest("n", beside)))
+    scored = scored.withColumn("bits", F.log2(F.col("share") / F.lit(max(base, 1e-12))))
     return scored.where((F.col("share") >= DISCLOSURE) & (F.col("bits") >= MIN_BITS) & (F.length("term") >= 3)).select("term", "part_kind", "share", "bits")
 
 
@@ -328,8 +327,3 @@ def redact_pii(texts: DataFrame, parts: dict[str, str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["row_key", "field_name", "redacted", "n_found"])
 
     return texts.select("row_key", "field_name", "text").mapInPandas(run, "row_key bigint, field_name string, redacted string, n_found int")
-
-
-def information(share: float, base: float) -> float:
-    """Bits that a term gives on a name beside it."""
-    return math.log2(share / base)
