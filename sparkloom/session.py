@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,21 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in DEFAULTS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python workers find it
+    wherever they run. The archive is served by the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_sparkloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="sparkloom-"), "sparkloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("sparkloom", os.path.relpath(full, here)))
+    context.addPyFile(archive)
+    context._sparkloom_shipped = True
