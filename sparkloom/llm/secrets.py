@@ -77,7 +77,12 @@ def is_secret(value: str, how: str) -> bool:
             return True
         if len(value) < 8 or not (digit or (upper and lower)) or not (upper or lower):
             return False
-        return bool(re.search(r"[!*#%?+]$", value)) or len(value) >= 16 and (digit + upper + lower >= 2) and not re.search(r"[.(]\w+$", value) or _basic(value)
+        if re.search(r"[!*#%?+]$", value) or _basic(value):
+            return True
+        if len(value) < 16 or not (upper and lower) or re.search(r"[.(]\w+$", value):
+            return False
+        changes = sum(a.isupper() != b.isupper() for a, b in zip(value, value[1:], strict=False))
+        return digit or changes >= 0.4 * len(value)  # names in camel case change less than chance
     if not (digit or (upper and lower) or re.search(r"[!#%?+]$", value)):
         return False
     if how == "place":
@@ -144,8 +149,8 @@ def verify(text: str, start: int, end: int, kinds: list[str]) -> list[tuple[int,
                     m = rule.search(text, m.start())
                     b = m.end("v")
                 a = m.start()
-            elif kind in ("quoted", "single_letter"):
-                while piece := PIECES.match(text, b):
+            elif kind in ("quoted", "single_letter", "token"):
+                while (piece := PIECES.match(text, b)) and (kind != "token" or "\n" in text[b : piece.start(1)]):
                     b = piece.end(1)
             spans.append((a, b, kind))
     spans.sort(key=lambda s: (s[0], -s[1]))
