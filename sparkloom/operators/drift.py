@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.nested import as_text, json_kind, opened
+from sparkloom.session import written
 
 PARSED = "series string, file_seq bigint, row_id bigint, readable boolean, vals map<string,string>, kinds map<string,string>, leaves map<string,array<bigint>>"
 #: Least share of the smaller value set that two fields must have in common to be one renamed field.
@@ -128,10 +129,11 @@ def changes(parsed: DataFrame) -> DataFrame:
     ``added`` (old field empty), ``removed`` (new field empty), ``renamed`` (the new field carries
     on the values of the vanished one) and ``type_changed``. The first file of a series changes
     nothing. Files are those with at least one line in the table. All steps are joins on series and
-    file; nothing is compared across series.
+    file; nothing is compared across series. Types, values and renames by file are written once, as
+    each is read by several of these joins.
     """
-    types = file_types(parsed)
-    values = file_values(parsed)
+    types = written(file_types(parsed), "drift-types")
+    values = written(file_values(parsed), "drift-values")
     files = parsed.select("series", "file_seq").distinct().withColumn("prev_seq", F.lag("file_seq").over(Window.partitionBy("series").orderBy("file_seq")))
     steps = files.where(F.col("prev_seq").isNotNull())
     now = types.join(steps, ["series", "file_seq"]).select("series", "file_seq", "prev_seq", "field", F.col("kind").alias("kind_now"))
@@ -139,7 +141,7 @@ def changes(parsed: DataFrame) -> DataFrame:
     both = now.withColumn("has_now", F.lit(True)).join(before.withColumn("has_before", F.lit(True)), ["series", "file_seq", "prev_seq", "field"], "full")
     gone = both.where("has_now is null").select("series", "file_seq", "prev_seq", "field")
     new = both.where("has_before is null").select("series", "file_seq", "field")
-    moved = _renamed(gone, new, values)
+    moved = written(_renamed(gone, new, values), "drift-renames")
     key = ["series", "file_seq"]
     added = new.withColumnRenamed("field", "new_field").join(moved, [*key, "new_field"], "left_anti").select(*key, F.lit("added").alias("change_kind"), F.lit("").alias("old_field"), "new_field")
     removed = gone.withColumnRenamed("field", "old_field").join(moved, [*key, "old_field"], "left_anti").select(*key, F.lit("removed").alias("change_kind"), "old_field", F.lit("").alias("new_field"))
