@@ -3,6 +3,7 @@
 Links are rows ``(grp, child, parent, weight, prio)``; a row with a null parent only says that the
 node exists. The links of a group are read as a directed graph. Each node has one primary parent,
 that of the least ``(prio, parent)``; the primary links form the forest whose paths are returned.
+Descendants are counted and listed over all links, not over primary links alone.
 
 Groups of up to ``bound`` links are solved inside one partition, many groups to a partition and one
 group in memory at a time. Larger groups are spread over salted partitions: partition-local weighted
@@ -12,7 +13,8 @@ each round, so that no group is ever collected into one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,9 +24,14 @@ from sparkloom.session import cut
 
 #: Links of one group that a single task may hold.
 GROUP_BOUND = 200_000
+#: Links of one group whose pairs a single task may list; they can be as many as its square.
+PAIRS_BOUND = 20_000
+#: Nodes whose ancestors are counted at a time: bits held for each node of a group.
+BLOCK = 2048
 #: First character of nodes that connect others but are no part of paths and results.
 HIDDEN = "\u0001"
 NODES = "grp string, node string, parent string, root string, depth bigint, path array<string>, state string, n_descendants bigint"
+PAIRS = "grp string, ancestor string, descendant string, distance bigint"
 
 
 class OffsetForest:
@@ -55,14 +62,11 @@ class OffsetForest:
         return True
 
 
-def closed_nodes(links: list[tuple[str, str]]) -> set[str]:
-    """Nodes on a directed cycle, self-links included: strongly connected components, iteratively."""
+def components(links: list[tuple[str, str]]) -> Iterator[list[str]]:
+    """Strongly connected components, iteratively; each comes after all that lie above it."""
     out: dict[str, list[str]] = {}
-    closed = set()
     for child, parent in links:
         out.setdefault(child, []).append(parent)
-        if child == parent:
-            closed.add(child)
     order: dict[str, int] = {}
     low: dict[str, int] = {}
     stack: list[str] = []
@@ -98,12 +102,68 @@ def closed_nodes(links: list[tuple[str, str]]) -> set[str]:
                         members.append(x)
                         if x == node:
                             break
-                    if len(members) > 1:
-                        closed.update(members)
+                    yield members
+
+
+def closed_nodes(links: list[tuple[str, str]]) -> set[str]:
+    """Nodes on a directed cycle, self-links included."""
+    closed = {child for child, parent in links if child == parent}
+    for members in components(links):
+        if len(members) > 1:
+            closed.update(members)
     return closed
 
 
-def solve_group(grp: str, links: list[tuple]) -> Iterator[tuple]:
+def count_below(links: list[tuple[str, str]]) -> dict[str, int]:
+    """Number of other nodes that each node reaches downwards over all links.
+
+    The components are walked from below with one bit for each node reached, ``BLOCK`` nodes at a
+    time, so that memory follows the number of nodes and not that of pairs.
+    """
+    parts = list(components(links))
+    parts.reverse()
+    part_of = {n: i for i, members in enumerate(parts) for n in members}
+    under: list[set[int]] = [set() for _ in parts]
+    for child, parent in links:
+        if part_of[child] != part_of[parent]:
+            under[part_of[parent]].add(part_of[child])
+    shown = [n for members in parts for n in members if not n.startswith(HIDDEN)]
+    total = [0] * len(parts)
+    for start in range(0, len(shown), BLOCK):
+        bits = [0] * len(parts)
+        for k, n in enumerate(shown[start : start + BLOCK]):
+            bits[part_of[n]] |= 1 << k
+        for i, lower in enumerate(under):
+            for j in lower:
+                bits[i] |= bits[j]
+            total[i] += bits[i].bit_count()
+    return {n: total[part_of[n]] - 1 for n in shown}
+
+
+def reach_group(grp: str, links: list[tuple]) -> Iterator[tuple]:
+    """``(grp, ancestor, descendant, distance)`` over all links of one group that fits in memory."""
+    under: dict[str, list[str]] = {}
+    for child, parent, *_ in links:
+        if parent is not None:
+            under.setdefault(parent, []).append(child)
+    for start in under:
+        if start.startswith(HIDDEN):
+            continue
+        seen, edge, distance = {start}, [start], 0
+        while edge:
+            distance += 1
+            reached = []
+            while edge:
+                for n in under.get(edge.pop(), ()):
+                    if n not in seen:
+                        seen.add(n)
+                        (edge if n.startswith(HIDDEN) else reached).append(n)
+            for n in reached:
+                yield grp, start, n, distance
+            edge = reached
+
+
+def solve_group(grp: str, links: list[tuple], counts: bool = True) -> Iterator[tuple]:
     """Result rows of one group that fits in memory; ``links`` are (child, parent, weight, prio)."""
     primary: dict[str, tuple] = {}
     nodes: dict[str, None] = {}
@@ -119,20 +179,7 @@ def solve_group(grp: str, links: list[tuple]) -> Iterator[tuple]:
     closed = closed_nodes(pairs)
     forest = OffsetForest()
     broken = {c for c, (_, p, w) in primary.items() if not forest.link(c, p, w)}
-    children: dict[str, int] = {}
-    for c, (_, p, _) in primary.items():
-        children[p] = children.get(p, 0) + 1
-    # subtree sizes: peel leaves of the primary forest, so that every node comes before its parent
-    below = dict.fromkeys(nodes, 0)
-    leaves = [n for n in nodes if not children.get(n)]
-    while leaves:
-        n = leaves.pop()
-        if n in primary:
-            p = primary[n][1]
-            below[p] += below[n] + (not n.startswith(HIDDEN))
-            children[p] -= 1
-            if not children[p]:
-                leaves.append(p)
+    below = count_below(pairs) if counts else {}
     for n in nodes:
         if n.startswith(HIDDEN):
             continue
@@ -144,7 +191,7 @@ def solve_group(grp: str, links: list[tuple]) -> Iterator[tuple]:
         if up is not None and up.startswith(HIDDEN):
             up = None
         if n in closed or circles:
-            yield grp, n, up, None, None, None, "closed" if n in closed else "below_closed", below[n]
+            yield grp, n, up, None, None, None, "closed" if n in closed else "below_closed", below.get(n, 0) if counts else None
             continue
         path = []
         x: str | None = n
@@ -153,25 +200,24 @@ def solve_group(grp: str, links: list[tuple]) -> Iterator[tuple]:
                 path.append(x)
             x = primary[x][1] if x in primary else None
         path.reverse()
-        yield grp, n, up, path[0], len(path) - 1, path, "tree", below[n]
+        yield grp, n, up, path[0], len(path) - 1, path, "tree", below.get(n, 0) if counts else None
 
 
-def _solve_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["grp", "node", "parent", "root", "depth", "path", "state", "n_descendants"]
+def _solve_partition(batches: Iterator[pd.DataFrame], solve: Callable, schema: str) -> Iterator[pd.DataFrame]:
+    kinds = dict(x.split() for x in schema.split(", "))
     held: list[tuple] = []
     key = None
     out: list[tuple] = []
 
     def frame(rows):
-        df = pd.DataFrame(rows, columns=names)
-        df["depth"] = df["depth"].astype("Int64")
-        return df
+        df = pd.DataFrame(rows, columns=list(kinds))
+        return df.astype({c: "Int64" for c, kind in kinds.items() if kind == "bigint"})
 
     for batch in batches:
         for grp, child, parent, weight, prio in zip(*[batch[c] for c in ("grp", "child", "parent", "weight", "prio")], strict=True):
             if grp != key:
                 if held:
-                    for row in solve_group(key, held):
+                    for row in solve(key, held):
                         out.append(row)
                         if len(out) >= 5000:
                             yield frame(out)
@@ -179,7 +225,7 @@ def _solve_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held, key = [], grp
             held.append((child, parent, weight, prio))
     if held:
-        for row in solve_group(key, held):
+        for row in solve(key, held):
             out.append(row)
             if len(out) >= 5000:
                 yield frame(out)
@@ -270,7 +316,7 @@ def _closed_spread(links: DataFrame, bound: int) -> DataFrame:
     while core.limit(1).count():
         sizes = core.groupBy("grp").count()
         small = core.join(sizes.where(F.col("count") <= bound).select("grp"), "grp", "left_semi")
-        solved = _solve_small(small.select("grp", "child", "parent", F.lit(1).alias("weight"), F.lit("").alias("prio")))
+        solved = _solve_small(small.select("grp", "child", "parent", F.lit(1).alias("weight"), F.lit("").alias("prio")), functools.partial(solve_group, counts=False))
         found = found.unionByName(solved.where(F.col("state") == "closed").select("grp", "node"))
         core = cut(core.join(sizes.where(F.col("count") > bound).select("grp"), "grp", "left_semi"))
         if not core.limit(1).count():
@@ -307,12 +353,43 @@ def _closed_spread(links: DataFrame, bound: int) -> DataFrame:
     return found.distinct() if found is not None else spark.createDataFrame([], "grp string, node string")
 
 
-def _solve_small(links: DataFrame) -> DataFrame:
+def _solve_small(links: DataFrame, solve: Callable = solve_group, schema: str = NODES) -> DataFrame:
     sorted_links = links.select("grp", "child", "parent", "weight", "prio").repartition("grp").sortWithinPartitions("grp")
-    return sorted_links.mapInPandas(_solve_partition, NODES)
+    return sorted_links.mapInPandas(functools.partial(_solve_partition, solve=solve, schema=schema), schema)
+
 
+def _reach_spread(links: DataFrame) -> DataFrame:
+    """Pairs of groups too large for one task, any number of parents per child.
 
-def _solve_spread(links: DataFrame, single_parent: bool, bound: int) -> DataFrame:
+    After round k all pairs up to 2^k hops apart are there; those up to twice as far are a walk of
+    just 2^k hops and a pair known. Without a new pair in a round there are none farther apart.
+    """
+    real = cut(links.where(F.col("parent").isNotNull()).select("grp", F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
+    hidden = F.col("descendant").startswith(HIDDEN)
+    on = real.select("grp", F.col("ancestor").alias("mid"), "descendant")
+    hops = cut(real.where(~F.col("ancestor").startswith(HIDDEN)))
+    fresh = hops.where(hidden)
+    while fresh.limit(1).count():
+        fresh = fresh.select("grp", "ancestor", F.col("descendant").alias("mid")).join(on, ["grp", "mid"]).select("grp", "ancestor", "descendant").distinct()
+        fresh = cut(fresh.join(hops, ["grp", "ancestor", "descendant"], "left_anti"))
+        hops = cut(hops.unionByName(fresh))
+        fresh = fresh.where(hidden)
+    walks = hops.where(~hidden)
+    reach = cut(walks.withColumn("distance", F.lit(1).cast("bigint")))
+    length, before = 1, reach.count()
+    while before:
+        first = walks.select("grp", "ancestor", F.col("descendant").alias("mid"))
+        far = first.join(reach.withColumnRenamed("ancestor", "mid"), ["grp", "mid"]).select("grp", "ancestor", "descendant", (F.col("distance") + length).alias("distance"))
+        reach = cut(reach.unionByName(far).groupBy("grp", "ancestor", "descendant").agg(F.min("distance").alias("distance")))
+        now = reach.count()
+        if now == before:
+            break
+        walks = cut(first.join(walks.withColumnRenamed("ancestor", "mid"), ["grp", "mid"]).select("grp", "ancestor", "descendant").distinct())
+        length, before = 2 * length, now
+    return reach.where(F.col("ancestor") != F.col("descendant"))
+
+
+def _solve_spread(links: DataFrame, single_parent: bool, bound: int, counts: bool) -> DataFrame:
     links = cut(links)
     real = links.where(F.col("parent").isNotNull())
     best = Window.partitionBy("grp", "child").orderBy("prio", "parent")
@@ -346,33 +423,59 @@ def _solve_spread(links: DataFrame, single_parent: bool, bound: int) -> DataFram
         .withColumn("state", F.when(F.col("_closed"), "closed").when(F.col("_still"), "below_closed").otherwise("tree"))
     )
     full = cut(full.where(shown).select("grp", "node", F.when(F.col("state") == "tree", F.col("path")).alias("path"), "state"))
-    below = full.where("state = 'tree'").select("grp", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node")).groupBy("grp", "node").agg(F.count(F.lit(1)).alias("n_descendants"))
-    return full.join(below, ["grp", "node"], "left").select(
-        "grp", "node", F.try_element_at("path", F.lit(-2)).alias("parent"), F.try_element_at("path", F.lit(1)).alias("root"), (F.size("path") - 1).cast("bigint").alias("depth"), "path", "state", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants")
+    if counts:
+        below = _reach_spread(links).groupBy("grp", F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
+        full = full.join(below, ["grp", "node"], "left").withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)))
+    else:
+        full = full.withColumn("n_descendants", F.lit(None).cast("bigint"))
+    return full.select(
+        "grp", "node", F.try_element_at("path", F.lit(-2)).alias("parent"), F.try_element_at("path", F.lit(1)).alias("root"), (F.size("path") - 1).cast("bigint").alias("depth"), "path", "state", "n_descendants"
     )
 
 
-def hierarchy(links: DataFrame, single_parent: bool = False, bound: int = GROUP_BOUND) -> DataFrame:
+def _whole(links: DataFrame) -> DataFrame:
+    whole = links.select("grp", "child", "parent", F.col("weight").cast("int").alias("weight"), F.col("prio").cast("string").alias("prio"))
+    return whole.where(F.col("grp").isNotNull() & F.col("child").isNotNull()).fillna({"prio": "", "weight": 1}).distinct()
+
+
+def _large(whole: DataFrame, bound: int) -> DataFrame:
+    return cut(whole.groupBy("grp").count().where(F.col("count") > bound).select("grp"))
+
+
+def hierarchy(links: DataFrame, single_parent: bool = False, bound: int = GROUP_BOUND, counts: bool = True) -> DataFrame:
     """Full path, depth, root and number of descendants of each node, and closed chains.
 
     ``links``: ``grp, child, parent, weight, prio`` (strings but ``weight``). Rows without group or
     child refer to nothing and are left out; repeated rows count once. ``state`` is ``tree`` for
     nodes that lead up to a root, ``closed`` for nodes on a closed chain (a self-link included) and
     ``below_closed`` for nodes whose primary parents lead into one; the last two have no root, depth
-    and path. In groups solved by spreading, parent and number of descendants of such nodes are null
-    and counted along tree paths only. An empty table gives no rows.
+    and path. ``n_descendants`` is the number of other nodes reached downwards over all links,
+    whatever the state; it is null without ``counts``. In groups solved by spreading, the parent of
+    nodes on or below closed chains is null. An empty table gives no rows.
     """
-    whole = links.select("grp", "child", "parent", F.col("weight").cast("int").alias("weight"), F.col("prio").cast("string").alias("prio"))
-    whole = whole.where(F.col("grp").isNotNull() & F.col("child").isNotNull()).fillna({"prio": "", "weight": 1}).distinct()
-    sizes = whole.groupBy("grp").count()
-    large = cut(sizes.where(F.col("count") > bound).select("grp"))
+    whole = _whole(links)
+    large = _large(whole, bound)
+    solve = functools.partial(solve_group, counts=counts)
+    if not large.limit(1).count():
+        return _solve_small(whole, solve)
+    small = _solve_small(whole.join(large, "grp", "left_anti"), solve)
+    return small.unionByName(_solve_spread(whole.join(large, "grp", "left_semi"), single_parent, bound, counts))
+
+
+def reachable(links: DataFrame, bound: int = PAIRS_BOUND) -> DataFrame:
+    """``(grp, ancestor, descendant, distance)``: every other node that a node reaches downwards over
+    all links, any number of parents per child, on and below closed chains too. ``distance`` is the
+    least number of hops between shown nodes. ``links`` as in ``hierarchy``."""
+    whole = _whole(links)
+    large = _large(whole, bound)
     if not large.limit(1).count():
-        return _solve_small(whole)
-    small = _solve_small(whole.join(large, "grp", "left_anti"))
-    return small.unionByName(_solve_spread(whole.join(large, "grp", "left_semi"), single_parent, bound))
+        return _solve_small(whole, reach_group, PAIRS)
+    small = _solve_small(whole.join(large, "grp", "left_anti"), reach_group, PAIRS)
+    return small.unionByName(_reach_spread(whole.join(large, "grp", "left_semi")).select("grp", "ancestor", "descendant", "distance"))
 
 
 def descendants(nodes: DataFrame) -> DataFrame:
-    """``(grp, ancestor, descendant, distance)``: every node under every node, from the paths."""
+    """``(grp, ancestor, descendant, distance)``: every node under every node, from the
+    paths, so along primary links and outside closed chains only; ``reachable`` gives all."""
     up = nodes.where("state = 'tree'").select("grp", F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("_level", "ancestor"))
     return up.where(F.col("_level") < F.col("depth")).select("grp", "ancestor", "descendant", (F.col("depth") - F.col("_level")).alias("distance"))

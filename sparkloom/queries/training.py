@@ -80,14 +80,14 @@ def column_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("flow_id").alias("grp"), node("final_dataset", "column_name").alias("child"), node("origin_dataset", "origin_column").alias("parent"), F.lit(1).alias("weight"), F.lit("").alias("prio"))
 
 
-def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = hierarchy.hierarchy(dataset_links(spark, sf_dir)).withColumn("node_kind", F.lit("dataset"))
-    c = hierarchy.hierarchy(column_links(spark, sf_dir), single_parent=True).withColumn("node_kind", F.lit("column"))
+def _both(spark: SparkSession, sf_dir: str, counts: bool = True) -> DataFrame:
+    d = hierarchy.hierarchy(dataset_links(spark, sf_dir), counts=counts).withColumn("node_kind", F.lit("dataset"))
+    c = hierarchy.hierarchy(column_links(spark, sf_dir), single_parent=True, counts=counts).withColumn("node_kind", F.lit("column"))
     return d.unionByName(c)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(spark, sf_dir).where("state = 'closed'").select(F.col("grp").alias("flow_id"), "node_kind", F.col("node").alias("node_name")).distinct()
+    return _both(spark, sf_dir, counts=False).where("state = 'closed'").select(F.col("grp").alias("flow_id"), "node_kind", F.col("node").alias("node_name")).distinct()
 
 
 def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +96,18 @@ def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_column_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = hierarchy.descendants(hierarchy.hierarchy(column_links(spark, sf_dir), single_parent=True))
+    d = hierarchy.descendants(hierarchy.hierarchy(column_links(spark, sf_dir), single_parent=True, counts=False))
     return d.select(F.col("grp").alias("flow_id"), "ancestor", "descendant", F.col("distance").cast("bigint").alias("distance"))
 
 
+def _reachable(links: DataFrame) -> DataFrame:
+    return hierarchy.reachable(links).select(F.col("grp").alias("flow_id"), "ancestor", "descendant", "distance")
+
+
+def p2_dataset_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reachable(dataset_links(spark, sf_dir))
+
+
 P2_LINKS = r"""
 l AS (SELECT DISTINCT flow_id, lower(trim(i)) AS a, lower(trim(o)) AS b, 'dataset' AS k FROM (SELECT flow_id, unnest(inputs) AS i, outputs FROM recipes), unnest(outputs) AS t(o)
       UNION SELECT DISTINCT flow_id, lower(trim(origin_dataset)) || '.' || lower(trim(origin_column)), lower(trim(final_dataset)) || '.' || lower(trim(column_name)), 'column' FROM column_lineage WHERE origin_dataset IS NOT NULL)
@@ -115,6 +123,11 @@ tree AS (SELECT flow_id, descendant AS n FROM t),
 d AS (SELECT flow_id, n AS ancestor, n AS descendant, 0 AS distance FROM tree
       UNION ALL SELECT d.flow_id, d.ancestor, c.b, d.distance + 1 FROM d JOIN c ON c.flow_id = d.flow_id AND c.a = d.descendant)
 SELECT flow_id, ancestor, descendant, CAST(distance AS BIGINT) AS distance FROM d WHERE distance > 0"""
+P2_REACH_SQL = f"""WITH RECURSIVE {P2_LINKS}, c AS (SELECT flow_id, a, b FROM l WHERE k = '%s' AND flow_id IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
+reach(flow_id, ancestor, descendant, distance) USING KEY (flow_id, ancestor, descendant) AS (SELECT flow_id, a, b, 1 FROM c
+      UNION SELECT DISTINCT r.flow_id, r.ancestor, c.b, r.distance + 1 FROM reach r JOIN c ON c.flow_id = r.flow_id AND c.a = r.descendant
+      WHERE NOT EXISTS (SELECT 1 FROM recurring.reach q WHERE q.flow_id = r.flow_id AND q.ancestor = r.ancestor AND q.descendant = c.b))
+SELECT flow_id, ancestor, descendant, CAST(distance AS BIGINT) AS distance FROM reach WHERE ancestor <> descendant"""
 
 # --- 3: references to what does not exist ----------------------------------------------------------
 
@@ -250,6 +263,7 @@ QUERIES = {
     "p2_found": (p2_found, P2_FOUND_SQL),
     "p2_hierarchy": (p2_hierarchy, None),
     "p2_column_descendants": (p2_column_descendants, P2_DESC_SQL),
+    "p2_dataset_descendants": (p2_dataset_descendants, P2_REACH_SQL % "dataset"),
     "p3_found": (p3_found, P3_FOUND_SQL),
     "p3_counts": (p3_counts, P3_COUNTS_SQL),
     "p4_found": (p4_found, None),

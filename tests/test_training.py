@@ -74,6 +74,42 @@ def test_hierarchy_paths_cycles_and_spread_groups(spark):
     assert hierarchy.hierarchy(spark.createDataFrame([], LINKS)).count() == 0
 
 
+def brute_reach(links):
+    """Least hops between other nodes, hidden ones not counted, from (child, parent)."""
+    best = {}
+    for start in {n for link in links for n in link if not n.startswith(hierarchy.HIDDEN)}:
+        dist, todo = {start: 0}, [start]
+        while todo:
+            x = todo.pop()
+            for child, parent in links:
+                d = dist[x] + (not child.startswith(hierarchy.HIDDEN))
+                if parent == x and d < dist.get(child, 10**9):
+                    dist[child] = d
+                    todo.append(child)
+        best |= {(start, n): d for n, d in dist.items() if n != start and not n.startswith(hierarchy.HIDDEN)}
+    return best
+
+
+def test_descendants_over_all_links(spark, monkeypatch):
+    hub = hierarchy.HIDDEN
+    # recipe 1: a, b -> c; recipe 2: c, d -> e. b and d are second inputs
+    rows = [("g", hub + "1", "a", 0, "0"), ("g", hub + "1", "b", 0, "1"), ("g", "c", hub + "1", 1, ""), ("g", hub + "2", "c", 0, "0"), ("g", hub + "2", "d", 0, "1"), ("g", "e", hub + "2", 1, "")]
+    rng = random.Random(3)
+    for g in "xyz":
+        hubs = {hub + str(i): (rng.sample(range(14), 2), rng.sample(range(14), 2)) for i in range(9)}
+        rows += [(g, h, str(n), 0, str(k)) for h, (ins, _) in hubs.items() for k, n in enumerate(ins)] + [(g, str(n), h, 1, h) for h, (_, outs) in hubs.items() for n in outs]
+    df = spark.createDataFrame(rows, LINKS)
+    want = {(g, *pair): d for g in "gxyz" for pair, d in brute_reach([(c, p) for g2, c, p, _, _ in rows if g2 == g]).items()}
+    assert want["g", "b", "e"] == 2 and want["g", "d", "e"] == 1
+    monkeypatch.setattr(hierarchy, "BLOCK", 4)
+    for bound in (100, 8):
+        pairs = hierarchy.reachable(df, bound).collect()
+        assert {(r.grp, r.ancestor, r.descendant): r.distance for r in pairs} == want and len(pairs) == len(want)
+        counts = {(r.grp, r.node): r.n_descendants for r in hierarchy.hierarchy(df, bound=bound).collect()}
+        assert counts == {(g, n): sum(k[:2] == (g, n) for k in want) for g, n in counts} and counts["g", "b"] == 2
+    assert hierarchy.reachable(df.limit(0)).count() == 0
+
+
 def test_closed_nodes_of_many_parents_equal_reachability():
     rng = random.Random(9)
     for _ in range(40):
