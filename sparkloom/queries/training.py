@@ -92,7 +92,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _both(spark, sf_dir)
-    return h.select(F.col("grp").alias("flow_id"), "node_kind", F.col("node").alias("node_name"), "root", "depth", F.array_join("path", " > ").alias("path"), "state", F.when(F.col("state") == "tree", F.col("n_descendants")).alias("n_descendants"))
+    return h.select(F.col("grp").alias("flow_id"), "node_kind", F.col("node").alias("node_name"), "root", "depth", F.array_join("path", " > ").alias("path"), "state", "n_descendants")
 
 
 def p2_column_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,11 @@ def _reachable(links: DataFrame) -> DataFrame:
     return hierarchy.reachable(links).select(F.col("grp").alias("flow_id"), "ancestor", "descendant", "distance")
 
 
+def p2_column_descendants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the pairs on and below closed chains, which ``p2_column_descendants`` and its SQL leave out."""
+    return _reachable(column_links(spark, sf_dir))
+
+
 def p2_dataset_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reachable(dataset_links(spark, sf_dir))
 
@@ -263,6 +268,7 @@ QUERIES = {
     "p2_found": (p2_found, P2_FOUND_SQL),
     "p2_hierarchy": (p2_hierarchy, None),
     "p2_column_descendants": (p2_column_descendants, P2_DESC_SQL),
+    "p2_column_descendants_all": (p2_column_descendants_all, P2_REACH_SQL % "column"),
     "p2_dataset_descendants": (p2_dataset_descendants, P2_REACH_SQL % "dataset"),
     "p3_found": (p3_found, P3_FOUND_SQL),
     "p3_counts": (p3_counts, P3_COUNTS_SQL),

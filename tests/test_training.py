@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import drift, hierarchy, nested, references, rolling
+from sparkloom.queries import training
 
 
 def ts(day, hour=0):
@@ -110,6 +111,17 @@ def test_descendants_over_all_links(spark, monkeypatch):
     assert hierarchy.reachable(df.limit(0)).count() == 0
 
 
+def test_column_descendants_below_closed_chains(spark, tmp_path):
+    at = "flow_id string, final_dataset string, column_name string, origin_dataset string, origin_column string"
+    hops = [("f", "A", "x", "b", "x"), ("f", "b", "x", "a", "x"), ("f", " c", "x", "b", "x"), ("f", "d", "x", "c", "x"), ("f", "e", "x", "d", "X"), ("f", "t", "x", None, None), ("f", "u", "x", "t", "x")]
+    spark.createDataFrame(hops, at).write.parquet(str(tmp_path / "column_lineage.parquet"))
+    spark.createDataFrame([], "flow_id string, recipe_id bigint, inputs array<string>, outputs array<string>, created_at timestamp_ntz").write.parquet(str(tmp_path / "recipes.parquet"))
+    pairs = {(r.ancestor[0] + r.descendant[0], r.distance) for r in training.p2_column_descendants_all(spark, str(tmp_path)).collect()}
+    assert pairs == {("cd", 1), ("ce", 2), ("de", 1), ("tu", 1), ("ab", 1), ("ba", 1), ("ac", 2), ("bc", 1), ("ad", 3), ("bd", 2), ("ae", 4), ("be", 3)}
+    counts = {(r.node_name[0], r.state): r.n_descendants for r in training.p2_hierarchy(spark, str(tmp_path)).collect()}
+    assert counts == {("a", "closed"): 4, ("b", "closed"): 4, ("c", "below_closed"): 2, ("d", "below_closed"): 1, ("e", "below_closed"): 0, ("t", "tree"): 1, ("u", "tree"): 0}
+
+
 def test_closed_nodes_of_many_parents_equal_reachability():
     rng = random.Random(9)
     for _ in range(40):
