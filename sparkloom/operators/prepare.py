@@ -1063,7 +1063,10 @@ def split_unfold(df, p):
 
 @processor("TransposeRowsToColumns")
 def transpose(df, p):
-    return df.limit(101).transpose(F.col(quoted(p["column"])) if p.get("column") else None)
+    most = int(df.sparkSession.conf.get("spark.sql.transposeMaxValues"))
+    if df.limit(most + 1).count() > most:
+        raise UnsupportedError(f"transpose of more than {most} rows")
+    return df.transpose(F.col(quoted(p["column"])) if p.get("column") else None)
 
 
 @processor("Pivot")

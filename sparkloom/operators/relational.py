@@ -11,7 +11,7 @@ from pyspark.sql.window import WindowSpec
 
 from sparkloom.errors import UnsupportedError, ValidationError
 from sparkloom.functions.formula import compile_formula, quoted, truthy
-from sparkloom.functions.modes import distinct_values, slug
+from sparkloom.functions.modes import MAX_VALUES, distinct_values, slug
 
 
 def aggregate(kind: str, column: str | None, order: str | None = None, sep: str = ",") -> Column:
@@ -201,7 +201,10 @@ def pivot(df: DataFrame, rows: list[str], column: str, values: list[dict], modal
             if min_count:
                 counts = counts.where(F.col("count") >= min_count)
             counts = counts.orderBy(F.desc("count"), "v")
-            modalities = sorted(r["v"] for r in (counts.limit(top) if top else counts.limit(1000)).collect())
+            found = counts.limit(top or MAX_VALUES + 1).collect()
+            if not top and len(found) > MAX_VALUES:
+                raise UnsupportedError(f"more than {MAX_VALUES} values of {column} have {min_count} rows")
+            modalities = sorted(r["v"] for r in found)
         else:
             modalities = distinct_values(df, column)
     c = F.col(quoted(column))

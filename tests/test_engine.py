@@ -174,3 +174,15 @@ def test_queries_match_their_sql(spark):
         names = [x[0] for x in cur.description]
         want = sorted((tuple(norm(dict(zip(names, r, strict=True))[c]) for c in cols) for r in cur.fetchall()), key=repr)
         assert got == want, name
+
+
+def test_pivot_and_transpose_raise_beyond_their_limits(spark):
+    df = spark.range(1001).selectExpr("0 as g", "id as k", "id as v")
+    values = [{"column": "v", "type": "SUM"}]
+    with pytest.raises(UnsupportedError):
+        relational.pivot(df, ["g"], "k", values, min_count=1)
+    assert len(relational.pivot(df.where("k < 1000"), ["g"], "k", values, min_count=1).columns) == 1001
+    flip = prepare.PROCESSORS["TransposeRowsToColumns"]
+    assert len(flip(df.select("k", "v").where("k < 150"), {"column": "k"}).columns) == 151
+    with pytest.raises(UnsupportedError):
+        flip(df.select("k", "v"), {"column": "k"})
