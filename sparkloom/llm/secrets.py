@@ -128,7 +128,8 @@ def candidates(present: set[str]) -> list[str]:
 
 
 def verify(text: str, start: int, end: int, kinds: list[str]) -> list[tuple[int, int, str]]:
-    """Spans of credential values that begin in ``text[start:end]``, by the regexes of ``kinds``.
+    """Spans of credential values by the regexes of ``kinds``, for matches that begin in
+    ``text[start:end]``; the value itself, named at the end of a chunk, may begin in the next.
 
     Overlapping spans are merged; the first detector in order names the credential.
     """
@@ -138,8 +139,7 @@ def verify(text: str, start: int, end: int, kinds: list[str]) -> list[tuple[int,
         rule, how = RULES[kind]
         for m in rule.finditer(text, start, stop):
             a, b = m.span("v")
-            whole = m.start() if kind == "private_key" else a
-            if whole >= end:
+            if m.start() >= end:
                 continue
             pieces = PIECES.match(text, b) if kind in ("quoted", "single_letter") else None
             if not is_secret(m["v"] + (pieces[1] if pieces else ""), how):
@@ -153,6 +153,10 @@ def verify(text: str, start: int, end: int, kinds: list[str]) -> list[tuple[int,
                 while (piece := PIECES.match(text, b)) and (kind != "token" or "\n" in text[b : piece.start(1)]):
                     b = piece.end(1)
             spans.append((a, b, kind))
+    return _merged(spans)
+
+
+def _merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     spans.sort(key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int, str]] = []
     for a, b, kind in spans:
@@ -167,16 +171,17 @@ def find_in(text: str | None, automaton: ahocorasick.Automaton) -> list[tuple[in
     """``(line, start, end, kind)`` of all credentials of one text."""
     if not text:
         return []
-    out = []
-    for start, end, line in chunks(text):
+    spans = []
+    for start, end, _ in chunks(text):
         kinds = candidates(postings(text[start : end + OVERLAP] if end < len(text) else text[start:], automaton))
         if kinds:
-            out += [(line + text.count("\n", start, a), a, b, kind) for a, b, kind in verify(text, start, end, kinds)]
-    kept: list[tuple[int, int, int, str]] = []
-    for x in out:  # a value may be seen from two chunks
-        if not kept or x[1] >= kept[-1][2]:
-            kept.append(x)
-    return kept
+            spans += verify(text, start, end, kinds)
+    out, line, at = [], 1, 0
+    for a, b, kind in _merged(spans):  # a value may be seen from two chunks
+        line += text.count("\n", at, a)
+        at = a
+        out.append((line, a, b, kind))
+    return out
 
 
 def redact_text(text: str, found: list[tuple[int, int, int, str]]) -> str:

@@ -77,6 +77,17 @@ def test_secrets_in_pieces_keys_and_long_files():
     compile(secrets.redact_text(pieces, f), "t", "exec")
 
 
+def test_secrets_named_at_the_end_of_a_chunk():
+    a = secrets._automaton()
+    head = "x" * (secrets.CHUNK - len("\ntoken = (\n")) + "\n"
+    text = head + "token = (\n" + '    "Zq8Lw2Vn5Tb9Xr4K")\ny = 1\npassword = "Hj7Kd3Pw9Mx2Q!"\n' + "z = 1\n" * 1000
+    assert list(secrets.chunks(text))[0][1] == len(head) + len("token = (\n")
+    found = secrets.find_in(text, a)
+    assert [x[0] for x in found] == [3, 5]
+    red = secrets.redact_text(text, found)
+    assert "Zq8Lw2Vn5Tb9Xr4K" not in red and "Hj7Kd3Pw9Mx2Q" not in red and red.count("\n") == text.count("\n")
+
+
 def test_required_trigrams_never_lose_a_match():
     texts = SECRETS + CLEAN + ["sk-" + "a1" * 12, "xoxb-123456789012-x"]
     for name, (rule, _) in secrets.RULES.items():
