@@ -423,13 +423,19 @@ def _solve_spread(links: DataFrame, single_parent: bool, bound: int, counts: boo
         .withColumn("state", F.when(F.col("_closed"), "closed").when(F.col("_still"), "below_closed").otherwise("tree"))
     )
     full = cut(full.where(shown).select("grp", "node", F.when(F.col("state") == "tree", F.col("path")).alias("path"), "state"))
+    # the parent shown is the first above that isn't hidden
+    up = primary.select("grp", F.col("child").alias("node"), "parent")
+    over = primary.where(F.col("child").startswith(HIDDEN)).select("grp", F.col("child").alias("parent"), F.col("parent").alias("above"))
+    while up.join(over, ["grp", "parent"], "left_semi").limit(1).count():
+        up = cut(up.join(over, ["grp", "parent"], "left").select("grp", "node", F.coalesce("above", "parent").alias("parent")))
+    full = full.join(up.where(~F.col("parent").startswith(HIDDEN)), ["grp", "node"], "left")
     if counts:
         below = _reach_spread(links).groupBy("grp", F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
         full = full.join(below, ["grp", "node"], "left").withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)))
     else:
         full = full.withColumn("n_descendants", F.lit(None).cast("bigint"))
     return full.select(
-        "grp", "node", F.try_element_at("path", F.lit(-2)).alias("parent"), F.try_element_at("path", F.lit(1)).alias("root"), (F.size("path") - 1).cast("bigint").alias("depth"), "path", "state", "n_descendants"
+        "grp", "node", "parent", F.try_element_at("path", F.lit(1)).alias("root"), (F.size("path") - 1).cast("bigint").alias("depth"), "path", "state", "n_descendants"
     )
 
 
@@ -450,8 +456,8 @@ def hierarchy(links: DataFrame, single_parent: bool = False, bound: int = GROUP_
     nodes that lead up to a root, ``closed`` for nodes on a closed chain (a self-link included) and
     ``below_closed`` for nodes whose primary parents lead into one; the last two have no root, depth
     and path. ``n_descendants`` is the number of other nodes reached downwards over all links,
-    whatever the state; it is null without ``counts``. In groups solved by spreading, the parent of
-    nodes on or below closed chains is null. An empty table gives no rows.
+    whatever the state; it is null without ``counts``. ``parent`` is the primary one, whatever the
+    state. An empty table gives no rows.
     """
     whole = _whole(links)
     large = _large(whole, bound)

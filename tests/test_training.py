@@ -108,6 +108,10 @@ def test_descendants_over_all_links(spark, monkeypatch):
         assert {(r.grp, r.ancestor, r.descendant): r.distance for r in pairs} == want and len(pairs) == len(want)
         counts = {(r.grp, r.node): r.n_descendants for r in hierarchy.hierarchy(df, bound=bound).collect()}
         assert counts == {(g, n): sum(k[:2] == (g, n) for k in want) for g, n in counts} and counts["g", "b"] == 2
+    rows += [("w", "m", hub + "3", 1, ""), ("w", hub + "3", "n", 0, ""), ("w", "n", "m", 1, ""), ("w", "o", "m", 1, ""), ("w", "p", "o", 1, "")]
+    df = spark.createDataFrame(rows, LINKS)
+    alike = [{(r.grp, r.node): (r.parent, r.state, r.n_descendants) for r in hierarchy.hierarchy(df, bound=bound).collect()} for bound in (100, 4)]
+    assert alike[0] == alike[1] and alike[1]["w", "m"] == ("n", "closed", 3) and alike[1]["w", "p"] == ("o", "below_closed", 0)
     assert hierarchy.reachable(df.limit(0)).count() == 0
 
 
