@@ -39,8 +39,8 @@ def _center(c: Column, n: int, p: str) -> Column:
 
 STRING: dict[str, Callable[..., Column]] = {
     "TO_UPPER": lambda c, **k: F.upper(c), "TO_LOWER": lambda c, **k: F.lower(c),
-    "TITLECASE": lambda c, **k: F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"([^\p{L}]*\p{L}+[^\p{L}]*)"), F.lit(1)), lambda w: F.concat(F.regexp_extract(w, r"^([^\p{L}]*)", 1), F.upper(F.substring(F.regexp_replace(w, r"^[^\p{L}]*", ""), 1, 1)), F.substring(F.regexp_replace(w, r"^[^\p{L}]*", ""), 2, 1_000_000))), ""),
-    "CAPITALIZE": lambda c, **k: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1_000_000))),
+    "TITLECASE": lambda c, **k: F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"([^\p{L}]*\p{L}+[^\p{L}]*)"), F.lit(1)), lambda w: F.concat(F.regexp_extract(w, r"^([^\p{L}]*)", 1), F.upper(F.substring(F.regexp_replace(w, r"^[^\p{L}]*", ""), 1, 1)), F.substr(F.regexp_replace(w, r"^[^\p{L}]*", ""), F.lit(2)))), ""),
+    "CAPITALIZE": lambda c, **k: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2)))),
     "SWAPCASE": lambda c, **k: F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x == F.upper(x), F.lower(x)).otherwise(F.upper(x))), ""),
     "TRIM": lambda c, **k: F.regexp_replace(c, r"^\s+|\s+$", ""), "TRIM_LEFT": lambda c, **k: F.regexp_replace(c, r"^\s+", ""), "TRIM_RIGHT": lambda c, **k: F.regexp_replace(c, r"\s+$", ""),
     "NORMALIZE_WHITESPACE": lambda c, **k: F.trim(F.regexp_replace(c, r"\s+", " ")), "REMOVE_WHITESPACE": lambda c, **k: F.regexp_replace(c, r"\s+", ""), "COLLAPSE_WHITESPACE": lambda c, **k: F.regexp_replace(c, r"\s+", " "),

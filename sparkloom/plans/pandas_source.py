@@ -611,7 +611,7 @@ class Compiler:
     def text_zfill(self, a, n): return self._text(a, lambda c: modes.STRING["PAD_LEFT"](c, n, "0"))  # noqa: E704
     def text_split(self, a, sep=" ", **k): return self._text(a, lambda c: F.split(c, "\\Q" + sep + "\\E"))  # noqa: E704
     def text_get(self, a, i): return self._text(a, lambda c: F.get(c, F.lit(i)))  # noqa: E704
-    def text_slice(self, a, start=0, stop=None): return self._text(a, lambda c: F.substring(c, start + 1, (stop - start) if stop else 1_000_000))  # noqa: E704
+    def text_slice(self, a, start=0, stop=None): return self._text(a, lambda c: F.substring(c, start + 1, stop - start) if stop else F.substr(c, F.lit(start + 1)))  # noqa: E704
 
 
 def _over(s: Series, kind: str, w, n: int | None, method: str) -> Column:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.errors import FormulaError, UnsupportedError, ValidationError
+from sparkloom.functions import modes
 from sparkloom.functions.formula import columns_of, compile_formula
 from sparkloom.operators import joins, prepare, relational
 from sparkloom.plans.flow import NODES, Flow
@@ -186,3 +187,11 @@ def test_pivot_and_transpose_raise_beyond_their_limits(spark):
     assert len(flip(df.select("k", "v").where("k < 150"), {"column": "k"}).columns) == 151
     with pytest.raises(UnsupportedError):
         flip(df.select("k", "v"), {"column": "k"})
+
+
+def test_long_texts_keep_their_tail(spark):
+    df = spark.sql("select concat(repeat('A', 1000100), 'Z') as t")
+    made = df.select(*[modes.STRING[m](F.col("t")).alias(m) for m in ("CAPITALIZE", "TITLECASE")])
+    assert [len(x) for x in made.first()] == [1000101] * 2 and made.first()[0].endswith("az")
+    source = compile_source("import pandas as pd\nd = pd.read_csv('t.csv')\nd['u'] = d['t'].str.slice(1)\n", {"t": df})
+    assert len(source["d"].first()["u"]) == 1000100
