@@ -6,6 +6,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +54,6 @@ def scalars(v) -> Iterator[str]:
 
 
 def _hash(text: str) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
@@ -90,64 +90,112 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     return picked.where(F.col("series").isNotNull() & F.col("file_seq").isNotNull()).mapInPandas(_parse, PARSED)
 
 
-def file_types(parsed: DataFrame) -> DataFrame:
-    """``(series, file_seq, field, kind)``: fields of each file with the type of most of their
-    non-null values (null where there are none; ties go to the type first in the alphabet)."""
-    each = parsed.where("readable").select("series", "file_seq", F.explode("kinds").alias("field", "kind"))
-    counted = each.groupBy("series", "file_seq", "field", "kind").agg(F.count(F.lit(1)).alias("n"))
-    value = F.when(F.col("kind") != "null", F.struct((-F.col("n")).alias("a"), F.col("kind").alias("kind")))
-    return counted.groupBy("series", "file_seq", "field").agg(F.min(value)["kind"].alias("kind"))
-
-
-def file_values(parsed: DataFrame) -> DataFrame:
-    """Distinct ``(series, file_seq, field, h)`` of scalar values."""
-    each = parsed.where("readable").select("series", "file_seq", F.explode("leaves").alias("field", "hs"))
-    return each.select("series", "file_seq", "field", F.explode("hs").alias("h")).distinct()
-
+def _stats_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Statistics of the lines of each batch by file and field: a combine before the shuffle."""
+    for batch in batches:
+        held: dict[tuple, list] = {}
+        for series, seq, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for k, x in ({None: None} if (v := loosely(raw)) is None else v).items():
+                at = held.get((series, seq, k))
+                if at is None:
+                    at = held[series, seq, k] = [0, 0, 0, 0, 0, set()]
+                if x is None:
+                    continue
+                at[_SLOT[type(x)]] += 1
+                if type(x) is str and x.lstrip()[:1] not in ("{", "["):
+                    at[5].add(x)
+                else:
+                    at[5].update(scalars(x))
+        keys = list(held)
+        columns = [pa.array([k[i] for k in keys], t) for i, t in ((0, pa.string()), (1, pa.int64()), (2, pa.string()))]
+        columns += [pa.array([v[i] for v in held.values()], pa.int64()) for i in range(5)]
+        columns.append(pa.array([[_hash(s) for s in v[5]] for v in held.values()], pa.list_(pa.int64())))
+        yield pa.RecordBatch.from_arrays(columns, names=["series", "file_seq", "field", *KINDS, "leaves"])
+
+
+#: JSON types in the order of the alphabet, which settles ties.
+KINDS = ("array", "boolean", "number", "object", "string")
+_SLOT = {list: 0, bool: 1, int: 2, float: 2, dict: 3, str: 4}
+STATS = "series string, file_seq bigint, field string, " + ", ".join(f"`{k}` bigint" for k in KINDS) + ", leaves array<bigint>"
+
+
+def file_stats(lines: DataFrame) -> DataFrame:
+    """Path-type statistics of raw lines (``series, file_seq, raw``) by file: for each top-level field
+    the number of values of each JSON type and hashes of its scalar values.
+
+    Several rows of one field and file add up: they come from different parts of the file. A file of
+    which no line can be read has one row with an empty field and no values.
+    """
+    picked = lines.select("series", F.col("file_seq").cast("bigint").alias("file_seq"), "raw").where(F.col("series").isNotNull() & F.col("file_seq").isNotNull())
+    return picked.mapInArrow(_stats_batches, STATS)
 
-def _renamed(gone: DataFrame, new: DataFrame, values: DataFrame) -> DataFrame:
-    """Pairs of a vanished and a new field of the same file step where the new one carries on the
-    values of the old: best match of either side, greatest share of common values first."""
-    old = gone.join(values.withColumnRenamed("file_seq", "prev_seq"), ["series", "prev_seq", "field"]).select("series", "file_seq", F.col("field").alias("old_field"), "h")
-    now = new.join(values, ["series", "file_seq", "field"]).select("series", "file_seq", F.col("field").alias("new_field"), "h")
-    size_old = old.groupBy("series", "file_seq", "old_field").agg(F.count(F.lit(1)).alias("n_old"))
-    size_new = now.groupBy("series", "file_seq", "new_field").agg(F.count(F.lit(1)).alias("n_new"))
-    common = old.join(now, ["series", "file_seq", "h"]).groupBy("series", "file_seq", "old_field", "new_field").agg(F.count(F.lit(1)).alias("n"))
-    scored = common.join(size_old, ["series", "file_seq", "old_field"]).join(size_new, ["series", "file_seq", "new_field"])
-    share = F.col("n") / F.least("n_old", "n_new")
-    scored = scored.withColumn("share", share).where(F.col("share") >= CARRIED).withColumn("jac", F.col("n") / (F.col("n_old") + F.col("n_new") - F.col("n")))
-    rank = [F.desc("share"), F.desc("jac"), F.desc("n")]
-    by_old = Window.partitionBy("series", "file_seq", "old_field").orderBy(*rank, "new_field")
-    by_new = Window.partitionBy("series", "file_seq", "new_field").orderBy(*rank, "old_field")
-    ranked = scored.withColumn("ro", F.row_number().over(by_old)).withColumn("rn", F.row_number().over(by_new))
-    return ranked.where("ro = 1 and rn = 1").select("series", "file_seq", "old_field", "new_field", "share")
 
+def file_steps(stats: DataFrame) -> DataFrame:
+    """``(series, file_seq, prev_seq, gone, fresh, typed)``: each file that has one before it in its
+    series, with the fields that vanished, that are new and that changed type.
 
-def changes(parsed: DataFrame) -> DataFrame:
-    """``(series, file_seq, change_kind, old_field, new_field)`` between each file and the one before.
+    The type of a field is that of most of its non-null values, ties going to the first in the
+    alphabet; a field without values has none and changes nothing.
+    """
+    counted = stats.groupBy("series", "file_seq", "field").agg(*[F.sum(k).alias(k) for k in KINDS])
+    best = F.array_max(F.array(*[F.struct(F.col(k).alias("n"), F.lit(-i).alias("i")) for i, k in enumerate(KINDS)]))
+    kind = F.when(best["n"] > 0, F.get(F.array(*[F.lit(k) for k in KINDS]), -best["i"]))
+    files = counted.groupBy("series", "file_seq").agg(F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", kind.alias("kind"))))).alias("now"))
+    by = Window.partitionBy("series").orderBy("file_seq")
+    steps = files.withColumn("prev_seq", F.lag("file_seq").over(by)).withColumn("before", F.lag("now").over(by)).where(F.col("prev_seq").isNotNull())
+    names = lambda c: F.transform(c, lambda x: x["field"])
+    was = F.map_from_entries("before")
+    typed = F.filter("now", lambda x: x["kind"] != F.element_at(F.col("was"), x["field"]))
+    return steps.withColumn("was", was).select(
+        "series", "file_seq", "prev_seq", F.array_except(names("before"), names("now")).alias("gone"), F.array_except(names("now"), names("before")).alias("fresh"), names(typed).alias("typed")
+    )
+
+
+def _renamed(steps: DataFrame, stats: DataFrame) -> DataFrame:
+    """``(series, file_seq, moved)``: pairs of a vanished and a new field of one step where the new one
+    carries on the values of the old: best match of either side, greatest share of common values
+    first. Only fields of steps that have both are looked at."""
+    key = ["series", "step"]
+    both = steps.where((F.size("gone") > 0) & (F.size("fresh") > 0))
+    side = lambda seq, name, fields: F.struct(seq.alias("file_seq"), F.lit(name).alias("side"), fields.alias("field"))
+    wanted = both.select("series", F.col("file_seq").alias("step"), F.inline(F.array(side(F.col("prev_seq"), "o", F.col("gone")), side(F.col("file_seq"), "n", F.col("fresh")))))
+    wanted = wanted.withColumn("field", F.explode("field"))
+    values = stats.join(wanted, ["series", "file_seq", "field"]).select(*key, "side", "field", F.explode("leaves").alias("h")).distinct()
+    # the fields of one step that hold a value: as few as the step has fields
+    held = values.groupBy(*key, "h").agg(F.collect_set(F.when(F.col("side") == "o", F.col("field"))).alias("o"), F.collect_set(F.when(F.col("side") == "n", F.col("field"))).alias("n"))
+    none = F.array(F.lit(None).cast("string"))
+    counted = held.select(*key, F.explode(F.concat("o", none)).alias("o"), "n").select(*key, "o", F.explode(F.concat("n", none)).alias("n"))
+    counted = counted.where("o is not null or n is not null").groupBy(*key, "o", "n").agg(F.count(F.lit(1)).alias("c"))
+    of = lambda *by: Window.partitionBy(*key, *by)
+    sized = counted.repartition(*key).withColumn("n_old", F.max(F.when(F.col("n").isNull(), F.col("c"))).over(of("o"))).withColumn("n_new", F.max(F.when(F.col("o").isNull(), F.col("c"))).over(of("n")))
+    scored = sized.where("o is not null and n is not null").withColumn("share", F.col("c") / F.least("n_old", "n_new")).where(F.col("share") >= CARRIED)
+    scored = scored.withColumn("jac", F.col("c") / (F.col("n_old") + F.col("n_new") - F.col("c")))
+    rank = [F.desc("share"), F.desc("jac"), F.desc("c")]
+    ranked = scored.withColumn("ro", F.row_number().over(of("o").orderBy(*rank, "n"))).withColumn("rn", F.row_number().over(of("n").orderBy(*rank, "o")))
+    return ranked.where("ro = 1 and rn = 1").groupBy(*key).agg(F.collect_list(F.struct("o", "n")).alias("moved")).withColumnRenamed("step", "file_seq")
+
+
+def changes(lines: DataFrame) -> DataFrame:
+    """``(series, file_seq, change_kind, old_field, new_field)`` between each file of raw lines
+    (``series, file_seq, raw``) and the one before.
 
     ``added`` (old field empty), ``removed`` (new field empty), ``renamed`` (the new field carries
     on the values of the vanished one) and ``type_changed``. The first file of a series changes
-    nothing. Files are those with at least one line in the table. All steps are joins on series and
-    file; nothing is compared across series. Types, values and renames by file are written once, as
-    each is read by several of these joins.
+    nothing. Files are those with at least one line in the table. The statistics by file and field
+    are written once; all steps then are one window over the files of a series, and values are
+    joined only for steps that have both a vanished and a new field.
     """
-    types = written(file_types(parsed), "drift-types")
-    values = written(file_values(parsed), "drift-values")
-    files = parsed.select("series", "file_seq").distinct().withColumn("prev_seq", F.lag("file_seq").over(Window.partitionBy("series").orderBy("file_seq")))
-    steps = files.where(F.col("prev_seq").isNotNull())
-    now = types.join(steps, ["series", "file_seq"]).select("series", "file_seq", "prev_seq", "field", F.col("kind").alias("kind_now"))
-    before = types.withColumnRenamed("file_seq", "prev_seq").join(steps, ["series", "prev_seq"]).select("series", "file_seq", "prev_seq", "field", F.col("kind").alias("kind_before"))
-    both = now.withColumn("has_now", F.lit(True)).join(before.withColumn("has_before", F.lit(True)), ["series", "file_seq", "prev_seq", "field"], "full")
-    gone = both.where("has_now is null").select("series", "file_seq", "prev_seq", "field")
-    new = both.where("has_before is null").select("series", "file_seq", "field")
-    moved = written(_renamed(gone, new, values), "drift-renames")
-    key = ["series", "file_seq"]
-    added = new.withColumnRenamed("field", "new_field").join(moved, [*key, "new_field"], "left_anti").select(*key, F.lit("added").alias("change_kind"), F.lit("").alias("old_field"), "new_field")
-    removed = gone.withColumnRenamed("field", "old_field").join(moved, [*key, "old_field"], "left_anti").select(*key, F.lit("removed").alias("change_kind"), "old_field", F.lit("").alias("new_field"))
-    renamed = moved.select(*key, F.lit("renamed").alias("change_kind"), "old_field", "new_field")
-    typed = both.where("has_now and has_before and kind_now <> kind_before").select(*key, F.lit("type_changed").alias("change_kind"), F.col("field").alias("old_field"), F.col("field").alias("new_field"))
-    return added.unionByName(removed).unionByName(renamed).unionByName(typed)
+    stats = written(file_stats(lines), "drift-stats")
+    steps = written(file_steps(stats), "drift-steps")
+    moved = _renamed(steps, stats)
+    joined = steps.join(moved, ["series", "file_seq"], "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<struct<o:string,n:string>>")))
+    row = lambda kind, old, new: F.struct(F.lit(kind).alias("change_kind"), old.alias("old_field"), new.alias("new_field"))
+    empty = F.lit("")
+    found = F.concat(
+        F.transform(F.array_except("fresh", F.transform("moved", lambda m: m["n"])), lambda x: row("added", empty, x)), F.transform(F.array_except("gone", F.transform("moved", lambda m: m["o"])), lambda x: row("removed", x, empty)),
+        F.transform("moved", lambda m: row("renamed", m["o"], m["n"])), F.transform("typed", lambda x: row("type_changed", x, x)),
+    )
+    return joined.select("series", "file_seq", F.inline(found))
 
 
 def canonical_fields(parsed: DataFrame, found: DataFrame) -> dict[str, tuple[str, str]]:

@@ -240,8 +240,7 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = written(drift.parsed_lines(_log_lines(spark, sf_dir)), "p6-parsed")
-    c = drift.changes(parsed)
+    c = drift.changes(_log_lines(spark, sf_dir))
     part = F.split("series", SEP)
     return c.select(part[0].alias("studio_node"), part[1].alias("record_kind"), "file_seq", "change_kind", "old_field", "new_field").distinct()
 
@@ -249,7 +248,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _p6_table(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     lines = _log_lines(spark, sf_dir).where(F.col("series").endswith(SEP + kind))
     parsed = written(drift.parsed_lines(lines), "p6-parsed")
-    out = drift.consistent(parsed, drift.canonical_fields(parsed, drift.changes(parsed)))
+    out = drift.consistent(parsed, drift.canonical_fields(parsed, drift.changes(lines)))
     out = out.withColumn("studio_node", F.split("series", SEP)[0]).drop("series")
     return out.select("studio_node", "file_seq", F.col("row_id").alias("line_id"), "readable", *[c for c in out.columns if c.startswith("f_")], F.array_join("failed_casts", ",").alias("failed_casts"), F.to_json("raw_values").alias("raw_values"))
 

@@ -187,12 +187,13 @@ def test_drift_changes_and_consistent_table(spark):
     a = [{"user": u, "n": i, "gone": "q"} for i, u in enumerate(names)]
     b = ["﻿" + json.dumps({"who": u, "n": str(i), "added": True}) + "\t" for i, u in enumerate(names)] + ["{broken", "", None]
     c = [{"who": {"id": u}, "n": "x", "added": None} for u in names]
-    parsed = drift.parsed_lines(log(spark, [a, b, c])).cache()
-    got = {(r.file_seq, r.change_kind, r.old_field, r.new_field) for r in drift.changes(parsed).collect()}
+    lines = log(spark, [a, b, c]).cache()
+    parsed = drift.parsed_lines(lines)
+    got = {(r.file_seq, r.change_kind, r.old_field, r.new_field) for r in drift.changes(lines).collect()}
     assert got == {(2, "renamed", "user", "who"), (2, "type_changed", "n", "n"), (2, "removed", "gone", ""), (2, "added", "", "added"), (3, "type_changed", "who", "who")}
-    fields = drift.canonical_fields(parsed, drift.changes(parsed))
+    fields = drift.canonical_fields(parsed, drift.changes(lines))
     assert fields["user"][0] == fields["who"][0]
     table = drift.consistent(parsed, {**fields, "n": ("n", "double")}).collect()
     assert len(table) == 12 and sum(not r.readable for r in table) == 3
     assert [r.failed_casts for r in table if r.file_seq == 3] == [["n"]] * 3
-    assert drift.changes(drift.parsed_lines(log(spark, []))).count() == 0
+    assert drift.changes(log(spark, [])).count() == 0
