@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 ROWS = "doc_key string, tbl string, row_key string, parent_tbl string, parent_key string, ordinal int, item_key string, fields map<string,string>, kinds map<string,string>"
 STATS = "name string, kind string, n bigint"
@@ -15,15 +19,68 @@ STATS = "name string, kind string, n bigint"
 MAX_ARRAY_NAMES = 20_000
 
 
+_TOKEN = re.compile(r'[ \t\r\n]*(?:([\[\]{},:])|("(?:[^"\\]|\\.)*")|(-?[0-9][0-9.eE+-]*|true|false|null|NaN|-?Infinity))', re.DOTALL)
+
+
+def _deep(text: str):
+    """JSON of any depth, for what the recursive parser gives up on; ``ValueError`` like it."""
+    root: list = []
+    stack: list = [root]
+    keys: list = [None]
+    at, end, need = 0, len(text.rstrip(" \t\r\n")), "v"  # v: value, f: first value or end, k: key, o: first key or end, c: comma or end
+    while at < end:
+        m = _TOKEN.match(text, at)
+        if m is None:
+            raise ValueError(f"no JSON at {at}")
+        at = m.end()
+        mark, top = m[1], stack[-1]
+        if need in ("k", "o") and m[2]:
+            keys[-1] = json.loads(m[2])
+            m = _TOKEN.match(text, at)
+            if m is None or m[1] != ":":
+                raise ValueError(f"no colon at {at}")
+            at, need = m.end(), "v"
+        elif need in ("v", "f") and (m[2] or m[3] or mark in ("[", "{")):
+            value = [] if mark == "[" else {} if mark == "{" else json.loads(m[2] or m[3])
+            if isinstance(top, list):
+                top.append(value)
+            else:
+                top[keys[-1]] = value
+            if mark:
+                stack.append(value)
+                keys.append(None)
+            need = {"[": "f", "{": "o"}.get(mark, "c")
+        elif mark == "," and need == "c" and len(stack) > 1:
+            need = "v" if isinstance(top, list) else "k"
+        elif len(stack) > 1 and (mark == "]" and isinstance(top, list) and need in "fc" or mark == "}" and isinstance(top, dict) and need in "oc"):
+            stack.pop()
+            keys.pop()
+            need = "c"
+        else:
+            raise ValueError(f"unexpected JSON at {at}")
+    if len(stack) > 1 or len(root) != 1:
+        raise ValueError("incomplete JSON")
+    return root[0]
+
+
+def loads(text: str):
+    """JSON text as Python values, however deep it is nested."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _deep(text)
+
+
 def opened(value):
-    """The value, or what it holds if it is text that holds a JSON object or array."""
-    for _ in range(8):
-        if not isinstance(value, str) or not value.lstrip()[:1] in ("{", "["):
-            return value
-        try:
-            inner = json.loads(value)
-        except (ValueError, RecursionError):
-            return value
+    """The value, or what it holds if it is text that holds a JSON object or array, quoted however
+    many times."""
+    while isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):
+        inner = value
+        while isinstance(inner, str) and inner.lstrip()[:1] in ("{", "[", '"'):
+            try:
+                inner = loads(inner)
+            except ValueError:
+                return value
         if not isinstance(inner, (dict, list)):
             return value
         value = inner
@@ -35,8 +92,8 @@ def readable(body: str | None):
     if body is None:
         return None
     try:
-        return opened(json.loads(body.strip("﻿​ \t\r\n")))
-    except (ValueError, RecursionError):
+        return opened(loads(body.strip("\ufeff\u200b \t\r\n")))
+    except ValueError:
         return None
 
 
@@ -112,8 +169,11 @@ def _members(v, known: set[str]) -> list[tuple[str | None, object]]:
     return [(None, v)]
 
 
-def flatten_one(doc_key: str, value, arrays: dict[str, set[str]]) -> Iterator[tuple]:
-    """Rows of one document: the root record, then every element of every array level below it."""
+def flatten_one(doc_key: str, value, arrays: dict[str, set[str]], tables: frozenset[str] | None = None, only: frozenset[str] | None = None) -> Iterator[tuple]:
+    """Rows of one document: the root record, then every element of every array level below it.
+
+    Of ``tables`` only, if given, and with the fields ``only``, if given: what is not asked for is
+    walked, but no row or field is made of it."""
     value = opened(value)
     roots = [(None, value)] if isinstance(value, dict) else [(None, opened(x)) for x in value] if isinstance(value, list) else []
     stack = [("root", f"{doc_key}#{i}" if isinstance(value, list) else doc_key, None, None, i, k, x) for i, (k, x) in enumerate(roots)]
@@ -134,20 +194,22 @@ def flatten_one(doc_key: str, value, arrays: dict[str, set[str]]) -> Iterator[tu
                         for i, (ik, x) in enumerate(_members(v, arrays[k])):
                             stack.append((child, f"{key}/{k}/{i}", tbl, key, i, ik, x))
                     elif isinstance(v, dict):
-                        kinds[name] = "object"
+                        if only is None:
+                            kinds[name] = "object"
                         work.append((name + ".", v))
                     elif isinstance(v, list):
                         for i, x in enumerate(v):
                             stack.append((f"{tbl}.{k}", f"{key}/{k}/{i}", tbl, key, i, None, opened(x)))
-                    else:
+                    elif only is None or name in only:
                         fields[name] = as_text(v)
                         kinds[name] = json_kind(v)
         else:
             fields["value"], kinds["value"] = as_text(record), json_kind(record)
-        yield doc_key, tbl, key, parent_tbl, parent_key, ordinal, item_key, fields, kinds
+        if tables is None or tbl in tables:
+            yield doc_key, tbl, key, parent_tbl, parent_key, ordinal, item_key, fields, kinds
 
 
-def flatten(docs: DataFrame, arrays: dict[str, set[str]] | None = None) -> DataFrame:
+def flatten(docs: DataFrame, arrays: dict[str, set[str]] | None = None, tables: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
     """Rows of all levels of ``docs`` (``doc_key``, ``body``) as ``(doc_key, tbl, row_key, ...)``.
 
     The schema is merged over the corpus first; each array level then becomes a table named by the
@@ -155,24 +217,33 @@ def flatten(docs: DataFrame, arrays: dict[str, set[str]] | None = None) -> DataF
     between arrays become dotted fields. Each row has a surrogate key, that of its parent and its
     zero-based ordinal in the parent's array; null elements keep their ordinal and have the field
     ``value``. Unreadable and null bodies and null keys give no rows; nothing else is dropped.
+    ``tables`` and ``only`` name the tables and fields that are wanted, so that no others are built.
     """
     picked = docs.select(F.col("doc_key").cast("string").alias("doc_key"), "body").where(F.col("doc_key").isNotNull() & F.col("body").isNotNull())
     shape = array_fields(picked) if arrays is None else arrays
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_key", "tbl", "row_key", "parent_tbl", "parent_key", "ordinal", "item_key", "fields", "kinds"]
+    some = None if tables is None else frozenset(tables)
+    few = None if only is None else frozenset(only)
+    schema = to_arrow_schema(_parse_datatype_string(ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            made = [pa.array([list(x.items()) for x in c] if pa.types.is_map(f.type) else c, f.type) for c, f in zip(columns, schema, strict=True)]
+            return pa.RecordBatch.from_arrays(made, schema=schema)
+
+        out: list[tuple] = []
         for batch in batches:
-            out: list[tuple] = []
-            for doc_key, body in zip(batch["doc_key"], batch["body"], strict=True):
-                for row in flatten_one(doc_key, readable(body), shape):
+            for doc_key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for row in flatten_one(doc_key, readable(body), shape, some, few):
                     out.append(row)
-                    if len(out) >= 2000:
-                        yield pd.DataFrame(out, columns=names)
+                    if len(out) >= 5000:
+                        yield batch_of(out)
                         out = []
-            if out:
-                yield pd.DataFrame(out, columns=names)
+        if out:
+            yield batch_of(out)
 
-    return picked.mapInPandas(run, ROWS)
+    return picked.mapInArrow(run, ROWS)
 
 
 def merged_schema(rows: DataFrame) -> DataFrame:

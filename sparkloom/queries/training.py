@@ -197,24 +197,25 @@ SELECT a.ref_table, a.ref_field, a.month, a.n_references, coalesce(b.n_orphans,
 # --- 4: nested records -----------------------------------------------------------------------------
 
 
-def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "flow_exports")
-    return nested.flatten(e.select(F.col("export_id").alias("doc_key"), "body").distinct())
+def export_rows(spark: SparkSession, sf_dir: str, tables: list[str] | None = None, only: list[str] | None = None, once: bool = True) -> DataFrame:
+    """Rows of all levels of the exports; ``once``: repeated rows of the table give their rows once."""
+    e = table(spark, sf_dir, "flow_exports").select(F.col("export_id").alias("doc_key"), "body")
+    return nested.flatten(e.distinct() if once else e, tables=tables, only=only)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(export_rows(spark, sf_dir).where("tbl in ('recipes', 'recipes.steps')"), "p4-rows")
+    rows = written(export_rows(spark, sf_dir, ["recipes", "recipes.steps"], ["name"], once=False), "p4-rows")
     steps = rows.where("tbl = 'recipes.steps' and not map_contains_key(kinds, 'value')").select(
         "doc_key", F.substring_index("row_key", "/steps/", 1).alias("recipe_key"), F.regexp_replace(F.regexp_extract("row_key", r"/steps/([0-9].*)$", 1), "/steps/", ".").alias("step_path")
     )
     name = F.coalesce(F.col("fields")["name"], F.col("item_key"), F.lit(""))
     recipes = rows.where("tbl = 'recipes'").select(F.col("row_key").alias("recipe_key"), name.alias("recipe_name")).distinct()
-    return steps.join(recipes, "recipe_key").select(F.col("doc_key").cast("bigint").alias("export_id"), "recipe_name", "step_path").distinct()
+    return steps.distinct().join(recipes, "recipe_key").select(F.col("doc_key").cast("bigint").alias("export_id"), "recipe_name", "step_path").distinct()
 
 
 def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = export_rows(spark, sf_dir)
-    return r.select(F.col("doc_key").cast("bigint").alias("export_id"), "tbl", "row_key", "parent_tbl", "parent_key", "ordinal", F.to_json("fields").alias("fields")).distinct()
+    return r.select(F.col("doc_key").cast("bigint").alias("export_id"), "tbl", "row_key", "parent_tbl", "parent_key", "ordinal", F.to_json("fields").alias("fields"))
 
 
 def p4_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +223,7 @@ def p4_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_zone_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(export_rows(spark, sf_dir).where("tbl in ('zones', 'zones.datasets', 'zones.recipes')"), "p4-zones")
+    rows = written(export_rows(spark, sf_dir, ["zones", "zones.datasets", "zones.recipes"]), "p4-zones")
     zones = rows.where("tbl = 'zones'").select(F.col("row_key").alias("parent_key"), F.coalesce(F.col("fields")["name"], F.col("item_key")).alias("zone_name"))
     members = rows.where("tbl <> 'zones'").select(F.col("doc_key").cast("bigint").alias("export_id"), F.substring_index("tbl", ".", -1).alias("member_kind"), "parent_key", "ordinal", F.col("fields")["value"].alias("member_name"))
     return members.join(zones, "parent_key").select("export_id", "zone_name", "member_kind", "ordinal", "member_name").distinct()
