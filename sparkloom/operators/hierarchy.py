@@ -17,8 +17,11 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from sparkloom.session import cut
 
@@ -108,12 +111,58 @@ def components(links: list[tuple[str, str]]) -> Iterator[list[str]]:
 def closed_nodes(links: list[tuple[str, str]]) -> set[str]:
     """Nodes on a directed cycle, self-links included."""
     closed = {child for child, parent in links if child == parent}
-    for members in components(links):
+    for members in components(suspects(links)):
         if len(members) > 1:
             closed.update(members)
     return closed
 
 
+def suspects(links: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The links of those connected parts that may hold a closed chain.
+
+    Weighted disjoint sets over (child, parent): every node knows its root and its offset to it, a
+    child lying one below its parent. A link whose ends already share a root must agree with their
+    offsets. Around a closed chain the offsets would have to sum up to nothing while each link adds
+    one, so a part without contradiction holds none.
+    """
+    up: dict[str, str] = {}
+    off: dict[str, int] = {}
+    rank: dict[str, int] = {}
+
+    def find(n: str) -> tuple[str, int]:
+        if n not in up:
+            up[n], off[n], rank[n] = n, 0, 1
+            return n, 0
+        trail = []
+        while up[n] != n:
+            trail.append(n)
+            n = up[n]
+        total = 0
+        for x in reversed(trail):
+            total += off[x]
+            up[x], off[x] = n, total
+        return n, total
+
+    odd: set[str] = set()
+    for child, parent in links:
+        a, i = find(child)
+        b, j = find(parent)
+        if a == b:
+            if i - j != 1:
+                odd.add(a)
+            continue
+        if rank[a] > rank[b]:
+            up[b], off[b] = a, i - j - 1
+            rank[a] += rank[b]
+        else:
+            up[a], off[a] = b, j + 1 - i
+            rank[b] += rank[a]
+    if not odd:
+        return []
+    odd = {find(n)[0] for n in odd}
+    return [link for link in links if find(link[0])[0] in odd]
+
+
 def count_below(links: list[tuple[str, str]]) -> dict[str, int]:
     """Number of other nodes that each node reaches downwards over all links.
 
@@ -203,35 +252,44 @@ def solve_group(grp: str, links: list[tuple], counts: bool = True) -> Iterator[t
         yield grp, n, up, path[0], len(path) - 1, path, "tree", below.get(n, 0) if counts else None
 
 
-def _solve_partition(batches: Iterator[pd.DataFrame], solve: Callable, schema: str) -> Iterator[pd.DataFrame]:
-    kinds = dict(x.split() for x in schema.split(", "))
+def _solve_partition(batches: Iterator[pa.RecordBatch], solve: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Groups of a sorted partition, one after the other, through ``solve``."""
     held: list[tuple] = []
     key = None
     out: list[tuple] = []
 
-    def frame(rows):
-        df = pd.DataFrame(rows, columns=list(kinds))
-        return df.astype({c: "Int64" for c, kind in kinds.items() if kind == "bigint"})
+    def frame() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     for batch in batches:
-        for grp, child, parent, weight, prio in zip(*[batch[c] for c in ("grp", "child", "parent", "weight", "prio")], strict=True):
+        for grp, *link in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if grp != key:
-                if held:
-                    for row in solve(key, held):
-                        out.append(row)
-                        if len(out) >= 5000:
-                            yield frame(out)
-                            out = []
+                for row in solve(key, held) if held else ():
+                    out.append(row)
+                    if len(out) >= 5000:
+                        yield frame()
+                        out = []
                 held, key = [], grp
-            held.append((child, parent, weight, prio))
-    if held:
-        for row in solve(key, held):
-            out.append(row)
-            if len(out) >= 5000:
-                yield frame(out)
-                out = []
+            held.append(link)
+    for row in solve(key, held) if held else ():
+        out.append(row)
+        if len(out) >= 5000:
+            yield frame()
+            out = []
     if out:
-        yield frame(out)
+        yield frame()
+
+
+def closed_all(grp: str, links: list[tuple]) -> Iterator[tuple]:
+    """``(grp, node)`` of all closed nodes of one group, hidden ones too."""
+    return ((grp, n) for n in closed_nodes([(c, p) for c, p in links]))
+
+
+def closed_group(grp: str, links: list[tuple]) -> Iterator[tuple]:
+    """``(grp, node)`` of the closed nodes of one group; ``links`` are (child, parent)."""
+    for n in closed_nodes([(c, p) for c, p in links if p is not None]):
+        if not n.startswith(HIDDEN):
+            yield grp, n
 
 
 def _local_forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,14 +368,12 @@ def _closed_spread(links: DataFrame, bound: int) -> DataFrame:
     there; the others by colouring: the greatest node name that reaches a node is its colour, and
     the nodes of a colour that reach its namesake back form one component, which is taken out.
     """
-    spark = links.sparkSession
     found = links.where(F.col("child") == F.col("parent")).select("grp", F.col("child").alias("node")).distinct()
     core = _trimmed(links)
     while core.limit(1).count():
         sizes = core.groupBy("grp").count()
         small = core.join(sizes.where(F.col("count") <= bound).select("grp"), "grp", "left_semi")
-        solved = _solve_small(small.select("grp", "child", "parent", F.lit(1).alias("weight"), F.lit("").alias("prio")), functools.partial(solve_group, counts=False))
-        found = found.unionByName(solved.where(F.col("state") == "closed").select("grp", "node"))
+        found = found.unionByName(_solve_small(small, closed_all, "grp string, node string", ("child", "parent")))
         core = cut(core.join(sizes.where(F.col("count") > bound).select("grp"), "grp", "left_semi"))
         if not core.limit(1).count():
             break
@@ -350,12 +406,12 @@ def _closed_spread(links: DataFrame, bound: int) -> DataFrame:
         core = _trimmed(
             core.join(gone.withColumnRenamed("node", "child"), ["grp", "child"], "left_anti").join(gone.withColumnRenamed("node", "parent"), ["grp", "parent"], "left_anti")
         )
-    return found.distinct() if found is not None else spark.createDataFrame([], "grp string, node string")
+    return found.distinct()
 
 
-def _solve_small(links: DataFrame, solve: Callable = solve_group, schema: str = NODES) -> DataFrame:
-    sorted_links = links.select("grp", "child", "parent", "weight", "prio").repartition("grp").sortWithinPartitions("grp")
-    return sorted_links.mapInPandas(functools.partial(_solve_partition, solve=solve, schema=schema), schema)
+def _solve_small(links: DataFrame, solve: Callable = solve_group, schema: str = NODES, columns: tuple[str, ...] = ("child", "parent", "weight", "prio")) -> DataFrame:
+    sorted_links = links.select("grp", *columns).repartition("grp").sortWithinPartitions("grp")
+    return sorted_links.mapInArrow(functools.partial(_solve_partition, solve=solve, schema=to_arrow_schema(_parse_datatype_string(schema))), schema)
 
 
 def _reach_spread(links: DataFrame) -> DataFrame:
@@ -441,11 +497,25 @@ def _solve_spread(links: DataFrame, single_parent: bool, bound: int, counts: boo
 
 def _whole(links: DataFrame) -> DataFrame:
     whole = links.select("grp", "child", "parent", F.col("weight").cast("int").alias("weight"), F.col("prio").cast("string").alias("prio"))
-    return whole.where(F.col("grp").isNotNull() & F.col("child").isNotNull()).fillna({"prio": "", "weight": 1}).distinct()
+    return whole.where(F.col("grp").isNotNull() & F.col("child").isNotNull()).fillna({"prio": "", "weight": 1})
+
 
+def _large(links: DataFrame, bound: int) -> DataFrame:
+    """Groups with more than ``bound`` rows, repeated ones included: what a task would have to hold."""
+    return cut(links.where(F.col("grp").isNotNull()).groupBy("grp").count().where(F.col("count") > bound).select("grp"))
 
-def _large(whole: DataFrame, bound: int) -> DataFrame:
-    return cut(whole.groupBy("grp").count().where(F.col("count") > bound).select("grp"))
+
+def closed_chains(links: DataFrame, bound: int = GROUP_BOUND) -> DataFrame:
+    """``(grp, node)``: nodes on a closed chain of links, a self-link included, whatever the number of
+    parents. ``links`` as in ``hierarchy``. Weighted disjoint sets tell the connected parts that can't
+    hold one; only the others are searched."""
+    large = _large(links, bound)
+    whole = _whole(links).select("grp", "child", "parent").where(F.col("parent").isNotNull())
+    solve = functools.partial(_solve_small, solve=closed_group, schema="grp string, node string", columns=("child", "parent"))
+    if not large.limit(1).count():
+        return solve(whole)
+    spread = _closed_spread(cut(whole.join(large, "grp", "left_semi").distinct()), bound)
+    return solve(whole.join(large, "grp", "left_anti")).unionByName(spread.where(~F.col("node").startswith(HIDDEN)))
 
 
 def hierarchy(links: DataFrame, single_parent: bool = False, bound: int = GROUP_BOUND, counts: bool = True) -> DataFrame:
@@ -460,12 +530,12 @@ def hierarchy(links: DataFrame, single_parent: bool = False, bound: int = GROUP_
     state. An empty table gives no rows.
     """
     whole = _whole(links)
-    large = _large(whole, bound)
+    large = _large(links, bound)
     solve = functools.partial(solve_group, counts=counts)
     if not large.limit(1).count():
         return _solve_small(whole, solve)
     small = _solve_small(whole.join(large, "grp", "left_anti"), solve)
-    return small.unionByName(_solve_spread(whole.join(large, "grp", "left_semi"), single_parent, bound, counts))
+    return small.unionByName(_solve_spread(whole.join(large, "grp", "left_semi").distinct(), single_parent, bound, counts))
 
 
 def reachable(links: DataFrame, bound: int = PAIRS_BOUND) -> DataFrame:
@@ -473,7 +543,7 @@ def reachable(links: DataFrame, bound: int = PAIRS_BOUND) -> DataFrame:
     all links, any number of parents per child, on and below closed chains too. ``distance`` is the
     least number of hops between shown nodes. ``links`` as in ``hierarchy``."""
     whole = _whole(links)
-    large = _large(whole, bound)
+    large = _large(links, bound)
     if not large.limit(1).count():
         return _solve_small(whole, reach_group, PAIRS)
     small = _solve_small(whole.join(large, "grp", "left_anti"), reach_group, PAIRS)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sparkloom.operators import drift, hierarchy, nested, references, rolling
 from sparkloom.session import clean_name, table, written
 
+#: Stands between the parts of a composed key.
+SEP = "\u0001"
+
 # --- 1: rolling totals -------------------------------------------------------------------------
 
 
@@ -65,13 +68,13 @@ def dataset_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     ident = F.coalesce(F.col("recipe_id").cast("string"), F.concat(F.lit("x"), F.xxhash64("inputs", "outputs").cast("string")))
     r = r.withColumn("hub", F.concat(F.lit(hierarchy.HIDDEN), ident))
     born = F.coalesce(F.date_format("created_at", "yyyyMMddHHmmss.SSSSSS"), F.lit("~"))
-    ins = r.select(F.col("flow_id").alias("grp"), F.col("hub").alias("child"), F.posexplode("inputs").alias("pos", "name")).select(
+    ins = r.select(F.col("flow_id").alias("grp"), F.col("hub").alias("child"), F.posexplode("inputs").alias("pos", "name")).where("name is not null").select(
         "grp", "child", clean_name(F.col("name")).alias("parent"), F.lit(0).alias("weight"), F.lpad(F.col("pos").cast("string"), 9, "0").alias("prio")
     )
     outs = r.select(F.col("flow_id").alias("grp"), F.explode("outputs").alias("name"), F.col("hub").alias("parent"), F.concat(born, F.lit("/"), F.lpad(ident, 20, "0")).alias("prio")).select(
         "grp", clean_name(F.col("name")).alias("child"), "parent", F.lit(1).alias("weight"), "prio"
     )
-    return ins.where("parent is not null").unionByName(outs)
+    return ins.unionByName(outs)
 
 
 def column_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +90,9 @@ def _both(spark: SparkSession, sf_dir: str, counts: bool = True) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(spark, sf_dir, counts=False).where("state = 'closed'").select(F.col("grp").alias("flow_id"), "node_kind", F.col("node").alias("node_name")).distinct()
+    of = lambda kind, links: links.withColumn("grp", F.concat(F.lit(kind + SEP), "grp"))
+    closed = hierarchy.closed_chains(of("dataset", dataset_links(spark, sf_dir)).unionByName(of("column", column_links(spark, sf_dir))))
+    return closed.select(F.substring_index("grp", SEP, -1).alias("flow_id"), F.substring_index("grp", SEP, 1).alias("node_kind"), F.col("node").alias("node_name")).distinct()
 
 
 def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,8 +236,6 @@ def p4_zone_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 6: drifting schemas -----------------------------------------------------------------------------
 
-SEP = "\u0001"
-
 
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "log_lines")

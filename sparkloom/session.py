@@ -62,7 +62,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 def clean_name(col):
     """Names compare after trimming blanks and lower-casing."""
-    return F.lower(F.regexp_replace(col, r"^\s+|\s+$", ""))
+    return F.lower(F.btrim(col, F.lit(" \t\n\x0b\f\r")))
 
 
 #: Session settings the engine is designed for; ``tune`` applies those the caller left unset.
