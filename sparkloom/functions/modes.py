@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from sparkloom.errors import UnsupportedError
 from sparkloom.functions.formula import blank, quoted
+from sparkloom.session import written
 
 
 @F.pandas_udf(StringType())
@@ -126,7 +127,13 @@ def bins(df: DataFrame, column: str, mode: str, out: str, n: int = 4, edges: lis
     """Add the zero-based bin (or its label) of a number; outside all bins is null."""
     c = F.col(quoted(column))
     if mode == "EQUAL_FREQUENCY":
-        code = F.when(c.isNotNull(), F.ntile(n).over(Window.partitionBy(c.isNull()).orderBy(c)) - 1)
+        return _equal_frequency(df, column, out, n, labels)
+    if mode == "KMEANS":
+        edges = _centre_edges(df.select(c.cast("double").alias("v")).where("v is not null"), n)
+        code = F.lit(None).cast("int")
+        for i in range(len(edges) - 1, -1, -1):
+            code = F.when(c <= edges[i], i).otherwise(code)
+        code = F.when(c.isNotNull(), F.coalesce(code, F.lit(len(edges))))
     else:
         if mode == "EQUAL_WIDTH":
             lo, hi = df.agg(F.min(c), F.max(c)).first()
@@ -144,6 +151,49 @@ def bins(df: DataFrame, column: str, mode: str, out: str, n: int = 4, edges: lis
     return df.withColumn(out, F.get(F.array(*[F.lit(x) for x in labels]), code.cast("int")) if labels else code.cast("int"))
 
 
+def _centre_edges(values: DataFrame, n: int) -> list[float]:
+    """Borders halfway between the centres of ``n`` clusters of a number, from quantiles as the first
+    centres and until none moves."""
+    first = values.agg(F.percentile("v", F.array(*[F.lit((i + 0.5) / n) for i in range(n)]))).first()[0]
+    centres = sorted(set(first or []))
+    for _ in range(100):
+        edges = [(a + b) / 2 for a, b in zip(centres, centres[1:], strict=False)]
+        code = F.lit(len(edges))
+        for i in range(len(edges) - 1, -1, -1):
+            code = F.when(F.col("v") <= edges[i], i).otherwise(code)
+        moved = sorted(r["m"] for r in values.groupBy(code.alias("k")).agg(F.avg("v").alias("m")).collect())
+        if moved == centres:
+            break
+        centres = moved
+    return [(a + b) / 2 for a, b in zip(centres, centres[1:], strict=False)]
+
+
+def _equal_frequency(df: DataFrame, column: str, out: str, n: int, labels: list[str] | None) -> DataFrame:
+    """Bins of as many rows each as ``ntile`` gives, equal values in any order, without sorting all
+    rows in one task: the place of a value is its count before, and its rows are dealt in turn."""
+    c = F.col(quoted(column))
+    counts = df.where(c.isNotNull()).groupBy(c.alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    parted = counts.repartitionByRange("_v").withColumn("_p", F.spark_partition_id())
+    parted = written(parted, "bin-counts")
+    sums = parted.groupBy("_p").agg(F.sum("_m").alias("_s"))
+    base = sums.withColumn("_base", F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).drop("_s")  # one row per partition
+    total = int(sums.agg(F.sum("_s")).first()[0] or 0)
+    before = F.sum("_m").over(Window.partitionBy("_p").orderBy("_v")) - F.col("_m") + F.col("_base")
+    placed = parted.join(F.broadcast(base), "_p").select("_v", before.alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(c, F.col("_salt")).orderBy(F.lit(1)))
+    # equal values: rows are numbered within parts of a value, the parts one after the other
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    salted = written(salted.withColumn("_nth", nth), "bin-rows")
+    parts = salted.where(c.isNotNull()).groupBy(c.alias("_pv"), F.col("_salt").alias("_ps")).agg(F.max("_nth").alias("_c"))
+    parts = parts.withColumn("_start", F.sum("_c").over(Window.partitionBy("_pv").orderBy("_ps")) - F.col("_c")).drop("_c")
+    joined = salted.join(parts, (c == F.col("_pv")) & (F.col("_salt") == F.col("_ps")), "left").join(placed, c == F.col("_v"), "left")
+    at = F.col("_before") + F.col("_start") + F.col("_nth") - 1
+    small, big = total // n, total % n  # the first ``big`` bins have one row more
+    code = F.when(at < big * (small + 1), F.floor(at / (small + 1))).otherwise(big + F.floor((at - big * (small + 1)) / max(small, 1)))
+    code = F.when(c.isNotNull(), code.cast("int"))
+    return joined.withColumn(out, F.get(F.array(*[F.lit(x) for x in labels]), code) if labels else code).drop("_salt", "_nth", "_pv", "_ps", "_start", "_v", "_before")
+
+
 def normalise(df: DataFrame, column: str, mode: str, out: str) -> DataFrame:
     """Scale a number by statistics of its column."""
     c = F.col(quoted(column)).cast("double")

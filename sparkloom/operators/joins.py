@@ -53,6 +53,9 @@ def join(left: DataFrame, right: DataFrame, keys: list[dict], how: str = "INNER"
         raise UnsupportedError(f"join type {how}")
     if not keys:
         raise ValidationError("a join needs keys")
+    nearest = [k for k in keys if k.get("matchType", "EQ") in ("K_NEAREST", "K_NEAREST_INFERIOR")]
+    if nearest:
+        return _nearest(left, right, nearest, [k for k in keys if k not in nearest], how, suffixes)
     same = {k["left"] for k in keys if k["left"] == k["right"] and k.get("matchType", "EQ") == "EQ"}
     r = right.withColumnsRenamed({c: f"_r_{c}" for c in right.columns})
     cond: Column | None = None
@@ -90,70 +93,132 @@ def join(left: DataFrame, right: DataFrame, keys: list[dict], how: str = "INNER"
     return joined.select(*out)
 
 
+def _nearest(left: DataFrame, right: DataFrame, nearest: list[dict], equal: list[dict], how: str, suffixes: tuple[str, str]) -> DataFrame:
+    """A join whose one nearest key is looked for among the rows that the equi keys match."""
+    if len(nearest) > 1 or any(k.get("matchType", "EQ") != "EQ" for k in equal) or how not in ("INNER", "LEFT"):
+        raise UnsupportedError("a nearest key goes with equi keys in an inner or left join")
+    key = nearest[0]
+    names = [f"_l{i}" for i in range(len(left.columns))]
+    l = left.toDF(*names).withColumn("_id", F.monotonically_increasing_id())
+    at = dict(zip(left.columns, names, strict=True))
+    found = k_nearest(l, right, "_id", at[key["left"]], key["right"], [(at[k["left"]], k["right"]) for k in equal], int(key.get("k", 1)), key["matchType"] == "K_NEAREST_INFERIOR", key.get("tie"), keep=names, outer=how == "LEFT")
+    clash = set(left.columns) & set(right.columns)
+    mine = [F.col(n).alias(c + suffixes[0] if c in clash else c) for c, n in at.items()]
+    return found.select(*mine, *[F.col(quoted(c + "_right")).alias(c + suffixes[1] if c in clash else c) for c in right.columns])
+
+
 def unmatched(left: DataFrame, right: DataFrame, keys: list[dict]) -> tuple[DataFrame, DataFrame]:
     """Rows of either side without a partner."""
     return join(left, right, keys, "LEFT_ANTI"), join(left, right, keys, "RIGHT_ANTI")
 
 
-def as_of(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, direction: str = "backward", tie: str | None = None) -> DataFrame:
+#: Rows of an as-of join in one band of time; more rows are spread over more bands.
+BAND_ROWS = 2_000_000
+
+
+def as_of(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, direction: str = "backward", tie: str | None = None, band_rows: int = BAND_ROWS) -> DataFrame:
     """Each left row with the nearest right row in time; equal times match.
 
     Both sides are tagged and put in one sequence per ``by``; the last (or next) right row is carried
-    along. No pairs are built. Right columns come out with ``_right``; ``tie`` orders right rows of
-    one time, the greatest counts. Left rows without time or partner have nulls.
+    along. No pairs are built. Where there are more than ``band_rows`` rows in all, time is cut into
+    bands of equal length and each group into its bands, so that a group that holds most rows is no
+    single task; the last right row of the bands before is carried into a band. Right columns come
+    out with ``_right``; ``tie`` orders right rows of one time, the greatest counts. Left rows without
+    time or partner have nulls.
     """
+    if direction not in ("backward", "forward", "nearest"):
+        raise UnsupportedError(f"direction {direction}")
     by = by or []
-    pack = F.struct(*[F.col(quoted(c)) for c in right.columns])
-    kind = dict(right.dtypes)
-    r_type = "struct<" + ",".join(f"{quoted(c)}:{t}" for c, t in right.dtypes) + ">"
-    l = left.withColumn("_id", F.monotonically_increasing_id())
-    l = l.select(*[F.col(quoted(c)).alias(f"_by{i}") for i, c in enumerate(by)], F.col(quoted(left_on)).alias("_t"), F.lit(1).alias("_tag"), F.lit(None).cast(kind[tie] if tie else "int").alias("_tie"), F.struct(*[F.col(quoted(c)) for c in left.columns]).alias("_l"), F.lit(None).cast(r_type).alias("_r"))
-    r = right.select(*[F.col(quoted(c)).alias(f"_by{i}") for i, c in enumerate(by)], F.col(quoted(right_on)).alias("_t"), F.lit(0).alias("_tag"), (F.col(quoted(tie)) if tie else F.lit(None).cast("int")).alias("_tie"), F.lit(None).cast("struct<" + ",".join(f"{quoted(c)}:{t}" for c, t in left.dtypes) + ">").alias("_l"), pack.alias("_r"), F.col(quoted(right_on)).alias("_rt")).where("_rt is not null").drop("_rt")
-    both = l.unionByName(r)
+    kind = dict(left.dtypes)[left_on]
+    r_kind = dict(right.dtypes)
+    struct = lambda df: "struct<" + ",".join(f"{quoted(c)}:{t}" for c, t in df.dtypes) + ">"
     keys = [f"_by{i}" for i in range(len(by))]
-    back = Window.partitionBy(*keys).orderBy(F.col("_t").asc_nulls_first(), "_tag", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    fore = Window.partitionBy(*keys).orderBy(F.col("_t").desc_nulls_first(), "_tag", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    if direction == "backward":
-        both = both.withColumn("_m", F.last("_r", ignorenulls=True).over(back))
-    elif direction == "forward":
-        both = both.withColumn("_m", F.last("_r", ignorenulls=True).over(fore))
-    elif direction == "nearest":
-        both = both.withColumn("_b", F.last("_r", ignorenulls=True).over(back)).withColumn("_f", F.last("_r", ignorenulls=True).over(fore))
-        gap = lambda c: F.abs(_number(F.col("_t"), dict(left.dtypes)[left_on]) - _number(F.col(c)[right_on], dict(left.dtypes)[left_on]))
-        both = both.withColumn("_m", F.when(F.col("_f").isNull() | (gap("_b") <= gap("_f")), F.col("_b")).otherwise(F.coalesce("_f", "_b")))
-    else:
-        raise UnsupportedError(f"direction {direction}")
-    found = both.where("_tag = 1").withColumn("_m", F.when(F.col("_t").isNotNull(), F.col("_m")))
-    drop = set(by)
-    return found.select(*[F.col(f"_l.{quoted(c)}").alias(c) for c in left.columns], *[F.col(f"_m.{quoted(c)}").alias(c + "_right") for c in right.columns if c not in drop])
+    side = lambda df, on: [*[F.col(quoted(c)).alias(k) for c, k in zip(by, keys, strict=True)], F.col(quoted(on)).alias("_t")]
+    l = left.select(*side(left, left_on), F.lit(1).alias("_tag"), F.lit(None).cast(r_kind[tie] if tie else "int").alias("_tie"), F.struct(*[F.col(quoted(c)) for c in left.columns]).alias("_l"), F.lit(None).cast(struct(right)).alias("_r"))
+    r = right.select(*side(right, right_on), F.lit(0).alias("_tag"), (F.col(quoted(tie)) if tie else F.lit(None).cast("int")).alias("_tie"), F.lit(None).cast(struct(left)).alias("_l"), F.struct(*[F.col(quoted(c)) for c in right.columns]).alias("_r")).where("_t is not null")
+    both = l.unionByName(r)
+    number = _number(F.col("_t"), kind)
+    lo, hi, n = both.agg(F.min(number), F.max(number), F.count(F.lit(1))).first()
+    bands = max(1, -(-n // band_rows))
+    width = ((hi - lo) / bands if lo is not None else 0) or 1.0
+    both = both.withColumn("_band", F.least(F.floor((number - F.lit(lo or 0.0)) / width), F.lit(bands - 1)) if bands > 1 else F.lit(0).cast("bigint"))
+    part = Window.partitionBy(*keys, "_band")
+    rows = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    back = rows(part.orderBy(F.col("_t").asc_nulls_first(), "_tag", "_tie"))
+    fore = rows(part.orderBy(F.col("_t").desc_nulls_first(), "_tag", "_tie"))
+    out = both
+    if direction != "forward":
+        out = out.withColumn("_b", F.last("_r", ignorenulls=True).over(back))
+    if direction != "backward":
+        out = out.withColumn("_f", F.last("_r", ignorenulls=True).over(fore))
+    if bands > 1:
+        # at most one row per group and band is carried
+        mine = both.where("_tag = 0").groupBy(*keys, "_band").agg(F.max_by("_r", F.struct("_t", "_tie")).alias("_last"), F.max_by("_r", F.struct(-number, F.col("_tie"))).alias("_first"))
+        spans = both.select(*keys, "_band").distinct().join(mine.withColumnsRenamed({c: f"m{c}" for c in (*keys, "_band")}), _same([*keys, "_band"]), "left").drop(*[f"m{c}" for c in (*keys, "_band")])
+        over = Window.partitionBy(*keys)
+        spans = spans.select(*keys, "_band", F.last("_last", ignorenulls=True).over(over.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("_first", ignorenulls=True).over(over.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+        out = out.join(spans.withColumnsRenamed({c: f"m{c}" for c in (*keys, "_band")}), _same([*keys, "_band"]), "left")
+        for c, carried in (("_b", "_before"), ("_f", "_after")):
+            if c in out.columns:
+                out = out.withColumn(c, F.coalesce(c, carried))
+    found = out.where("_tag = 1")
+    gap = lambda c: F.abs(number - _number(F.col(c)[right_on], kind))
+    match = {"backward": lambda: F.col("_b"), "forward": lambda: F.col("_f"), "nearest": lambda: F.when(F.col("_f").isNull() | (gap("_b") <= gap("_f")), F.col("_b")).otherwise(F.coalesce("_f", "_b"))}[direction]()
+    found = found.withColumn("_m", F.when(F.col("_t").isNotNull(), match))
+    return found.select(*[F.col(f"_l.{quoted(c)}").alias(c) for c in left.columns], *[F.col(f"_m.{quoted(c)}").alias(c + "_right") for c in right.columns if c not in by])
+
+
+def _same(columns: list[str]) -> Column:
+    """Null-safe equality of columns with those of the other side, which have an ``m`` before."""
+    cond = F.lit(True)
+    for c in columns:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"m{c}"))
+    return cond
 
 
 def _number(c: Column, kind: str) -> Column:
     return F.unix_micros(c.cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else c.cast("double")
 
 
-def k_nearest(left: DataFrame, right: DataFrame, left_id: str, left_on: str, right_on: str, by: list[tuple[str, str]], k: int = 1, inferior: bool = False, tie: str | None = None, step: int = 0) -> DataFrame:
+def k_nearest(left: DataFrame, right: DataFrame, left_id: str, left_on: str, right_on: str, by: list[tuple[str, str]], k: int = 1, inferior: bool = False, tie: str | None = None, keep: list[str] | None = None, outer: bool = False) -> DataFrame:
     """For each left row the ``k`` right rows of the same group whose value is nearest.
 
     Values are put in one order per group; only the ``k`` before and the ``k`` after each left row
-    are compared, so that no group is paired with itself.
+    are compared, so that no group is paired with itself. ``inferior``: only values not above the
+    left one. ``tie`` orders right rows as near as each other. ``keep`` names left columns that come
+    out too, ``outer`` keeps left rows without partner.
     """
     keys = [f"_by{i}" for i in range(len(by))]
-    r_type = "struct<v:double,tie:string,row:struct<" + ",".join(f"{quoted(c)}:{t}" for c, t in right.dtypes) + ">>"
-    item = F.struct(F.col(quoted(right_on)).cast("double").alias("v"), (F.col(quoted(tie)).cast("string") if tie else F.lit("")).alias("tie"), F.struct(*[F.col(quoted(c)) for c in right.columns]).alias("row"))
-    l = left.select(*[F.col(quoted(a)).alias(keys[i]) for i, (a, _) in enumerate(by)], F.col(quoted(left_on)).cast("double").alias("_v"), F.lit(1).alias("_tag"), F.col(quoted(left_id)).alias("_id"), F.lit(None).cast(r_type).alias("_r"))
-    r = right.select(*[F.col(quoted(b)).alias(keys[i]) for i, (_, b) in enumerate(by)], F.col(quoted(right_on)).cast("double").alias("_v"), F.lit(0).alias("_tag"), F.lit(None).cast(dict(left.dtypes)[left_id]).alias("_id"), item.alias("_r")).where("_v is not null")
+    kept = keep or []
+    tied = F.col(quoted(tie)).cast("string") if tie else F.lit("")
+    l_type = "struct<" + ",".join(f"{quoted(c)}:{t}" for c, t in left.dtypes) + ">"
+    r_type = "struct<" + ",".join(f"{quoted(c)}:{t}" for c, t in right.dtypes) + ">"
+    l = left.select(*[F.col(quoted(a)).alias(n) for n, (a, _) in zip(keys, by, strict=True)], F.col(quoted(left_on)).cast("double").alias("_v"), F.lit(1).alias("_tag"), F.lit(None).cast("string").alias("_tie"), F.struct(*[F.col(quoted(c)) for c in left.columns]).alias("_l"), F.lit(None).cast(r_type).alias("_r"))
+    r = right.select(*[F.col(quoted(b)).alias(n) for n, (_, b) in zip(keys, by, strict=True)], F.col(quoted(right_on)).cast("double").alias("_v"), F.lit(0).alias("_tag"), tied.alias("_tie"), F.lit(None).cast(l_type).alias("_l"), F.struct(*[F.col(quoted(c)) for c in right.columns]).alias("_r")).where("_v is not null")
     both = l.unionByName(r)
-    w = Window.partitionBy(*keys).orderBy("_v", "_tag")
-    nth = F.sum((F.col("_tag") == 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = both.withColumn("_n", nth)
-    rows = ranked.where("_tag = 0").select(*keys, F.col("_n").alias("_rn"), "_r")
-    want = F.sequence(F.col("_n") - (k - 1), F.col("_n") + (0 if inferior else k))
-    asks = ranked.where("_tag = 1 and _v is not null").select(*keys, "_id", "_v", F.explode(want).alias("_rn"))
-    near = asks.join(rows, [*keys, "_rn"]).withColumn("_gap", F.abs(F.col("_v") - F.col("_r.v")))
-    best = Window.partitionBy("_id").orderBy("_gap", F.col("_r.tie"), "_rn")
-    top = near.withColumn("nearest_rank", F.row_number().over(best)).where(F.col("nearest_rank") <= k)
-    return top.select(F.col("_id").alias(left_id), F.col("_v").alias(left_on), "nearest_rank", F.col("_gap").alias("gap"), *[F.col(f"_r.row.{quoted(c)}").alias(c + "_right") for c in right.columns])
+    w = Window.partitionBy(*keys)
+    nth = F.sum(1 - F.col("_tag"))
+    # right rows of one value: the first by tie stand nearest to the left row on either side
+    low = nth.over(w.orderBy("_v", "_tag", F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0))
+    high = nth.over(w.orderBy("_v", "_tag", "_tie").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = both.withColumn("_low", low).withColumn("_high", high)
+    place = lambda side, at: F.struct(F.lit(side).alias("_side"), at.alias("_rn"))
+    rows = ranked.where("_tag = 0").select(*keys, F.col("_v").alias("_rv"), "_tie", "_r", F.inline(F.array(place(0, F.col("_low")), *([] if inferior else [place(1, F.col("_high"))]))))
+    below = F.transform(F.sequence(F.col("_low") - (k - 1), F.col("_low")), lambda i: F.struct(F.lit(0).alias("_side"), i.alias("_rn")))
+    above = F.transform(F.sequence(F.col("_high") + 1, F.col("_high") + k), lambda i: F.struct(F.lit(1).alias("_side"), i.alias("_rn")))
+    asks = ranked.where("_tag = 1").select(*keys, "_l", "_v", F.inline(below if inferior else F.concat(below, above)))
+    asked = asks.withColumnsRenamed({n: f"m{n}" for n in (*keys, "_side", "_rn")})
+    near = asked.join(rows, _same([*keys, "_side", "_rn"]) if not by else (_equal([*keys, "_side", "_rn"])), "left" if outer else "inner").withColumn("_gap", F.abs(F.col("_v") - F.col("_rv")))
+    best = Window.partitionBy(F.col(f"_l.{quoted(left_id)}")).orderBy(F.col("_gap").asc_nulls_last(), "_tie", "_side", F.col("_rn").desc_nulls_last())
+    top = near.withColumn("nearest_rank", F.row_number().over(best)).where((F.col("nearest_rank") <= k) & (F.col("_r").isNotNull() | (F.lit(outer) & (F.col("nearest_rank") == 1))))
+    return top.select(F.col(f"_l.{quoted(left_id)}").alias(left_id), *[F.col(f"_l.{quoted(c)}").alias(c) for c in (kept or [left_on])], F.when(F.col("_r").isNotNull(), F.col("nearest_rank")).alias("nearest_rank"), F.col("_gap").alias("gap"), *[F.col(f"_r.{quoted(c)}").alias(c + "_right") for c in right.columns])
+
+
+def _equal(columns: list[str]) -> Column:
+    cond = F.lit(True)
+    for c in columns:
+        cond = cond & (F.col(c) == F.col(f"m{c}"))
+    return cond
 
 
 def damerau(a: str, b: str) -> int:
@@ -188,54 +253,116 @@ def grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
 
 
-def fuzzy(left: DataFrame, right: DataFrame, left_on: str, right_on: str, threshold: float, metric: str = "LEVENSHTEIN", relative: bool = False, q: int = 2, normalise: list[str] | None = None) -> DataFrame:
-    """Pairs of rows whose texts are no farther apart than ``threshold``, with the ``distance``.
+STOP_WORDS = ["a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with"]
+TEXT_METRICS = ("LEVENSHTEIN", "DAMERAU_LEVENSHTEIN", "HAMMING", "JACCARD", "COSINE")
+
+
+def _ready(c: Column, steps: list[str]) -> Column:
+    """A text made comparable by the named steps."""
+    known = {"CASE_INSENSITIVE", "REMOVE_PUNCTUATION", "CLEAR_SALUTATIONS", "CLEAR_STOP_WORDS", "ALPHABETIC_SORT"}
+    if set(steps) - known:
+        raise UnsupportedError(f"text normalisation {sorted(set(steps) - known)}")
+    if "CASE_INSENSITIVE" in steps:
+        c = F.lower(c)
+    if "REMOVE_PUNCTUATION" in steps:
+        c = F.regexp_replace(c, r"\p{Punct}", "")
+    if "CLEAR_SALUTATIONS" in steps:
+        c = F.regexp_replace(c, r"(?i)\b(?:mr|mrs|ms|dr|prof)\b\.?\s*", "")
+    if "CLEAR_STOP_WORDS" in steps:
+        c = F.array_join(F.filter(F.split(F.trim(c), r"\s+"), lambda w: ~F.lower(w).isin(STOP_WORDS)), " ")
+    if "ALPHABETIC_SORT" in steps:
+        c = F.array_join(F.array_sort(F.split(F.trim(c), r"\s+")), " ")
+    return c
+
 
-    Texts within d edits share a gram unless they have fewer than (d + 1) * q characters; candidates
-    are those that share one of the text's rarest grams, enough of them that none is missed, or that
-    are too short for it and are compared by length. Candidates are then measured exactly.
-    ``relative``: threshold is a share of the longer text.
+def _prefixes(texts: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """The ``_keep`` rarest grams of each text: two texts that are near enough share one of them."""
+    ranked = texts.select(name, "_keep", F.explode("_gs").alias("_g")).join(counts, "_g").withColumn("_k", F.row_number().over(Window.partitionBy(name).orderBy("_n", "_g")))
+    return ranked.where(F.col("_k") <= F.col("_keep")).select(name, "_g")
+
+
+def fuzzy(left: DataFrame, right: DataFrame, left_on: str, right_on: str, threshold: float, metric: str = "LEVENSHTEIN", relative: bool = False, q: int = 2, normalise: list[str] | None = None, how: str = "INNER") -> DataFrame:
+    """Pairs of rows whose keys are no farther apart than ``threshold``, with the ``distance``.
+
+    Text metrics: candidates are texts that share one of their rarest grams, as many of them as it
+    takes to miss no pair; texts too short for it are compared by length. Candidates are then measured
+    exactly. EUCLIDEAN: numbers, joined by bands. GEOSPATIAL: points in WKT, metres, joined by cells.
+    EQUALITY: the same text. ``relative``: the threshold is a share of the longer text. ``how`` INNER,
+    LEFT, RIGHT or OUTER keeps rows without partner, those with a null key too. Columns get the
+    prefixes ``l_`` and ``r_``.
     """
-    norm = normalise or []
-
-    def ready(c: Column) -> Column:
-        if "CASE_INSENSITIVE" in norm:
-            c = F.lower(c)
-        if "REMOVE_PUNCTUATION" in norm:
-            c = F.regexp_replace(c, r"\p{Punct}", "")
-        if "CLEAR_SALUTATIONS" in norm:
-            c = F.regexp_replace(c, r"(?i)\b(?:mr|mrs|ms|dr|prof)\b\.?\s*", "")
-        if "ALPHABETIC_SORT" in norm:
-            c = F.array_join(F.array_sort(F.split(F.trim(c), r"\s+")), " ")
-        return c
-
-    l = left.withColumnsRenamed({c: f"l_{c}" for c in left.columns}).withColumn("_a", ready(F.col(quoted("l_" + left_on)))).where("_a is not null")
-    r = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns}).withColumn("_b", ready(F.col(quoted("r_" + right_on)))).where("_b is not null")
-    ta, tb = l.select("_a").distinct(), r.select("_b").distinct()
-    ga, gb = ta.withColumn("_g", F.explode(grams(F.col("_a"), q))), tb.withColumn("_g", F.explode(grams(F.col("_b"), q)))
-    if metric in ("JACCARD", "COSINE"):
-        pairs = ga.join(gb, "_g").groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    metric, how = metric.upper(), how.upper()
+    if how not in ("INNER", "LEFT", "RIGHT", "OUTER"):
+        raise UnsupportedError(f"fuzzy join type {how}")
+    if metric not in (*TEXT_METRICS, "EUCLIDEAN", "GEOSPATIAL", "EQUALITY"):
+        raise UnsupportedError(f"distance metric {metric}")
+    if relative and metric in ("EUCLIDEAN", "GEOSPATIAL"):
+        raise UnsupportedError(f"a relative threshold for {metric}")
+    l = left.withColumnsRenamed({c: f"l_{c}" for c in left.columns})
+    r = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns})
+    lk, rk = F.col(quoted("l_" + left_on)), F.col(quoted("r_" + right_on))
+    if metric == "EUCLIDEAN":
+        l, r = l.withColumn("_a", lk.cast("double")), r.withColumn("_b", rk.cast("double"))
+        band = lambda c: F.floor(c / F.lit(float(threshold) or 1.0)).cast("bigint")
+        found = l.where("_a is not null").select("_a").distinct().withColumn("_n", band(F.col("_a"))).join(r.where("_b is not null").select("_b").distinct().withColumn("_n", F.explode(F.sequence(band(F.col("_b")) - 1, band(F.col("_b")) + 1))), "_n")
+        found = found.withColumn("distance", F.abs(F.col("_a") - F.col("_b"))).where(F.col("distance") <= threshold)
+    elif metric == "GEOSPATIAL":
+        l, r = l.withColumn("_a", lk), r.withColumn("_b", rk)
+        points = lambda df, c: df.select(c).distinct().withColumns(dict(zip(("lon", "lat"), lon_lat(F.col(c)), strict=True))).where("lat is not null and lon is not null")
+        found = within_distance(points(l, "_a"), points(r, "_b"), ("lat", "lon"), ("lat", "lon"), float(threshold)).select(F.col("l__a").alias("_a"), F.col("r__b").alias("_b"), "distance")
+    else:
+        l, r = l.withColumn("_a", _ready(lk.cast("string"), normalise or [])), r.withColumn("_b", _ready(rk.cast("string"), normalise or []))
+        ta, tb = l.where("_a is not null").select("_a").distinct(), r.where("_b is not null").select("_b").distinct()
+        found = ta.join(tb, F.col("_a") == F.col("_b")).withColumn("distance", F.lit(0)) if metric == "EQUALITY" else _near_texts(ta, tb, threshold, metric, relative, q)
+    pairs = l.join(found.select("_a", "_b", "distance"), "_a").join(r, "_b").drop("_a", "_b")
+    if how in ("LEFT", "OUTER"):
+        pairs = pairs.unionByName(l.join(found.select("_a"), "_a", "left_anti").drop("_a"), allowMissingColumns=True)
+    if how in ("RIGHT", "OUTER"):
+        pairs = pairs.unionByName(r.join(found.select("_b"), "_b", "left_anti").drop("_b"), allowMissingColumns=True)
+    return pairs
+
+
+def _near_texts(ta: DataFrame, tb: DataFrame, threshold: float, metric: str, relative: bool, q: int) -> DataFrame:
+    """``(_a, _b, distance)`` of distinct texts no farther apart than the threshold."""
+    size, length = F.size("_gs"), F.length
+    sets = metric in ("JACCARD", "COSINE")
+    if sets:
+        share = 1 - threshold if metric == "JACCARD" else (1 - threshold) ** 2
+        loss = size - F.ceil(F.lit(max(share, 0.0)) * size - 1e-9)
+    else:
+        # edits that the text may have to go through, and grams that one edit can change
+        edits = (lambda n: F.floor(F.lit(threshold) * n / (1 - threshold) + 1e-9)) if relative and threshold < 1 else (lambda n: F.lit(int(threshold)))
+        loss = lambda name: edits(length(name)) * (q + 1 if metric.startswith("DAMERAU") else q)
+    gram = lambda t, name: t.withColumn("_gs", grams(F.col(name), q)).withColumn("_keep", (loss if sets else loss(name)) + 1)
+    ga, gb = gram(ta, "_a"), gram(tb, "_b")
+    counts = ga.select(F.explode("_gs").alias("_g")).unionByName(gb.select(F.explode("_gs").alias("_g"))).groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    cand = _prefixes(ga, counts, "_a").join(_prefixes(gb, counts, "_b"), "_g").select("_a", "_b").distinct()
+    if sets:
+        common = F.size(F.array_intersect(grams(F.col("_a"), q), grams(F.col("_b"), q)))
         na, nb = F.size(grams(F.col("_a"), q)), F.size(grams(F.col("_b"), q))
-        sim = F.col("_c") / (na + nb - F.col("_c")) if metric == "JACCARD" else F.col("_c") / F.sqrt(na * nb)
-        found = pairs.withColumn("distance", 1 - sim).where(F.col("distance") <= threshold)
+        sim = common / (na + nb - common) if metric == "JACCARD" else common / F.sqrt(na * nb)
+        return cand.withColumn("distance", 1 - sim).where(F.col("distance") <= threshold + 1e-12)
+    limit = F.floor(F.lit(threshold) * F.greatest(length("_a"), length("_b")) + 1e-9) if relative else F.lit(int(threshold))
+    short = size < F.col("_keep")
+    lengths = F.sequence(F.greatest(F.lit(0), length("_a") - edits(length("_a")).cast("int")), length("_a") + edits(length("_a")).cast("int"))
+    few = ga.where(short).select("_a", F.explode(lengths).alias("_n")).join(tb.withColumn("_n", length("_b")), "_n").select("_a", "_b")
+    lengths_b = F.sequence(F.greatest(F.lit(0), length("_b") - edits(length("_b")).cast("int")), length("_b") + edits(length("_b")).cast("int"))
+    few_b = gb.where(short).select("_b", F.explode(lengths_b).alias("_n")).join(ta.withColumn("_n", length("_a")), "_n").select("_a", "_b")
+    cand = cand.unionByName(few).unionByName(few_b).distinct().where(F.abs(length("_a") - length("_b")) <= limit)
+    if metric == "HAMMING":
+        d = F.when(length("_a") == length("_b"), F.aggregate(F.zip_with(F.split("_a", ""), F.split("_b", ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x))
+    elif metric.startswith("DAMERAU"):
+        cand = cand.where(F.levenshtein("_a", "_b") <= 2 * limit)  # an exchange of neighbours is two plain edits
+        d = damerau_udf("_a", "_b")
     else:
-        limit = (lambda n: F.floor(F.lit(threshold) * n)) if relative else (lambda n: F.lit(int(threshold)))
-        longest = F.greatest(F.length("_a"), F.length("_b"))
-        swap = 2 if metric.startswith("DAMERAU") else 1
-        short = F.length("_a") < (limit(F.length("_a") / (1 - threshold) if relative and threshold < 1 else F.length("_a")) * swap + 1) * (q + swap)
-        cand = ga.join(gb, "_g").where(F.abs(F.length("_a") - F.length("_b")) <= limit(longest)).select("_a", "_b").distinct()
-        few = ta.where(short).withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(0), F.length("_a") - limit(F.length("_a") * 2)), F.length("_a") + limit(F.length("_a") * 2)))).join(tb.withColumn("_n", F.length("_b")), "_n").select("_a", "_b")
-        cand = cand.unionByName(few).distinct()
-        if metric == "EQUALITY":
-            d = F.when(F.col("_a") == F.col("_b"), 0).otherwise(1_000_000)
-        elif metric == "HAMMING":
-            d = F.when(F.length("_a") == F.length("_b"), F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length("_a"), F.lit(1))), lambda i: F.substring("_a", i, F.lit(1)) != F.substring("_b", i, F.lit(1)))))
-        elif metric.startswith("DAMERAU"):
-            d = damerau_udf("_a", "_b")
-        else:
-            d = F.levenshtein("_a", "_b")
-        found = cand.withColumn("distance", d).where(F.col("distance") <= limit(longest))
-    return l.join(found.select("_a", "_b", "distance"), "_a").join(r, "_b").drop("_a", "_b")
+        d = F.levenshtein("_a", "_b")
+    return cand.withColumn("distance", d).where(F.col("distance") <= limit)
+
+
+def lon_lat(c: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a WKT point; null for anything else."""
+    pattern = r"(?i)POINT\s*\(\s*(-?[\d.eE+-]+)\s+(-?[\d.eE+-]+)\s*\)"
+    return F.regexp_extract(c, pattern, 1).try_cast("double"), F.regexp_extract(c, pattern, 2).try_cast("double")
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, unit: str = "METER") -> Column:
@@ -268,10 +395,64 @@ def within_distance(left: DataFrame, right: DataFrame, left_at: tuple[str, str],
     return l.join(r, ["_x", "_y"]).withColumn("distance", d).where(F.col("distance") <= distance).drop("_x", "_y")
 
 
+def beyond_distance(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], distance: float, unit: str = "METER") -> DataFrame:
+    """Pairs of points farther apart than ``distance``. Nearly all pairs are, so that this is a product
+    with a condition by its nature; columns as in ``within_distance``."""
+    l = left.withColumnsRenamed({c: f"l_{c}" for c in left.columns})
+    r = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns})
+    at = [F.col(quoted(p + c)).cast("double") for p, cs in (("l_", left_at), ("r_", right_at)) for c in cs]
+    return l.crossJoin(r).withColumn("distance", haversine(*at, unit)).where(F.col("distance") > distance)
+
+
+def _boxed(df: DataFrame, column: str, p: str) -> DataFrame:
+    """With the bounding box of a WKT shape, JVM-side; rows without a shape are left out."""
+    xy = F.transform(F.regexp_extract_all(F.col(quoted(column)), F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+    df = df.withColumn("_xy", xy).where(F.size("_xy") >= 2)
+    every = lambda k: F.filter("_xy", lambda _, i: i % 2 == k)
+    return df.withColumns({f"{p}x0": F.array_min(every(0)), f"{p}x1": F.array_max(every(0)), f"{p}y0": F.array_min(every(1)), f"{p}y1": F.array_max(every(1))}).drop("_xy")
+
+
+def geo_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, kind: str) -> DataFrame:
+    """Pairs of WKT shapes in a planar relation; columns get the prefixes ``l_`` and ``r_``.
+
+    Only shapes whose bounding boxes meet are compared. A box is put in the at most four cells it
+    meets in a grid as coarse as the box is large, and in the cells of all coarser grids; two boxes
+    meet in the cell of the coarser of their grids that holds the least corner of what they share.
+    DISJOINT is a product without the pairs that meet.
+    """
+    l = left.withColumnsRenamed({c: f"l_{c}" for c in left.columns})
+    r = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns})
+    a, b = "l_" + left_on, "r_" + right_on
+    if kind == "DISJOINT":
+        return l.crossJoin(r).where(geo_relation(kind)(F.col(quoted(a)), F.col(quoted(b))))
+    l, r = _boxed(l, a, "_a"), _boxed(r, b, "_b")
+    side = lambda p: F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0"), F.lit(1e-6))
+    level = lambda p: F.ceil(F.log2(side(p))).cast("int")
+    top = max([x for x in (l.agg(F.max(level("_a"))).first()[0], r.agg(F.max(level("_b"))).first()[0]) if x is not None], default=0)
+    l, r = l.withColumn("_al", level("_a")), r.withColumn("_bl", level("_b"))
+    cell = lambda v, n: F.floor(v / F.pow(F.lit(2.0), n)).cast("bigint")
+
+    def cells(df: DataFrame, p: str, levels: Column) -> DataFrame:
+        df = df.withColumn("_n", F.explode(levels))
+        df = df.withColumn("_x", F.explode(F.sequence(cell(F.col(f"{p}x0"), F.col("_n")), cell(F.col(f"{p}x1"), F.col("_n")))))
+        return df.withColumn("_y", F.explode(F.sequence(cell(F.col(f"{p}y0"), F.col("_n")), cell(F.col(f"{p}y1"), F.col("_n")))))
+
+    own = lambda p: F.array(F.col(f"{p}l"))
+    coarser = lambda p, least: F.filter(F.sequence(F.col(f"{p}l"), F.greatest(F.col(f"{p}l"), F.lit(top))), lambda n: n >= F.col(f"{p}l") + least)
+    pairs = cells(l, "_a", own("_a")).join(cells(r, "_b", coarser("_b", 0)), ["_n", "_x", "_y"]).unionByName(cells(l, "_a", coarser("_a", 1)).join(cells(r, "_b", own("_b")), ["_n", "_x", "_y"]))
+    meet = (F.col("_ax0") <= F.col("_bx1")) & (F.col("_bx0") <= F.col("_ax1")) & (F.col("_ay0") <= F.col("_by1")) & (F.col("_by0") <= F.col("_ay1"))
+    corner = (F.col("_x") == cell(F.greatest("_ax0", "_bx0"), F.col("_n"))) & (F.col("_y") == cell(F.greatest("_ay0", "_by0"), F.col("_n")))
+    pairs = pairs.where(meet & corner).select(*[quoted(f"l_{c}") for c in left.columns], *[quoted(f"r_{c}") for c in right.columns])
+    return pairs.where(geo_relation(kind)(F.col(quoted(a)), F.col(quoted(b))))
+
+
 def rings(wkt: str | None) -> list[list[tuple[float, float]]]:
-    """Rings of a POLYGON, points of a LINESTRING, or the point of a POINT in WKT."""
+    """Rings of a POLYGON, points of a LINESTRING, or the point of a POINT in WKT; shapes of several
+    parts are refused."""
     if not wkt or "(" not in wkt:
         return []
+    if wkt.lstrip()[:5].upper() in ("MULTI", "GEOME"):
+        raise UnsupportedError("shapes of several parts; explode them first")
     body = wkt[wkt.index("(") :].strip()
     parts = [p for p in body.replace("(", "").split(")") if p.strip(" ,")]
     return [[tuple(map(float, xy.split()[:2])) for xy in p.strip(" ,").split(",")] for p in parts]
@@ -328,6 +509,8 @@ def relation(a: str | None, b: str | None, kind: str) -> bool | None:
     b_in_a = poly_a and any(in_polygon(*p, ra) for r in rb for p in r)
     if kind in ("INTERSECTS", "DISJOINT"):
         return (touch or a_in_b or b_in_a) == (kind == "INTERSECTS")
+    if kind == "CONTAINS" and b.lstrip().upper().startswith("POINT"):
+        return b_in_a and not touch  # a point of the border is not inside
     if kind == "CONTAINS":
         return poly_a and not proper and all(in_polygon(*p, ra) or touch and any(segments_meet(p, p, *t) for t in edges(ra)) for r in rb for p in r)
     if kind == "WITHIN":

@@ -570,7 +570,10 @@ def binner(df, p):
 
 @processor("MeasureNormalize")
 def measure(df, p):
-    return modes.normalise(df, p["column"], str(p["mode"]).upper(), out(p, p["column"] + "_normalised"))
+    mode = str(p["mode"]).upper()
+    if mode in ("L1", "L2"):
+        return modes.row_norm(df, p.get("columns") or [p["column"]], mode)
+    return modes.normalise(df, p["column"], mode, out(p, p["column"] + "_normalised"))
 
 
 @processor("NumberClipping", "ClipColumn")
@@ -865,20 +868,15 @@ def geo_point(df, p):
     return put(df, out(p, "geopoint"), F.when(lat.isNotNull() & lon.isNotNull(), F.concat(F.lit("POINT("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")"))))
 
 
-def _lon_lat(c: Column) -> tuple[Column, Column]:
-    pattern = r"(?i)POINT\s*\(\s*(-?[\d.eE+-]+)\s+(-?[\d.eE+-]+)\s*\)"
-    return F.regexp_extract(c, pattern, 1).try_cast("double"), F.regexp_extract(c, pattern, 2).try_cast("double")
-
-
 @processor("GeoPointExtractor")
 def geo_extract(df, p):
-    lon, lat = _lon_lat(col(p["column"]))
+    lon, lat = joins.lon_lat(col(p["column"]))
     return df.withColumns({p.get("latColumn", "lat"): lat, p.get("lonColumn", "lon"): lon})
 
 
 @processor("GeoDistanceCalculator")
 def geo_distance(df, p):
-    (lo1, la1), (lo2, la2) = _lon_lat(col(p["point1Column"])), _lon_lat(col(p["point2Column"]))
+    (lo1, la1), (lo2, la2) = joins.lon_lat(col(p["point1Column"])), joins.lon_lat(col(p["point2Column"]))
     return put(df, out(p, "distance"), joins.haversine(la1, lo1, la2, lo2, str(p.get("unit", "KILOMETER")).upper()))
 
 
@@ -889,13 +887,13 @@ def geo_match(df, p):
 
 @processor("GeoInfoExtractor")
 def geo_info(df, p):
-    lon, lat = _lon_lat(col(p["column"]))
+    lon, lat = joins.lon_lat(col(p["column"]))
     return df.withColumns({f"{p['column']}_type": F.upper(F.regexp_extract(col(p["column"]), r"^\s*([A-Za-z]+)", 1)), f"{p['column']}_lon": lon, f"{p['column']}_lat": lat})
 
 
 @processor("GeoPointBuffer")
 def geo_buffer(df, p):
-    lon, lat = _lon_lat(col(p["column"]))
+    lon, lat = joins.lon_lat(col(p["column"]))
     d = float(p["distance"]) * joins.UNITS[str(p.get("unit", "KILOMETER")).upper()]
     dy = F.lit(d / 111_320.0)
     dx = dy / F.cos(F.radians(lat))
@@ -906,7 +904,7 @@ def geo_buffer(df, p):
 
 @processor("ChangeCRS")
 def change_crs(df, p):
-    lon, lat = _lon_lat(col(p["column"]))
+    lon, lat = joins.lon_lat(col(p["column"]))
     way = (str(p.get("from", "EPSG:4326")), str(p.get("to", "EPSG:3857")))
     r = 6378137.0
     if way == ("EPSG:4326", "EPSG:3857"):

@@ -183,7 +183,10 @@ def sample(df: DataFrame, method: str, n: int | None = None, fraction: float | N
     if method in ("STRATIFIED", "CLASS_REBALANCE"):
         c = F.col(quoted(column))
         if method == "STRATIFIED" and fraction is not None:
-            return df.where(u < int(fraction * (1 << 40)))
+            # the same share of every stratum: each has its own number of rows to keep
+            sizes = df.groupBy(c.alias("_s")).agg(F.ceil(F.count(F.lit(1)) * F.lit(fraction)).alias("_q"))
+            ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(c).orderBy(u, *ties)))
+            return ranked.join(sizes, c.eqNullSafe(F.col("_s"))).where(F.col("_n") <= F.col("_q")).drop("_n", "_s", "_q")
         if n is None:
             n = df.groupBy(c).count().agg(F.min("count")).first()[0] or 0
         return df.withColumn("_n", F.row_number().over(Window.partitionBy(c).orderBy(u, *ties))).where(F.col("_n") <= n).drop("_n")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import copy
 import json
 from collections.abc import Callable
 from typing import Any
@@ -83,17 +82,16 @@ def _fuzzy(ins, s):
     k = s["join_keys"][0]
     if s.get("direction"):
         return [joins.as_of(ins[0], ins[1], k["left"], k["right"], s.get("by"), s["direction"])]
-    return [joins.fuzzy(ins[0], ins[1], k["left"], k["right"], float(s["threshold"]), str(s.get("distance_metric", "LEVENSHTEIN")), s.get("threshold_relative", False), normalise=s.get("text_normalization"))]
+    return [joins.fuzzy(ins[0], ins[1], k["left"], k["right"], float(s.get("threshold", 2.0)), str(s.get("distance_metric", "DAMERAU_LEVENSHTEIN")), s.get("threshold_relative", False), normalise=s.get("text_normalization"), how=s.get("join_type", "INNER"))]
 
 
 @node("geojoin")
 def _geo(ins, s):
     op = str(s.get("spatial_operator", "WITHIN_DISTANCE")).upper()
-    if op == "WITHIN_DISTANCE":
-        return [joins.within_distance(ins[0], ins[1], tuple(s["left_point"]), tuple(s["right_point"]), float(s["distance_value"]), s.get("distance_unit", "METER"))]
-    l = ins[0].withColumnsRenamed({c: f"l_{c}" for c in ins[0].columns})
-    r = ins[1].withColumnsRenamed({c: f"r_{c}" for c in ins[1].columns})
-    return [l.join(F.broadcast(r) if r.limit(20_001).count() <= 20_000 else r, joins.geo_relation(op)(F.col("l_" + s["left_column"]), F.col("r_" + s["right_column"])))]
+    if op in ("WITHIN_DISTANCE", "BEYOND_DISTANCE"):
+        f = joins.within_distance if op == "WITHIN_DISTANCE" else joins.beyond_distance
+        return [f(ins[0], ins[1], tuple(s["left_point"]), tuple(s["right_point"]), float(s["distance_value"]), s.get("distance_unit", "METER"))]
+    return [joins.geo_join(ins[0], ins[1], s["left_column"], s["right_column"], op)]
 
 
 @node("stack")
@@ -219,6 +217,13 @@ def _list(ins, s):
     return [io.list_folder(SparkSession.getActiveSession(), s["path"])]
 
 
+def _copied(x: Any) -> Any:
+    """A copy of plain parts; objects such as models are shared."""
+    if isinstance(x, dict):
+        return {k: _copied(v) for k, v in x.items()}
+    return [_copied(v) for v in x] if isinstance(x, list) else x
+
+
 class Flow:
     """A graph of datasets and nodes.
 
@@ -227,7 +232,7 @@ class Flow:
     """
 
     def __init__(self, spec: dict[str, Any]) -> None:
-        self.spec = copy.deepcopy(spec)
+        self.spec = _copied(spec)
         self.name = spec.get("name") or spec.get("flow_name") or "flow"
         self.datasets = {d["name"]: d for d in self.spec.get("datasets") or []}
         self.recipes = list(self.spec.get("recipes") or [])
@@ -350,6 +355,13 @@ class Flow:
                 have[name] = df
         return have
 
+    def store(self, made: dict[str, DataFrame]) -> list[str]:
+        """Write every dataset that has a ``write`` description; the names of those written."""
+        names = [d for d, spec in self.datasets.items() if spec.get("write")]
+        for d in names:
+            io.write(made[d], self.datasets[d]["write"])
+        return names
+
     # --- lineage, text, comparison ---
 
     def column_lineage(self, dataset: str, column: str) -> list[tuple[str, str]]:

@@ -8,6 +8,7 @@ read, or the last sort.
 from __future__ import annotations
 
 import ast
+import inspect
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -18,6 +19,8 @@ from sparkloom.errors import FormulaError, UnsupportedError
 from sparkloom.functions import modes
 from sparkloom.functions.formula import compile_formula, quoted
 from sparkloom.operators import joins, relational
+from sparkloom.plans import sklearn_source
+from sparkloom.sources import io
 
 POS = "__pos"
 
@@ -28,6 +31,7 @@ class Frame:
 
     df: DataFrame
     order: tuple = (POS,)
+    index: tuple = ()
 
     @property
     def columns(self) -> list[str]:
@@ -46,6 +50,11 @@ class Series:
     name: str
 
 
+@dataclass(frozen=True)
+class Filled(Series):
+    """A series that needs a column of its own frame; assigning it takes this frame."""
+
+
 @dataclass(frozen=True)
 class Grouped:
     frame: Frame
@@ -79,6 +88,32 @@ AGGREGATES = {"sum": "SUM", "mean": "AVG", "average": "AVG", "avg": "AVG", "coun
 CASTS = {"int": "bigint", "int64": "bigint", "int32": "int", "float": "double", "float64": "double", "str": "string", "string": "string", "object": "string", "bool": "boolean", "boolean": "boolean", "datetime64[ns]": "timestamp_ntz", "category": "string"}
 
 
+class _Returned(Exception):
+    """The value that a function of the program returns."""
+
+    def __init__(self, value: Any) -> None:
+        super().__init__()
+        self.value = value
+
+
+#: Arguments that change nothing here, with the values for which that is so; None: any value.
+HARMLESS: dict[str, tuple | None] = {
+    "inplace": (False,), "copy": None, "ignore_index": None, "axis": (0, "index"), "sort": None, "as_index": None, "observed": None, "group_keys": None, "kind": None, "na_position": ("last",), "verify_integrity": (False,), "validate": (None,), "indicator": (False,), "margins": (False,), "dropna": (True,),
+    "left_index": (False,), "right_index": (False,), "center": (False,), "win_type": (None,), "limit": (None,), "engine": None, "numeric_only": None, "skipna": (True,), "na": (False,), "errors": ("coerce", "raise"), "drop": None, "percentiles": (None,), "include": (None,), "index": (False,), "replace": (False,),
+}
+
+
+def checked(f: Any, kw: dict) -> dict:
+    """Arguments that ``f`` knows; others must be harmless, so that none is dropped unseen."""
+    known = inspect.signature(f).parameters
+    if any(p.kind is p.VAR_KEYWORD for p in known.values()):
+        return kw
+    for k in set(kw) - set(known):
+        if k not in HARMLESS or HARMLESS[k] is not None and kw[k] not in HARMLESS[k]:
+            raise UnsupportedError(f"argument {k}={kw[k]!r}")
+    return {k: v for k, v in kw.items() if k in known}
+
+
 class Compiler:
     """One run over a module's statements. ``inputs`` maps a path or table name to a DataFrame."""
 
@@ -87,6 +122,7 @@ class Compiler:
         self.env: dict[str, Any] = {}
         self.outputs: dict[str, Frame] = {}
         self.warnings: list[str] = []
+        self.depth = 0
 
     def run(self, code: str) -> dict[str, DataFrame]:
         """All frames by variable, without the hidden position."""
@@ -116,18 +152,66 @@ class Compiler:
             if isinstance(s.value, ast.Constant) or isinstance(s.value, ast.Call) and isinstance(s.value.func, ast.Name) and s.value.func.id == "print":
                 return
             self.value(s.value)
-        elif isinstance(s, ast.Pass):
+        elif isinstance(s, (ast.Pass, ast.Global)):
             return
+        elif isinstance(s, ast.If):
+            test = self.value(s.test)
+            if isinstance(test, (Frame, Series, Grouped)):
+                raise UnsupportedError("a branch on data")
+            self.block(s.body if test else s.orelse)
+        elif isinstance(s, ast.For) and not s.orelse:
+            items = self.value(s.iter)
+            if not isinstance(items, (list, tuple, range)):
+                raise UnsupportedError("a loop over anything but a list")
+            for item in items:
+                self.assign(s.target, item)
+                self.block(s.body)
+        elif isinstance(s, ast.FunctionDef) and not s.decorator_list:
+            self.env[s.name] = s
+        elif isinstance(s, ast.Return):
+            raise _Returned(self.value(s.value) if s.value else None)
         else:
             raise UnsupportedError(f"statement {type(s).__name__}")
 
+    def block(self, body: list[ast.stmt]) -> None:
+        for s in body:
+            self.statement(s)
+
+    def inline(self, f: ast.FunctionDef | ast.Lambda, args: list, kw: dict) -> Any:
+        """A call of a function of the program: its body over its own names."""
+        names = [a.arg for a in f.args.args]
+        if f.args.vararg or f.args.kwarg or f.args.kwonlyargs or len(args) > len(names) or set(kw) - set(names):
+            raise UnsupportedError("arguments of this kind")
+        first = len(names) - len(f.args.defaults)
+        bound = {names[first + i]: self.value(d) for i, d in enumerate(f.args.defaults)} | dict(zip(names, args, strict=False)) | kw
+        if set(names) - set(bound):
+            raise UnsupportedError(f"missing arguments {sorted(set(names) - set(bound))}")
+        outer, self.env, self.depth = self.env, {**self.env, **bound}, self.depth + 1
+        if self.depth > 50:
+            raise UnsupportedError("functions that call themselves")
+        try:
+            if isinstance(f, ast.Lambda):
+                return self.value(f.body)
+            self.block(f.body)
+        except _Returned as r:
+            return r.value
+        finally:
+            self.env, self.depth = outer, self.depth - 1
+        return None
+
     def assign(self, target: ast.expr, v: Any) -> None:
-        if isinstance(target, ast.Name):
+        if isinstance(target, ast.Tuple):
+            for t, x in zip(target.elts, v, strict=True):
+                self.assign(t, x)
+        elif isinstance(target, ast.Name):
             self.env[target.id] = v
         elif isinstance(target, ast.Subscript) and isinstance(target.value, ast.Name):
             frame = self.env[target.value.id]
             name = self.value(target.slice)
-            self.env[target.value.id] = replace(frame, df=frame.df.withColumn(name, self.column(v)))
+            if isinstance(v, Filled):
+                frame = replace(frame, df=v.frame.df)
+            made = frame.df.withColumn(name, self.column(v))
+            self.env[target.value.id] = replace(frame, df=made.drop("__line"))
         elif isinstance(target, ast.Subscript) and isinstance(target.value, ast.Attribute) and target.value.attr == "loc":
             mask, name = (self.value(x) for x in target.slice.elts)
             var = target.value.value.id
@@ -158,6 +242,13 @@ class Compiler:
             return {self.value(k): self.value(v) for k, v in zip(e.keys, e.values, strict=True)}
         if isinstance(e, ast.Lambda):
             return e
+        if isinstance(e, ast.JoinedStr):
+            return "".join(str(v.value) if isinstance(v, ast.Constant) else str(self.value(v.value)) for v in e.values)
+        if isinstance(e, ast.BoolOp):
+            got = [self.value(v) for v in e.values]
+            if any(isinstance(v, (Frame, Series)) for v in got):
+                raise UnsupportedError("and / or of columns: use & and |")
+            return all(got) if isinstance(e.op, ast.And) else any(got)
         if isinstance(e, ast.UnaryOp):
             v = self.value(e.operand)
             if not isinstance(v, Series):
@@ -179,7 +270,10 @@ class Compiler:
     def binary(self, op: ast.operator, a: Any, b: Any) -> Any:
         s = a if isinstance(a, Series) else b
         if not isinstance(s, Series):
-            raise UnsupportedError("arithmetic on plain values")
+            plain = {ast.Add: lambda: a + b, ast.Sub: lambda: a - b, ast.Mult: lambda: a * b, ast.Div: lambda: a / b, ast.Mod: lambda: a % b, ast.Pow: lambda: a**b, ast.FloorDiv: lambda: a // b}
+            if type(op) in plain and all(isinstance(x, (int, float, str, list)) for x in (a, b)):
+                return plain[type(op)]()
+            raise UnsupportedError("arithmetic on these values")
         x, y = self.column(a), self.column(b)
         text = isinstance(a, str) or isinstance(b, str) or isinstance(op, ast.Add) and "string" in (self.kind(a), self.kind(b))
         table = {
@@ -194,8 +288,11 @@ class Compiler:
     def kind(v: Any) -> str:
         return dict(v.frame.df.dtypes).get(v.name, "") if isinstance(v, Series) else ""
 
-    def compare(self, op: ast.cmpop, a: Any, b: Any) -> Series:
+    def compare(self, op: ast.cmpop, a: Any, b: Any) -> Any:
         s = a if isinstance(a, Series) else b
+        if not isinstance(s, Series):
+            plain = {ast.Eq: lambda: a == b, ast.NotEq: lambda: a != b, ast.Lt: lambda: a < b, ast.LtE: lambda: a <= b, ast.Gt: lambda: a > b, ast.GtE: lambda: a >= b, ast.In: lambda: a in b, ast.NotIn: lambda: a not in b, ast.Is: lambda: a is b, ast.IsNot: lambda: a is not b}
+            return plain[type(op)]()
         x, y = self.column(a), self.column(b)
         table = {ast.Eq: lambda: x == y, ast.NotEq: lambda: ~x.eqNullSafe(y), ast.Lt: lambda: x < y, ast.LtE: lambda: x <= y, ast.Gt: lambda: x > y, ast.GtE: lambda: x >= y}
         if type(op) not in table:
@@ -243,6 +340,10 @@ class Compiler:
     # --- calls ---
 
     def call(self, e: ast.Call) -> Any:
+        if isinstance(e.func, ast.Attribute) and e.func.attr in ("pipe", "apply") and e.args:
+            base, f = self.value(e.func.value), self.value(e.args[0])
+            if isinstance(f, (ast.FunctionDef, ast.Lambda)) and isinstance(base, (Frame, Series)) and (e.func.attr == "pipe" or isinstance(base, Series)):
+                return self.inline(f, [base, *[self.value(a) for a in e.args[1:]]], {k.arg: self.value(k.value) for k in e.keywords})
         args = [self.value(a) for a in e.args]
         kw = {k.arg: self.value(k.value) for k in e.keywords}
         if isinstance(e.func, ast.Attribute):
@@ -264,7 +365,13 @@ class Compiler:
                         return replace(base, frame=Frame(base.frame.df.agg(relational._agg_over(AGGREGATES[e.func.attr], base.col).alias(base.name)), ()), col=F.col(quoted(base.name)))
                     if f is None:
                         raise UnsupportedError(f"{kind.__name__}.{e.func.attr}")
-                    return f(base, *args, **kw)
+                    return f(base, *args, **checked(f, kw))
+            if isinstance(base, sklearn_source.Estimator):
+                return sklearn_source.method(self, base, e.func.attr, args, kw)
+        elif isinstance(e.func, ast.Name) and isinstance(self.env.get(e.func.id), (ast.FunctionDef, ast.Lambda)):
+            return self.inline(self.env[e.func.id], args, kw)
+        elif isinstance(e.func, ast.Name) and e.func.id in ("range", "list", "len") and all(isinstance(a, (int, list, range)) for a in args):
+            return {"range": range, "list": list, "len": len}[e.func.id](*args)
         elif isinstance(e.func, ast.Name) and isinstance(self.env.get(e.func.id), Module):
             return self.module_call(self.env[e.func.id].name, args, kw)
         raise UnsupportedError("this call")
@@ -283,7 +390,7 @@ class Compiler:
             if f in ("read_csv", "read_parquet", "read_json", "read_excel", "read_table"):
                 return self.read(args[0])
             if f == "merge":
-                return self.frame_merge(*args, **kw)
+                return self.frame_merge(*args, **checked(self.frame_merge, kw))
             if f == "concat":
                 return Frame(relational.stack([x.df for x in args[0]]), args[0][0].order)
             if f == "to_numeric":
@@ -312,6 +419,8 @@ class Compiler:
                 return replace(s, col=_bin_expr(s, mode, n, kw.get("labels")))
         if lib == "numpy":
             return self.numpy(f, args, kw)
+        if lib == "sklearn":
+            return sklearn_source.create(self, name.rsplit(".", 1)[1], args, kw)
         raise UnsupportedError(f"{name}")
 
     def numpy(self, f: str, args: list, kw: dict) -> Any:
@@ -323,8 +432,20 @@ class Compiler:
             for c, v in reversed(list(zip(args[0], args[1], strict=True))):
                 out = F.when(F.coalesce(c.col, F.lit(False)), self.column(v)).otherwise(out)
             return replace(args[0][0], col=out)
+        if f in ("concatenate", "vstack", "stack") and args and isinstance(args[0], list) and all(isinstance(x, (Frame, Series)) for x in args[0]) and kw.get("axis", 0) == 0:
+            if all(isinstance(x, Frame) for x in args[0]):
+                return Frame(relational.stack([x.df for x in args[0]]), args[0][0].order)
+            name = args[0][0].name
+            return Series(Frame(relational.stack([x.frame.df.select(x.col.alias(name)) for x in args[0]]), ()), F.col(quoted(name)), name)
+        if s is None and f in ("arange", "linspace", "zeros", "ones", "full") and all(isinstance(a, (int, float)) for a in args):
+            return _numbers(f, args)
         if s is None:
             raise UnsupportedError(f"numpy.{f} of plain values")
+        if f == "sort":
+            return Series(Frame(s.frame.df.select(s.col.alias(s.name)).orderBy(F.col(quoted(s.name)).asc_nulls_last()), (F.col(quoted(s.name)).asc_nulls_last(),)), F.col(quoted(s.name)), s.name)
+        if f == "unique" and kw.get("return_counts"):
+            counted = s.frame.df.groupBy(s.col.alias(s.name)).agg(F.count(F.lit(1)).alias("count"))
+            return [Series(Frame(counted, (s.name,)), F.col(quoted(s.name)), s.name), Series(Frame(counted, (s.name,)), F.col("count"), "count")]
         table = {
             "log": F.ln, "log10": F.log10, "log2": F.log2, "log1p": F.log1p, "exp": F.exp, "expm1": F.expm1, "sqrt": lambda c: F.when(c >= 0, F.sqrt(c)), "cbrt": F.cbrt, "square": lambda c: c * c, "abs": F.abs, "absolute": F.abs, "floor": F.floor, "ceil": F.ceil, "rint": F.rint,
             "trunc": lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)), "sin": F.sin, "cos": F.cos, "tan": F.tan, "isnan": lambda c: c.isNull() | F.isnan(c.cast("double")), "isfinite": lambda c: F.abs(c) < float("inf"), "isinf": lambda c: F.abs(c) == float("inf"), "nan_to_num": lambda c: F.nanvl(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0)), "sign": F.signum,
@@ -358,20 +479,27 @@ class Compiler:
 
     # --- frames ---
 
-    def frame_copy(self, f, *a, **k):
+    def frame_copy(self, f, deep=True):
+        return f
+
+    def frame_reset_index(self, f):
+        """Index columns stay columns throughout, so that there is nothing to put back."""
         return f
 
-    frame_reset_index = frame_set_index = frame_pipe = frame_copy
+    def frame_set_index(self, f, keys):
+        return replace(f, index=tuple([keys] if isinstance(keys, str) else keys))
 
-    def frame_drop(self, f, labels=None, columns=None, axis=0, **k):
+    def frame_drop(self, f, labels=None, columns=None, axis=0):
+        if columns is None and axis not in (1, "columns"):
+            raise UnsupportedError("drop of rows by label")
         gone = columns if columns is not None else labels
         return replace(f, df=f.df.drop(*([gone] if isinstance(gone, str) else gone)))
 
-    def frame_rename(self, f, columns=None, **k):
+    def frame_rename(self, f, columns=None):
         return replace(f, df=f.df.withColumnsRenamed(columns))
 
-    def frame_assign(self, f, **k):
-        for name, v in k.items():
+    def frame_assign(self, f, **named):
+        for name, v in named.items():
             if isinstance(v, ast.Lambda):
                 outer, self.env = self.env, {**self.env, v.args.args[0].arg: f}
                 v = self.value(v.body)
@@ -385,13 +513,38 @@ class Compiler:
     def frame_astype(self, f, t):
         return replace(f, df=f.df.withColumns({c: F.col(quoted(c)).try_cast(CASTS[str(k)]) for c, k in t.items()}))
 
-    def frame_fillna(self, f, v=None, **k):
-        return replace(f, df=f.df.fillna(v if v is not None else k["value"]))
+    def frame_fillna(self, f, value=None, method=None):
+        if method is not None:
+            return self.frame_ffill(f) if method in ("ffill", "pad") else self.frame_bfill(f)
+        return replace(f, df=f.df.fillna(value))
+
+    def _each(self, f, make, numeric: bool = False):
+        """Every column of a frame through a function of a series, all at once."""
+        wanted = [c for c, t in f.df.dtypes if c != POS and (not numeric or t in ("int", "bigint", "double", "float", "smallint"))]
+        return replace(f, df=f.df.withColumns({c: make(Series(f, F.col(quoted(c)), c)).col for c in wanted}))
+
+    def frame_ffill(self, f): return self._each(f, self.shared_ffill)  # noqa: E704
+    def frame_bfill(self, f): return self._each(f, self.shared_bfill)  # noqa: E704
+    def frame_interpolate(self, f, method="linear"): return self._chain(f, method)  # noqa: E704
+    def frame_round(self, f, decimals=0): return self._each(f, lambda s: self.shared_round(s, decimals), numeric=True)  # noqa: E704
+    def frame_abs(self, f): return self._each(f, self.shared_abs, numeric=True)  # noqa: E704
+
+    def _chain(self, f, method):
+        for c, t in f.df.dtypes:
+            if c != POS and t in ("int", "bigint", "double", "float", "smallint"):
+                made = self.shared_interpolate(Series(f, F.col(quoted(c)), c), method)
+                f = replace(f, df=made.frame.df.withColumn(c, F.col("__line")).drop("__line"))
+        return f
+
+    def frame_info(self, f):
+        """Name, type and number of values of each column."""
+        parts = [F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("col_type"), F.count(F.col(quoted(c))).alias("n")) for c, t in f.df.dtypes if c != POS]
+        return Frame(f.df.agg(F.array(*parts).alias("s")).select(F.inline("s")), ())
 
-    def frame_dropna(self, f, subset=None, how="any", thresh=None, **k):
+    def frame_dropna(self, f, subset=None, how="any", thresh=None):
         return replace(f, df=f.df.dropna(how=how, thresh=thresh, subset=[subset] if isinstance(subset, str) else subset or f.columns))
 
-    def frame_drop_duplicates(self, f, subset=None, keep="first", **k):
+    def frame_drop_duplicates(self, f, subset=None, keep="first"):
         keys = [subset] if isinstance(subset, str) else subset or f.columns
         w = Window.partitionBy(*[F.col(quoted(c)) for c in keys])
         if keep is False:
@@ -411,13 +564,19 @@ class Compiler:
         keys = [{"left": a, "right": b} for a, b in zip(on_l, on_r, strict=True)]
         return Frame(joins.join(f.df, right.df.drop(POS), keys, kinds[how], tuple(suffixes), null_safe=True), f.order)
 
-    def frame_join(self, f, right, on=None, how="left", **k):
-        return self.frame_merge(f, right, on=on, how=how)
+    def frame_join(self, f, right, on=None, how="left", lsuffix="", rsuffix=""):
+        """A join on ``on``, or on the columns set as index, by name."""
+        keys = [on] if isinstance(on, str) else on or list(f.index) or list(right.index)
+        if not keys or right.index and len(right.index) != len(keys):
+            raise UnsupportedError("a join by position: set an index or name columns")
+        theirs = list(right.index) or keys
+        renamed = replace(right, df=right.df.withColumnsRenamed(dict(zip(theirs, keys, strict=True))))
+        return self.frame_merge(f, renamed, on=keys, how=how, suffixes=(lsuffix, rsuffix))
 
-    def frame_groupby(self, f, keys, **k):
+    def frame_groupby(self, f, keys):
         return Grouped(f, [keys] if isinstance(keys, str) else keys)
 
-    def frame_sort_values(self, f, by, ascending=True, **k):
+    def frame_sort_values(self, f, by, ascending=True):
         by = [by] if isinstance(by, str) else by
         up = [ascending] * len(by) if isinstance(ascending, bool) else ascending
         order = tuple(F.col(quoted(c)).asc_nulls_last() if u else F.col(quoted(c)).desc_nulls_last() for c, u in zip(by, up, strict=True))
@@ -435,18 +594,18 @@ class Compiler:
     def frame_nsmallest(self, f, n, columns):
         return replace(f, df=f.df.orderBy(F.col(quoted(columns)).asc_nulls_last(), *f.sorted()).limit(n))
 
-    def frame_sample(self, f, n=None, frac=None, random_state=7, **k):
+    def frame_sample(self, f, n=None, frac=None, random_state=7):
         df = relational.sample(f.df, "RANDOM_FIXED_NB" if n else "RANDOM_FIXED_RATIO", n, frac, key=f.columns, seed=int(random_state or 7))
         return replace(f, df=df)
 
-    def frame_pivot_table(self, f, values=None, index=None, columns=None, aggfunc="mean", fill_value=None, **k):
+    def frame_pivot_table(self, f, values=None, index=None, columns=None, aggfunc="mean", fill_value=None):
         rows = [index] if isinstance(index, str) else index
         df = relational.pivot(f.df, rows, columns, [{"column": values, "type": AGGREGATES[aggfunc], "outputColumn": ""}], fill=fill_value)
         return Frame(df.withColumnsRenamed({c: c.rstrip("_") for c in df.columns}), ())
 
     frame_pivot = frame_pivot_table
 
-    def frame_melt(self, f, id_vars=None, value_vars=None, var_name="variable", value_name="value", **k):
+    def frame_melt(self, f, id_vars=None, value_vars=None, var_name="variable", value_name="value"):
         ids = [id_vars] if isinstance(id_vars, str) else id_vars or []
         vals = value_vars or [c for c in f.columns if c not in ids]
         return Frame(f.df.unpivot([quoted(c) for c in ids], [quoted(c) for c in vals], var_name, value_name), ())
@@ -454,14 +613,15 @@ class Compiler:
     def frame_explode(self, f, column):
         return replace(f, df=f.df.withColumn(column, F.explode_outer(F.col(quoted(column)))))
 
-    def frame_describe(self, f, **k):
+    def frame_describe(self, f):
         numeric = [c for c, t in f.df.dtypes if c != POS and t in ("int", "bigint", "double", "float")]
         return Frame(relational.statistics(f.df, numeric), ())
 
     def frame_nunique(self, f):
         return Frame(f.df.agg(*[F.count_distinct(F.col(quoted(c))).alias(c) for c in f.columns]), ())
 
-    def _sink(self, f, path=None, **k):
+    def _sink(self, f, path=None, **options):
+        """Named as an output; ``store`` writes it."""
         self.outputs[str(path)] = f
         return f
 
@@ -481,13 +641,13 @@ class Compiler:
     def shared_pct_change(self, s, periods=1): return self.series_window(s, "PCT_CHANGE", periods)  # noqa: E704
     def shared_shift(self, s, periods=1): return self.series_window(s, "LAG" if periods >= 0 else "LEAD", abs(periods))  # noqa: E704
 
-    def shared_rank(self, s, method="average", ascending=True, **k):
+    def shared_rank(self, s, method="average", ascending=True):
         return self.series_window(s, "RANK", method=method, order=[s.col.asc_nulls_last() if ascending else s.col.desc_nulls_last()])
 
-    def shared_rolling(self, s, window, min_periods=None, **k):
+    def shared_rolling(self, s, window, min_periods=None):
         return Rolling(s.frame, [], s.col, s.name, window, window if min_periods is None else min_periods)
 
-    def shared_expanding(self, s, **k):
+    def shared_expanding(self, s):
         return Rolling(s.frame, [], s.col, s.name, None)
 
     def shared_isin(self, s, values): return replace(s, col=F.coalesce(s.col.isin(values), F.lit(False)))  # noqa: E704
@@ -516,7 +676,7 @@ class Compiler:
             out = F.when(s.col == F.lit(k), F.lit(v)).otherwise(out)
         return replace(s, col=out)
 
-    def shared_value_counts(self, s, **k):
+    def shared_value_counts(self, s):
         return Frame(s.frame.df.where(s.col.isNotNull()).groupBy(s.col.alias(s.name)).agg(F.count(F.lit(1)).alias("count")), (F.desc("count"), s.name))
 
     def shared_ffill(self, s):
@@ -527,6 +687,20 @@ class Compiler:
         w = Window.partitionBy().orderBy(*s.frame.sorted()).rowsBetween(0, Window.unboundedFollowing)
         return replace(s, col=F.first(s.col, ignorenulls=True).over(w))
 
+    def shared_interpolate(self, s, method="linear"):
+        """Gaps between two values on a line between them, those after the last value kept at it."""
+        if method != "linear":
+            raise UnsupportedError(f"interpolate method={method!r}")
+        w = Window.partitionBy().orderBy(*s.frame.sorted())
+        n, c = F.row_number().over(w), s.col.cast("double")
+        back, fore = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        df = s.frame.df.withColumns({"__c": c, "__n": n}).withColumn("__at", F.when(F.col("__c").isNotNull(), F.col("__n")))
+        a, b = F.last("__c", ignorenulls=True).over(back), F.first("__c", ignorenulls=True).over(fore)
+        pa, pb = F.last("__at", ignorenulls=True).over(back), F.first("__at", ignorenulls=True).over(fore)
+        line = F.when(F.col("__c").isNotNull(), F.col("__c")).when(b.isNotNull(), a + (b - a) * (F.col("__n") - pa) / (pb - pa)).otherwise(a)
+        made = df.withColumn("__line", line).drop("__c", "__n", "__at")
+        return Filled(replace(s.frame, df=made), F.col("__line"), s.name)
+
     def shared_quantile(self, s, q=0.5):
         return Series(Frame(s.frame.df.agg(F.percentile(s.col, F.lit(float(q))).alias(s.name)), ()), F.col(quoted(s.name)), s.name)
 
@@ -603,17 +777,28 @@ class Compiler:
     def text_lstrip(self, a): return self._text(a, modes.STRING["TRIM_LEFT"])  # noqa: E704
     def text_rstrip(self, a): return self._text(a, modes.STRING["TRIM_RIGHT"])  # noqa: E704
     def text_len(self, a): return self._text(a, F.length)  # noqa: E704
-    def text_contains(self, a, p, case=True, regex=True, **k): return self._text(a, lambda c: F.coalesce(c.rlike(p if case else "(?i)" + p) if regex else c.contains(p), F.lit(False)))  # noqa: E704
+    def text_contains(self, a, p, case=True, regex=True): return self._text(a, lambda c: F.coalesce(c.rlike(p if case else "(?i)" + p) if regex else c.contains(p), F.lit(False)))  # noqa: E704
     def text_startswith(self, a, p): return self._text(a, lambda c: F.coalesce(c.startswith(p), F.lit(False)))  # noqa: E704
     def text_endswith(self, a, p): return self._text(a, lambda c: F.coalesce(c.endswith(p), F.lit(False)))  # noqa: E704
-    def text_replace(self, a, p, r, regex=False, **k): return self._text(a, lambda c: F.regexp_replace(c, p, r) if regex else F.replace(c, F.lit(p), F.lit(r)))  # noqa: E704
+    def text_replace(self, a, p, r, regex=False): return self._text(a, lambda c: F.regexp_replace(c, p, r) if regex else F.replace(c, F.lit(p), F.lit(r)))  # noqa: E704
     def text_extract(self, a, p, expand=False): return self._text(a, lambda c: F.when(c.rlike(p), F.regexp_extract(c, p, 1)))  # noqa: E704
     def text_zfill(self, a, n): return self._text(a, lambda c: modes.STRING["PAD_LEFT"](c, n, "0"))  # noqa: E704
-    def text_split(self, a, sep=" ", **k): return self._text(a, lambda c: F.split(c, "\\Q" + sep + "\\E"))  # noqa: E704
+    def text_split(self, a, sep=" "): return self._text(a, lambda c: F.split(c, "\\Q" + sep + "\\E"))  # noqa: E704
     def text_get(self, a, i): return self._text(a, lambda c: F.get(c, F.lit(i)))  # noqa: E704
     def text_slice(self, a, start=0, stop=None): return self._text(a, lambda c: F.substring(c, start + 1, stop - start) if stop else F.substr(c, F.lit(start + 1)))  # noqa: E704
 
 
+def _numbers(f: str, args: list) -> list:
+    """A list of plain numbers, as NumPy makes it."""
+    if f == "arange":
+        start, stop, step = (0, args[0], 1) if len(args) == 1 else (args[0], args[1], args[2] if len(args) > 2 else 1)
+        return [start + step * i for i in range(max(0, -int(-(stop - start) // step)))]
+    if f == "linspace":
+        n = int(args[2]) if len(args) > 2 else 50
+        return [args[0] + (args[1] - args[0]) * i / (n - 1) for i in range(n)] if n > 1 else [args[0]] * n
+    return [{"zeros": 0.0, "ones": 1.0}.get(f, args[1] if len(args) > 1 else 0)] * int(args[0])
+
+
 def _over(s: Series, kind: str, w, n: int | None, method: str) -> Column:
     """A window function over an expression: the same as over a named column."""
     c, k = s.col, int(n or 1)
@@ -655,6 +840,17 @@ def _java_format(fmt: str) -> str:
     return out
 
 
+def store(outputs: dict[str, Frame], folder: str) -> list[str]:
+    """Write the outputs of a program below ``folder`` in the format their path asks for."""
+    formats = {"csv": "csv", "parquet": "parquet", "json": "json", "feather": "parquet", "pkl": "parquet", "pickle": "parquet", "xlsx": "csv"}
+    for path, frame in outputs.items():
+        end = path.rsplit(".", 1)[-1].lower()
+        if end not in formats:
+            raise UnsupportedError(f"output {path!r}")
+        io.write(frame.df.drop(POS), {"format": formats[end], "path": f"{folder}/{path}"})
+    return sorted(outputs)
+
+
 def compile_source(code: str, inputs: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All variables of a program that are tables or columns, as lazy DataFrames."""
     return Compiler(inputs).run(code)

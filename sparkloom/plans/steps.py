@@ -124,7 +124,7 @@ def compile_steps(doc: dict[str, Any]) -> Flow:
 
     ``read_data`` names an input, ``write_data`` an output; an unknown operation is an error.
     """
-    recipes, datasets = [], []
+    recipes, datasets, sinks = [], [], {}
     for i, s in enumerate(doc.get("steps") or []):
         op = str(s["operation"]).lower()
         ins = s.get("input_datasets") or ([s["input_dataset"]] if s.get("input_dataset") else [])
@@ -133,9 +133,12 @@ def compile_steps(doc: dict[str, Any]) -> Flow:
             datasets += [{"name": o, **({"read": s["read"]} if s.get("read") else {})} for o in outs]
             continue
         if op == "write_data":
+            # written by ``Flow.store`` after the run; without a description it only names an output
+            sinks |= {n: s["write"] for n in ins if s.get("write")}
             continue
         steps = _prepare(op, s)
         kind, settings = ("prepare", {"steps": steps}) if steps is not None else _node(op, s)
         recipes.append({"name": f"{op}_{i}", "type": kind, "inputs": ins, "outputs": outs, "settings": settings})
     names = {d["name"] for d in datasets} | {d for r in recipes for d in [*r["inputs"], *r["outputs"]]}
-    return Flow({"name": doc.get("name", "steps"), "datasets": datasets + [{"name": n} for n in sorted(names - {d["name"] for d in datasets})], "recipes": recipes})
+    whole = datasets + [{"name": n} for n in sorted((names | sinks.keys()) - {d["name"] for d in datasets})]
+    return Flow({"name": doc.get("name", "steps"), "datasets": [{**d, **({"write": sinks[d["name"]]} if d["name"] in sinks else {})} for d in whole], "recipes": recipes})

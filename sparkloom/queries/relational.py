@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import ml, quality
+from sparkloom.functions import quality
 from sparkloom.operators import joins, relational
 from sparkloom.plans.flow import Flow
 from sparkloom.plans.pandas_source import compile_source
@@ -140,13 +140,6 @@ def join_within_range(spark, d):
     return joins.join(T(spark, d, "supplier"), T(spark, d, "part"), [{"left": "s_acctbal", "right": "p_retailprice", "matchType": "WITHIN_RANGE", "distance": 20.0}], "INNER").select("s_suppkey", "p_partkey")
 
 
-@query("SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey AND a.r_name <> b.r_name")
-def join_theta(spark, d):
-    r = T(spark, d, "region").select("r_regionkey", "r_name")
-    out = joins.join(r, r, [{"left": "r_regionkey", "right": "r_regionkey", "matchType": "LT"}, {"left": "r_name", "right": "r_name", "matchType": "NE"}], "INNER")
-    return out.select(F.col("r_regionkey_x").alias("a"), F.col("r_regionkey_y").alias("b"))
-
-
 @query("SELECT n_name, r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
 def join_chain(spark, d):
     flow = Flow({"recipes": [
@@ -181,13 +174,6 @@ def k_nearest(spark, d):
     return rounded(out.select("s_suppkey", F.col("c_custkey_right").alias("c_custkey"), "gap", "nearest_rank"))
 
 
-@query("SELECT DISTINCT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON levenshtein(a.p_name, b.p_name) <= 1")
-def fuzzy_levenshtein(spark, d):
-    names = T(spark, d, "part").select("p_name").distinct()
-    out = joins.fuzzy(names, names, "p_name", "p_name", 1)
-    return out.select(F.col("l_p_name").alias("a"), F.col("r_p_name").alias("b"), F.col("distance").cast("bigint").alias("distance"))
-
-
 POINTS = "SELECT c_custkey AS id, ((c_custkey * 7919) % 18000) / 100.0 - 90.0 AS lat, ((c_custkey * 104729) % 36000) / 100.0 - 180.0 AS lon FROM customer"
 
 
@@ -230,8 +216,8 @@ def window_ranks(spark, d):
 MOVE = ("sum", "avg", "min", "max", "stddev_samp")
 
 
-@query("SELECT event_id, " + ", ".join(f"round({f}(value) OVER m, 7) AS moving_{f.split('_')[0]}, round({f}(value) OVER r, 7) AS running_{f}" for f in MOVE if f != "stddev_samp") + """, round(stddev_samp(value) OVER m, 7) AS moving_stddev, round(lag(value, 2) OVER w, 7) AS lag, round(lead(value, 1) OVER w, 7) AS lead, round(value - lag(value, 1) OVER w, 7) AS lag_diff,
- round(first_value(value) OVER e, 7) AS first, round(last_value(value) OVER e, 7) AS last, round(nth_value(value, 2) OVER e, 7) AS nth, round(avg(value) OVER (PARTITION BY user_id), 7) AS whole FROM events
+@query("SELECT event_id, " + ", ".join(f"round({f}(value) OVER m, 9) AS moving_{f.split('_')[0]}, round({f}(value) OVER r, 9) AS running_{f}" for f in MOVE if f != "stddev_samp") + """, round(stddev_samp(value) OVER m, 9) AS moving_stddev, round(lag(value, 2) OVER w, 9) AS lag, round(lead(value, 1) OVER w, 9) AS lead, round(value - lag(value, 1) OVER w, 9) AS lag_diff,
+ round(first_value(value) OVER e, 9) AS first, round(last_value(value) OVER e, 9) AS last, round(nth_value(value, 2) OVER e, 9) AS nth, round(avg(value) OVER (PARTITION BY user_id), 9) AS whole FROM events
  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), m AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING), r AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), e AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def window_values(spark, d):
     specs = [{"type": f"MOVING_{f}", "column": "value", "windowSize": 5, "outputColumn": f"moving_{f.lower()}"} for f in ("SUM", "AVG", "MIN", "MAX", "STDDEV")]
@@ -239,7 +225,7 @@ def window_values(spark, d):
     specs += [{"type": "LAG", "column": "value", "windowSize": 2, "outputColumn": "lag"}, {"type": "LEAD", "column": "value", "windowSize": 1, "outputColumn": "lead"}, {"type": "LAG_DIFF", "column": "value", "windowSize": 1, "outputColumn": "lag_diff"}]
     specs += [{"type": "FIRST_VALUE", "column": "value", "outputColumn": "first"}, {"type": "LAST_VALUE", "column": "value", "outputColumn": "last"}, {"type": "NTH_VALUE", "column": "value", "windowSize": 2, "outputColumn": "nth"}, {"type": "AVG", "column": "value", "outputColumn": "whole"}]
     out = relational.window(T(spark, d, "events"), ["user_id"], ["ts", "event_id"], specs)
-    return rounded(out.select("event_id", *[s["outputColumn"] for s in specs]), 7)
+    return rounded(out.select("event_id", *[s["outputColumn"] for s in specs]), 9)
 
 
 @query("SELECT c_mktsegment, " + ", ".join(f"count(*) FILTER (WHERE n_regionkey = {i}) AS \"{i}_n\", coalesce(round(sum(c_acctbal) FILTER (WHERE n_regionkey = {i}), 2), 0) AS \"{i}_bal\"" for i in range(5)) + ", count(*) AS total_n, round(sum(c_acctbal), 2) AS total_bal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -286,22 +272,11 @@ def split_filter(spark, d):
     return relational.stack([p.select("o_orderkey", F.lit(i).alias("branch")) for i, p in enumerate(parts)])
 
 
-@query(None)
-def split_random(spark, d):
-    parts = relational.split(T(spark, d, "orders"), "RANDOM", weights=[0.7, 0.3], key=["o_orderkey"])
-    return relational.stack([p.groupBy(F.lit(i).alias("branch")).count() for i, p in enumerate(parts)])
-
-
 @query("SELECT s_suppkey AS k, s_name AS name, NULL AS c_mktsegment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def stack_missing(spark, d):
     return relational.stack([T(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")), T(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), "c_mktsegment")])
 
 
-@query(None)
-def sampling_stratified(spark, d):
-    return relational.sample(T(spark, d, "customer"), "STRATIFIED", n=20, column="c_mktsegment", key=["c_custkey"]).select("c_custkey", "c_mktsegment")
-
-
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75, round(max({c}), 4) AS max, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")))
 def statistics(spark, d):
     return rounded(relational.statistics(T(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
@@ -330,12 +305,6 @@ def quality_failed_rows(spark, d):
     return quality.failed_rows(T(spark, d, "documents").select("doc_id", "lang", "n_chars", "source"), rules).select("doc_id", F.array_join("failed_rules", ",").alias("failed"))
 
 
-@query(None)
-def quality_drift(spark, d):
-    o = T(spark, d, "orders")
-    return quality.drift(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_totalprice")
-
-
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
 def window_tumbling(spark, d):
     w = windows.windowed(T(spark, d, "events"), "ts", [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")], "1 hour", keys=["event_type"])
@@ -347,17 +316,3 @@ def window_tumbling(spark, d):
 def window_session(spark, d):
     w = windows.windowed(T(spark, d, "events"), "ts", [F.count(F.lit(1)).alias("n")], "12 hours", keys=["user_id"], session=True)
     return w.select("user_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
-
-
-@query(None)
-def model_clusters(spark, d):
-    c = T(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("nation"))
-    m = ml.fit(c, ["s_acctbal", "nation"], "kmeans", scaler="standard", k=3, seed=7)
-    return ml.score(c, {"model": m}).select("s_suppkey", F.col("prediction").alias("cluster"))
-
-
-@query(None)
-def model_regression(spark, d):
-    p = T(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").alias("label"))
-    m = ml.fit(p, ["p_size"], "linear")
-    return ml.evaluate(ml.score(p, {"model": m}), {"kind": "regression", "label": "label"})
