@@ -209,7 +209,9 @@ class Compiler:
             frame = self.env[target.value.id]
             name = self.value(target.slice)
             if isinstance(v, Filled):
-                frame = replace(frame, df=v.frame.df)
+                theirs = v.frame.df
+                wide = set(frame.df.columns) <= set(theirs.columns) and "prediction" not in theirs.columns
+                frame = replace(frame, df=theirs if wide else frame.df.join(theirs.select(POS, "__line"), POS, "left"))
             made = frame.df.withColumn(name, self.column(v))
             self.env[target.value.id] = replace(frame, df=made.drop("__line"))
         elif isinstance(target, ast.Subscript) and isinstance(target.value, ast.Attribute) and target.value.attr == "loc":
@@ -322,6 +324,8 @@ class Compiler:
             return Module(f"{base.name}.{name}")
         if isinstance(base, Series) and name in ("str", "dt", "cat"):
             return Accessor(base, name)
+        if isinstance(base, sklearn_source.Estimator) and isinstance(base.state, dict) and name in base.state:
+            return base.state[name]
         if isinstance(base, Frame):
             if name == "loc":
                 return Accessor(Series(base, F.lit(None), ""), "loc")
@@ -477,6 +481,33 @@ class Compiler:
             return Series(Frame(s.frame.df.select(s.col.alias(s.name)).distinct().orderBy(s.name), ()), F.col(quoted(s.name)), s.name)
         raise UnsupportedError(f"numpy.{f}")
 
+    # --- what estimators make ---
+
+    @staticmethod
+    def filtered(t: Frame | Series, cond: Column) -> Frame | Series:
+        """Rows of a table or column by a condition on the hidden position."""
+        return replace(t, df=t.df.where(cond)) if isinstance(t, Frame) else replace(t, frame=replace(t.frame, df=t.frame.df.where(cond)))
+
+    @staticmethod
+    def columns_of(x: Frame, names: list[str]) -> Frame:
+        return replace(x, df=x.df.select(POS, *[quoted(c) for c in names]))
+
+    @staticmethod
+    def columns(x: Frame, made: dict[str, Column], gone: list[str] | None = None) -> Frame:
+        return replace(x, df=x.df.withColumns(made).drop(*(gone or [])))
+
+    @staticmethod
+    def table(df: DataFrame, like: Frame) -> Frame:
+        return Frame(df, (POS,))
+
+    @staticmethod
+    def series(s: Series, col: Column) -> Series:
+        return replace(s, col=col)
+
+    @staticmethod
+    def made(df: DataFrame, name: str, like: Frame) -> Series:
+        return Filled(Frame(df.withColumn("__line", F.col(name)), (POS,)), F.col("__line"), name)
+
     # --- frames ---
 
     def frame_copy(self, f, deep=True):
@@ -552,7 +583,7 @@ class Compiler:
         order = f.sorted() if keep == "first" else [F.desc(c) if isinstance(c, str) else _flip(c) for c in f.order]
         return replace(f, df=f.df.withColumn("_n", F.row_number().over(w.orderBy(*order))).where("_n = 1").drop("_n"))
 
-    def frame_merge(self, f, right, on=None, left_on=None, right_on=None, how="inner", suffixes=("_x", "_y"), **k):
+    def frame_merge(self, f, right, on=None, left_on=None, right_on=None, how="inner", suffixes=("_x", "_y")):
         on_l, on_r = ([x] if isinstance(x, str) else x for x in (on or left_on, on or right_on))
         if how == "cross":
             return Frame(joins.join(f.df, right.df.drop(POS), [], "CROSS", tuple(suffixes)), f.order)
@@ -600,8 +631,8 @@ class Compiler:
 
     def frame_pivot_table(self, f, values=None, index=None, columns=None, aggfunc="mean", fill_value=None):
         rows = [index] if isinstance(index, str) else index
-        df = relational.pivot(f.df, rows, columns, [{"column": values, "type": AGGREGATES[aggfunc], "outputColumn": ""}], fill=fill_value)
-        return Frame(df.withColumnsRenamed({c: c.rstrip("_") for c in df.columns}), ())
+        df = relational.pivot(f.df, rows, columns, [{"column": values, "type": AGGREGATES[aggfunc], "outputColumn": "\u0001"}], fill=fill_value)
+        return Frame(df.withColumnsRenamed({c: c.removesuffix("_\u0001") for c in df.columns}), ())
 
     frame_pivot = frame_pivot_table
 
