@@ -27,6 +27,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row_key").alias("call_id"), "field_name", "pii_kind", "found_text").distinct()
 
 
+def p5_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = call_texts(spark, sf_dir)
+    parts = _parts(spark, sf_dir, texts)
+    return pii.found_ways(pii.find_pii(texts, parts), parts, table(spark, sf_dir, "name_lexicon"))
+
+
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = call_texts(spark, sf_dir)
     return pii.redact_pii(texts, _parts(spark, sf_dir, texts)).withColumnRenamed("row_key", "call_id")
@@ -41,10 +47,13 @@ def _coded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return s, c
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, c = _coded(spark, sf_dir)
-    found = secrets.find_secrets(s).withColumn("source_table", F.lit("snippets")).unionByName(secrets.find_secrets(c).withColumn("source_table", F.lit("llm_calls")))
-    return found.select("source_table", "row_key", "line_no").distinct()
+    return s.withColumn("source_table", F.lit("snippets")).unionByName(c.withColumn("source_table", F.lit("llm_calls")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_both(spark, sf_dir)).select("source_table", "row_key", "line_no").distinct()
 
 
 def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +63,11 @@ def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, c = _coded(spark, sf_dir)
-    p = secrets.chunk_postings(s.unionByName(c))
-    return p.groupBy("trigram").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return secrets.posting_lists(secrets.trigram_index(_both(spark, sf_dir))).where("n_chunks > 0")
+
+
+def p7_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.chunk_shares(written(secrets.trigram_index(_both(spark, sf_dir)), "secret-index"))
 
 
 # --- 8: filling containers -------------------------------------------------------------------------------
@@ -117,7 +128,9 @@ QUERIES = {
     "p10_restored": (p10_restored, None),
     "p5_found": (p5_found, None),
     "p5_redacted": (p5_redacted, None),
+    "p5_ways": (p5_ways, None),
     "p7_found": (p7_found, None),
     "p7_redacted": (p7_redacted, None),
     "p7_index": (p7_index, None),
+    "p7_candidates": (p7_candidates, None),
 }

@@ -7,11 +7,14 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import trigrams
+from sparkloom.session import written
 
 #: Characters of a chunk; a chunk ends with a line, so a longer line is a chunk of its own.
 CHUNK = 4096
@@ -23,7 +26,7 @@ STRONG = r"password|passwd|passphrase|pgpass|kennwort|mot_de_passe|contrase(?:ñ
 WEAK = r"secret_key|private_key|studio_key|llm_key|_key"
 SEP = r"[\"'\\]*[ \t]*\]?[ \t]*(?::=|=>|=|:)[ \t]*"
 NAMED = rf"(?:{WEAK}|{STRONG})(?![a-z])(?:_[a-z0-9_]+)?"
-TOKEN = r"(?:sk_(?:live|test)_[A-Za-z0-9]{12,}|\bsk-[A-Za-z0-9_-]{20,}|glpat-[A-Za-z0-9_-]{12,}|(?:ghp_|gho_|ghu_|ghs_|ghr_)[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{12,}|\bakia[A-Za-z0-9]{12,}|\beyj[A-Za-z0-9_-]{8,}\.eyj[A-Za-z0-9_.-]{8,})"
+TOKEN = r"(?:sk_(?:live|test)_[A-Za-z0-9]{12,}|\bsk-[A-Za-z0-9_-]{20,}|glpat-[A-Za-z0-9_-]{12,}|(?:ghp_|gho_|ghu_|ghs_|ghr_)[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{12,}|\b(?:akia|asia)[A-Za-z0-9]{12,}|\baiza[A-Za-z0-9_-]{30,}|\bnpm_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{20,}|\bhf_[A-Za-z0-9]{30,}|hooks\.slack\.com/services/[A-Za-z0-9/]{20,}|\beyj[A-Za-z0-9_-]{8,}\.eyj[A-Za-z0-9_.-]{8,})"
 
 #: kind -> (pattern with the value as group ``v``, how much the place alone says: see ``is_secret``)
 DETECTORS: dict[str, tuple[str, str]] = {
@@ -111,15 +114,23 @@ def chunks(text: str, size: int = CHUNK) -> Iterator[tuple[int, int, int]]:
 
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for t in VOCABULARY:
-        a.add_word(t, t)
+    for i, t in enumerate(VOCABULARY):
+        a.add_word(t, i)
     a.make_automaton()
     return a
 
 
+def posting_bits(text: str, automaton: ahocorasick.Automaton) -> int:
+    """Which trigrams of the vocabulary a chunk holds, as bits."""
+    bits = 0
+    for i in {i for _, i in automaton.iter("\n" + text.lower())}:
+        bits |= 1 << i
+    return bits
+
+
 def postings(text: str, automaton: ahocorasick.Automaton) -> set[str]:
-    """Which trigrams of the vocabulary the lower-cased text holds."""
-    return {t for _, t in automaton.iter(text.lower())}
+    """Which trigrams of the vocabulary a chunk holds."""
+    return {VOCABULARY[i] for _, i in automaton.iter("\n" + text.lower())}
 
 
 def candidates(present: set[str]) -> list[str]:
@@ -202,26 +213,119 @@ def redact_text(text: str, found: list[tuple[int, int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-FOUND = "row_key bigint, line_no bigint, kind string"
+FOUND = "source_table string, row_key bigint, line_no bigint, kind string"
 REDACTED = "row_key bigint, redacted string, n_found int, kinds array<string>"
+#: Bits of one word of a chunk's postings.
+WORD = 62
+WORDS = -(-len(VOCABULARY) // WORD)
+INDEX = "source_table string, row_key bigint, chunk_line bigint, size int, " + ", ".join(f"w{i} bigint" for i in range(WORDS)) + ", chunk string"
+
+
+def slices(text: str) -> Iterator[tuple[int, int, str]]:
+    """``(line, size, slice)`` of each chunk: its first line, its own length, and its text with as much
+    of what follows as a value that begins in it may need: whole lines, and a private key to its end."""
+    for start, end, line in chunks(text):
+        stop = len(text)
+        if end + OVERLAP < stop:
+            stop = text.find("\n", end + OVERLAP) + 1 or stop
+            head = text.rfind("-----BEGIN", start, end)
+            if head >= 0 and text.find("-----END", head, stop) < 0:
+                tail = text.find("-----END", stop)
+                stop = text.find("\n", tail) + 1 or len(text) if tail >= 0 else len(text)
+        yield line, end - start, text[start:stop]
+
+
+def trigram_index(texts: DataFrame) -> DataFrame:
+    """The index over all chunks of ``texts`` (``source_table, row_key, text``): one row for each chunk
+    with the trigrams it holds, as bits of the words ``w0, w1, ...``, and the chunk itself.
+
+    Only trigrams that some detector requires are kept. Null and empty texts have no chunks, repeated
+    rows repeat theirs. Nothing is shuffled.
+    """
+    mask = (1 << WORD) - 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton()
+        for batch in batches:
+            rows = []
+            for source, key, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for line, size, piece in slices(text):
+                    bits = posting_bits(piece, automaton)
+                    rows.append((source, key, line, size, *[bits >> (WORD * i) & mask for i in range(WORDS)], piece))
+            if rows:
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * WORDS, pa.string()]
+                names = ["source_table", "row_key", "chunk_line", "size", *[f"w{i}" for i in range(WORDS)], "chunk"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return texts.select("source_table", "row_key", "text").where("row_key is not null and text is not null and text <> ''").mapInArrow(run, INDEX)
+
+
+def _words(literal: frozenset[str]) -> list[tuple[int, int]]:
+    """``(word, bits)`` of a literal's trigrams in a chunk's postings."""
+    bits = 0
+    for t in literal:
+        bits |= 1 << VOCABULARY.index(t)
+    return [(i, word) for i in range(WORDS) if (word := bits >> (WORD * i) & ((1 << WORD) - 1))]
+
+
+#: Each detector's groups of literals as words of postings; equal groups of several detectors once.
+GROUPS = {tuple(group): [_words(literal) for literal in group] for groups in NEEDS.values() for group in groups}
+
+
+def intersected(words: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """For each detector the chunks that it is run on: of each group of literals that its regex demands
+    the postings hold all trigrams of one. A detector that demands nothing is run on all."""
+    n = len(words[0]) if words else 0
+    held = {}
+    for group, literals in GROUPS.items():
+        some = np.zeros(n, dtype=bool)
+        for literal in literals:
+            every = np.ones(n, dtype=bool)
+            for i, bits in literal:
+                every &= (words[i] & bits) == bits
+            some |= every
+        held[group] = some
+    out = {}
+    for kind, groups in NEEDS.items():
+        out[kind] = np.ones(n, dtype=bool)
+        for group in groups:
+            out[kind] &= held[tuple(group)]
+    return out
 
-def find_secrets(texts: DataFrame) -> DataFrame:
-    """``(row_key, line_no, kind)``: lines of ``texts`` (``row_key``, ``text``) where a value begins.
 
-    A document-partitioned trigram index: each line-aligned chunk is scanned once for the trigrams
-    that any detector's regex requires, the postings of a detector are intersected within the chunk,
-    and only detectors that survive are run, on this chunk alone. Nothing is shuffled; a text of any
-    length is read whole, chunk by chunk. Null and empty texts have no rows; repeated rows repeat.
-    """
+def _candidates(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return intersected([batch.column(f"w{i}").to_numpy(zero_copy_only=False) for i in range(WORDS)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton()
+
+def verified(index: DataFrame) -> DataFrame:
+    """``(source_table, row_key, line_no, kind)``: credentials that begin in the chunks of the index. The
+    postings of each detector are intersected, and its regex is run on the chunks that are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key, line, kind) for key, text in zip(batch["row_key"], batch["text"], strict=True) for line, _, _, kind in find_in(text, automaton)]
-            yield pd.DataFrame(rows, columns=["row_key", "line_no", "kind"])
+            hits = _candidates(batch)
+            some = np.logical_or.reduce(list(hits.values()))
+            kept = batch.filter(pa.array(some))
+            kinds = np.array(list(hits))
+            marks = np.stack([h[some] for h in hits.values()], axis=1)
+            rows = []
+            for source, key, line, size, piece, mark in zip(*[kept.column(c).to_pylist() for c in ("source_table", "row_key", "chunk_line", "size", "chunk")], marks, strict=True):
+                rows += [(source, key, line + piece.count("\n", 0, a), kind) for a, _, kind in verify(piece, 0, size, kinds[mark].tolist())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["source_table", "row_key", "line_no", "kind"])
+
+    return index.mapInArrow(run, FOUND)
+
 
-    return texts.select("row_key", "text").where("row_key is not null and text is not null").mapInPandas(run, FOUND)
+def find_secrets(texts: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """``(source_table, row_key, line_no, kind)``: lines of ``texts`` where a credential begins.
+
+    The trigram index over all chunks is written once (or given); the trigrams that each detector's
+    regex requires are derived from its syntax tree; their postings are intersected, and the regexes
+    are run on the chunks that are left, each only on those it is a candidate for. A text of any
+    length is read whole, chunk by chunk; a value that two chunks see may come out twice.
+    """
+    return verified(written(trigram_index(texts), "secret-index") if index is None else index)
 
 
 def redact_secrets(texts: DataFrame) -> DataFrame:
@@ -242,21 +346,22 @@ def redact_secrets(texts: DataFrame) -> DataFrame:
     return texts.select("row_key", "text").mapInPandas(run, REDACTED)
 
 
-def chunk_postings(texts: DataFrame) -> DataFrame:
-    """The index itself, for reuse: ``(row_key, chunk_line, trigram)`` of required trigrams."""
+def chunk_shares(index: DataFrame) -> DataFrame:
+    """``(kind, n_chunks, n_candidates)``: of all chunks, those that a detector is run on; the kind ``any``
+    counts chunks that some detector is run on."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch["row_key"], batch["text"], strict=True):
-                rows = [(key, line, t) for a, b, line in chunks(text or "") for t in sorted(postings(text[a:b], automaton))]
-                yield pd.DataFrame(rows, columns=["row_key", "chunk_line", "trigram"])
+            hits = _candidates(batch)
+            hits["any"] = np.logical_or.reduce(list(hits.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(hits)), pa.array([batch.num_rows] * len(hits), pa.int64()), pa.array([int(h.sum()) for h in hits.values()], pa.int64())], names=["kind", "n_chunks", "n_candidates"])
 
-    return texts.select("row_key", "text").where("text is not null").mapInPandas(run, "row_key bigint, chunk_line bigint, trigram string")
+    counted = index.select(*[f"w{i}" for i in range(WORDS)]).mapInArrow(run, "kind string, n_chunks bigint, n_candidates bigint")
+    return counted.groupBy("kind").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_candidates").alias("n_candidates"))
 
 
-def both_tables(snippets: DataFrame, calls: DataFrame) -> DataFrame:
-    """Texts of both sources under one key: repeated rows are told by the key, not by the text."""
-    s = snippets.select(F.lit("snippets").alias("source_table"), F.col("snippet_id").alias("id"), F.col("code").alias("text"))
-    c = calls.select(F.lit("llm_calls").alias("source_table"), F.col("call_id").alias("id"), F.col("prompt").alias("text"))
-    return s.unionByName(c).where("id is not null and text is not null")
+def posting_lists(index: DataFrame) -> DataFrame:
+    """``(trigram, n_chunks)``: how many chunks each required trigram is in."""
+    counts = [F.count_if(F.shiftrightunsigned(f"w{i // WORD}", i % WORD).bitwiseAND(F.lit(1)) == 1).alias("n") for i in range(len(VOCABULARY))]
+    row = index.agg(F.array(*counts).alias("n"))  # one row of counts
+    return row.select(F.posexplode("n").alias("i", "n_chunks")).select(F.get(F.array(*[F.lit(t) for t in VOCABULARY]), F.col("i")).alias("trigram"), "n_chunks")

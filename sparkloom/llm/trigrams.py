@@ -37,11 +37,13 @@ def _literals(tree) -> tuple[list[Group], Group | None]:
         exact = both if both is not None and len(both) <= SPREAD else None
 
     for op, arg in tree:
-        if op is sre.AT:
+        if op is sre.AT and arg is not sre.AT_BEGINNING:
             continue
         texts: Group | None = None
         inner: list[Group] = []
-        if op is sre.LITERAL:
+        if op is sre.AT:
+            texts = frozenset(["\n"])  # a line begins after a line feed; the text is read with one before it
+        elif op is sre.LITERAL:
             texts = frozenset([chr(arg).lower()])
         elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
             texts = frozenset(chr(a).lower() for _, a in arg)
@@ -73,7 +75,8 @@ def _literals(tree) -> tuple[list[Group], Group | None]:
 
 
 def required(pattern: str) -> list[list[frozenset[str]]]:
-    """Condition on the trigrams of a lower-cased text: all of (any of (all trigrams of a literal)).
+    """Condition on the trigrams of a lower-cased text with a line feed before it: all of (any of (all
+    trigrams of a literal)).
 
     An empty list means that the pattern demands no trigram, so that every text is a candidate.
     """
