@@ -5,14 +5,16 @@ person. A list of known name parts names the protected entities. Every other ter
 the whole corpus: the share of its occurrences that stand in the place of a family name beside a
 known given name (or the reverse) is its disclosure, and how many bits more likely a person is beside
 it than beside any term its information. Terms over both thresholds are name parts themselves, and
-the estimate is repeated with them, so that names joined only to such names are reached as well.
-Persons are then found as a given name or initial with a family name; addresses of mail, telephone
-and identity numbers and street addresses disclose by their form.
+the estimate is repeated with them until it finds no more, so that names joined only to such names are
+reached as well. Persons are then found as a given name or initial with a family name. Addresses of
+mail, telephone and identity numbers and street addresses are each seen once or twice in a corpus, so
+that there is nothing to count: they disclose by their form.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,10 +30,10 @@ DISCLOSURE = 0.3
 MIN_SEEN = 2
 #: Least information, in bits, that a term gives on a name being beside it.
 MIN_BITS = 3.0
-#: Estimates with the name parts found so far.
-ROUNDS = 3
-#: Name parts that may be sent to all tasks; more raise an error instead of growing unseen.
+#: Name parts that may be sent to all tasks, and their characters; more raise an error instead of
+#: growing unseen.
 MAX_PARTS = 2_000_000
+MAX_CHARS = 64_000_000
 
 # Forms of numbers, words for streets, spelled-out marks of mail addresses.
 MAIL_AT = r"(?:@|\s?[\[({<]\s?at\s?[\])}>]\s?|\s+at\s+|\s?\(a\)\s?)"
@@ -168,7 +170,8 @@ def name_parts(texts: DataFrame, lexicon: DataFrame) -> dict[str, str]:
     """Known and disclosed name parts, lower-cased, with their kind.
 
     The words of the corpus are counted once; each further round counts only what stands beside the
-    parts found last. What is collected are name parts, not rows: at most ``MAX_PARTS``.
+    parts found last, until none is new. What is collected are name parts, not rows: at most
+    ``MAX_PARTS``.
     """
     known = lexicon.select(F.lower(F.trim("name_part")).alias("w"), F.lower(F.trim("part_kind")).alias("k")).where("w <> '' and k in ('given', 'family')").groupBy("w").agg(F.min("k").alias("k"))
     parts = {r["w"]: r["k"] for r in known.limit(MAX_PARTS + 1).collect()}
@@ -176,14 +179,12 @@ def name_parts(texts: DataFrame, lexicon: DataFrame) -> dict[str, str]:
         return {}
     counts = written(co_occurrence(texts, parts), "pii-counts")
     new = _collected(disclosing(counts, parts), parts)
-    for _ in range(ROUNDS - 1):
-        if not new:
-            break
+    while new:
         more = texts.where("text is not null").mapInPandas(_beside(new), LINKS).groupBy("term", "place").agg(F.sum("n").alias("n"))
         parts |= new
         counts = written(counts.unionByName(more).groupBy("term", "place").agg(F.sum("n").alias("n")), "pii-counts")
         new = _collected(disclosing(counts, parts), parts)
-    return parts | new
+    return parts
 
 
 def _beside(parts: dict[str, str]):
@@ -200,7 +201,7 @@ def _beside(parts: dict[str, str]):
 
 def _collected(found: DataFrame, parts: dict[str, str]) -> dict[str, str]:
     rows = found.select("term", "part_kind").limit(MAX_PARTS + 1).collect()
-    if len(rows) + len(parts) > MAX_PARTS:
+    if len(rows) + len(parts) > MAX_PARTS or sum(len(r["term"]) for r in rows) + sum(map(len, parts)) > MAX_CHARS:
         raise ValueError("too many name parts; use a longer lexicon or higher thresholds")
     return {r["term"]: r["part_kind"] for r in rows if r["term"] not in parts}
 
@@ -289,13 +290,38 @@ def _is_login(text: str, m: re.Match) -> bool:
     return "://" in head or "@" not in m[0] and not re.search(r"(?i)dot|\.|punkt|point", m[0].partition("at")[2])
 
 
+_FINDERS: dict[str, Finder] = {}
+
+
+def _finder(sent) -> Finder:
+    """The finder of a broadcast dictionary, built once in a worker process and not in every task."""
+    if sent.number not in _FINDERS:
+        _FINDERS.clear()
+        _FINDERS[sent.number] = Finder(sent.value)
+    return _FINDERS[sent.number]
+
+
+class Sent:
+    """Name parts as a broadcast variable with a number of its own."""
+
+    def __init__(self, context, parts: dict[str, str]) -> None:
+        self._broadcast = context.broadcast(parts)
+        self.number = uuid.uuid4().hex
+
+    @property
+    def value(self) -> dict[str, str]:
+        return self._broadcast.value
+
+
 def find_pii(texts: DataFrame, parts: dict[str, str]) -> DataFrame:
     """``(row_key, field_name, pii_kind, start, found_text)`` of each place in ``texts``
     (``row_key, field_name, text``). Null and empty texts have none; repeated rows repeat. Texts are
-    read whole, each by itself; nothing is shuffled."""
+    read whole, each by itself; nothing is shuffled. ``parts`` is broadcast, its size being checked
+    where it is made."""
+    sent = Sent(texts.sparkSession.sparkContext, parts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(parts)
+        finder = _finder(sent)
         for batch in batches:
             rows = [
                 (key, field, kind, a, text[a:b])
@@ -307,12 +333,33 @@ def find_pii(texts: DataFrame, parts: dict[str, str]) -> DataFrame:
     return texts.select("row_key", "field_name", "text").where("text is not null and text <> ''").mapInPandas(run, FOUND)
 
 
+def found_ways(found: DataFrame, parts: dict[str, str], lexicon: DataFrame) -> DataFrame:
+    """``(pii_kind, way, n)``: by which way the places were found. Persons: ``listed`` (all parts in the
+    lexicon), ``co_occurrence`` (a part disclosed by the corpus), ``beside_known`` (a part that only
+    stands beside a known one); the other kinds by their ``form``."""
+    listed = {r[0] for r in lexicon.select(F.lower(F.trim("name_part"))).where("name_part is not null").distinct().limit(MAX_PARTS).collect()}
+    texts_of = found.sparkSession.sparkContext.broadcast((listed, set(parts)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        in_list, known = texts_of.value
+        for batch in batches:
+            seen: Counter = Counter()
+            for kind, text in zip(batch["pii_kind"], batch["found_text"], strict=True):
+                words = [w for w in re.findall(WORD, text.lower()) if len(w) > 1]
+                way = "form" if kind != "person" else "listed" if all(w in in_list for w in words) else "co_occurrence" if all(w in known for w in words) else "beside_known"
+                seen[kind, way] += 1
+            yield pd.DataFrame([(k, w, n) for (k, w), n in seen.items()], columns=["pii_kind", "way", "n"])
+
+    return found.select("pii_kind", "found_text").mapInPandas(run, "pii_kind string, way string, n bigint").groupBy("pii_kind", "way").agg(F.sum("n").alias("n"))
+
+
 def redact_pii(texts: DataFrame, parts: dict[str, str]) -> DataFrame:
     """Every row of ``texts`` with a placeholder such as ``[EMAIL]`` for each place found and all
     else unchanged; null texts stay null."""
+    sent = Sent(texts.sparkSession.sparkContext, parts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(parts)
+        finder = _finder(sent)
         for batch in batches:
             rows = []
             for key, field, text in zip(batch["row_key"], batch["field_name"], batch["text"], strict=True):
