@@ -83,7 +83,7 @@ else:
     o["count"] = 0
 o["mean"] = o.groupby("o_custkey")["k"].transform("mean")
 out = o[["o_orderkey", "o_totalprice_min", "o_totalprice_max", "o_totalprice_diff", "k", "count", "mean"]]
-''', ["orders"], "out", "SELECT o_orderkey, round(min(o_totalprice) OVER w, 7) AS o_totalprice_min, round(max(o_totalprice) OVER w, 7) AS o_totalprice_max, round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 7) AS o_totalprice_diff, round(o_totalprice / 100, 7) AS k, count(*) OVER (PARTITION BY o_custkey) AS count, round(avg(o_totalprice / 100) OVER (PARTITION BY o_custkey), 7) AS mean FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)", 7)
+''', ["orders"], "out", "SELECT o_orderkey, round(min(o_totalprice) OVER w, 10) AS o_totalprice_min, round(max(o_totalprice) OVER w, 10) AS o_totalprice_max, round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 10) AS o_totalprice_diff, round(o_totalprice / 100, 10) AS k, count(*) OVER (PARTITION BY o_custkey) AS count, round(avg(o_totalprice / 100) OVER (PARTITION BY o_custkey), 10) AS mean FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)", 10)
 
 program("whole_column", '''
 import pandas as pd
