@@ -8,6 +8,9 @@ quotas of the sources. Documents are then selected in a seeded order, cut where
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +25,9 @@ PART = 2000
 def min_cost_flow(n: int, arcs: list[tuple[int, int, float, float]], source: int, sink: int, eps: float = 1e-6) -> list[float]:
     """Flow on each arc ``(from, to, capacity, cost)`` of the greatest flow that costs least.
 
-    Successive shortest paths over the residual graph; costs must not be negative.
+    Primal-dual: distances by cost from the source with potentials, then a greatest flow along the arcs
+    that lie on shortest ways, all at once; as many rounds as there are different distances. Costs must
+    not be negative.
     """
     graph: list[list[int]] = [[] for _ in range(n)]
     to, cap, cost = [], [], []
@@ -32,38 +37,87 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, float, float]], source: int
         cap += [c, 0.0]
         cost += [w, -w]
         graph[b].append(len(to) - 1)
+    high = [0.0] * n
     while True:
         dist = [float("inf")] * n
-        via = [-1] * n
         dist[source] = 0.0
-        queue, queued = [source], [False] * n
-        while queue:
-            x = queue.pop(0)
-            queued[x] = False
+        heap = [(0.0, source)]
+        while heap:
+            d, x = heapq.heappop(heap)
+            if d > dist[x] + 1e-9:
+                continue
             for e in graph[x]:
-                if cap[e] > eps and dist[x] + cost[e] < dist[to[e]] - 1e-12:
-                    dist[to[e]] = dist[x] + cost[e]
-                    via[to[e]] = e
-                    if not queued[to[e]]:
-                        queued[to[e]] = True
-                        queue.append(to[e])
+                if cap[e] > eps:
+                    y = to[e]
+                    nd = d + max(0.0, cost[e] + high[x] - high[y])
+                    if nd < dist[y] - 1e-9:
+                        dist[y] = nd
+                        heapq.heappush(heap, (nd, y))
         if dist[sink] == float("inf"):
             return [cap[2 * k + 1] for k in range(len(arcs))]
-        push, x = float("inf"), sink
-        while x != source:
-            push = min(push, cap[via[x]])
-            x = to[via[x] ^ 1]
-        x = sink
-        while x != source:
-            cap[via[x]] -= push
-            cap[via[x] ^ 1] += push
-            x = to[via[x] ^ 1]
+        far = dist[sink]
+        for x in range(n):
+            high[x] += min(dist[x], far)
+        _saturate(graph, to, cap, cost, high, source, sink, eps)
+
+
+def _saturate(graph: list[list[int]], to: list[int], cap: list[float], cost: list[float], high: list[float], source: int, sink: int, eps: float) -> None:
+    """A greatest flow along arcs without reduced cost: levels from the source, then blocking flows."""
+    n = len(graph)
+    tight = lambda e, x: cap[e] > eps and abs(cost[e] + high[x] - high[to[e]]) < 1e-7
+    while True:
+        level = [-1] * n
+        level[source] = 0
+        queue = deque([source])
+        while queue:
+            x = queue.popleft()
+            for e in graph[x]:
+                if level[to[e]] < 0 and tight(e, x):
+                    level[to[e]] = level[x] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return
+        at = [0] * n
+        way: list[int] = []
+        x = source
+        while True:
+            if x == sink:
+                push = min(cap[e] for e in way)
+                for e in way:
+                    cap[e] -= push
+                    cap[e ^ 1] += push
+                first = next(i for i, e in enumerate(way) if cap[e] <= eps)
+                x = to[way[first] ^ 1]
+                del way[first:]
+                continue
+            while at[x] < len(graph[x]):
+                e = graph[x][at[x]]
+                if level[to[e]] == level[x] + 1 and tight(e, x):
+                    break
+                at[x] += 1
+            if at[x] < len(graph[x]):
+                way.append(graph[x][at[x]])
+                x = to[way[-1]]
+            elif way:
+                x = to[way.pop() ^ 1]
+                at[x] += 1
+            else:
+                break
+
+
+def _merged(patterns: dict[frozenset, float], names: set[str]) -> dict[frozenset, float]:
+    """Tokens by the sources of this mix that hold them: other sources make no difference to it."""
+    out: dict[frozenset, float] = {}
+    for p, c in patterns.items():
+        if mine := p & names:
+            out[mine] = out.get(mine, 0.0) + c
+    return out
 
 
 def _solve(patterns: dict[frozenset, float], targets: dict[str, tuple[float, int]], total: float) -> tuple[float, dict]:
     """Reached tokens and ``{(pattern, source, layer): tokens}`` for one mix of ``total`` tokens."""
     names = sorted(targets)
-    layers = [(p, r) for p in sorted(patterns, key=sorted) for r in range(1, max((targets[s][1] for s in p if s in targets), default=0) + 1)]
+    layers = [(p, r) for p in sorted(patterns, key=sorted) for r in range(1, max(targets[s][1] for s in p) + 1)]
     n = 2 + len(layers) + len(names)
     arcs, meaning = [], []
     for k, (p, r) in enumerate(layers):
@@ -81,8 +135,42 @@ def _solve(patterns: dict[frozenset, float], targets: dict[str, tuple[float, int
     return sum(routed.values()), routed
 
 
+def _greatest(patterns: dict[frozenset, float], targets: dict[str, tuple[float, int]]) -> float:
+    """The greatest total at which every source reaches its share.
+
+    What some sources can get together is bounded by the tokens that any of them may use, layer by
+    layer. A greatest flow that misses the quotas names the sources that are short; the total falls to
+    their bound, until the flow reaches all. Each step is exact, none a bisection.
+    """
+    def room(some: frozenset) -> float:
+        return sum(c * max(targets[s][1] for s in p & some) for p, c in patterns.items() if p & some)
+
+    total = min(room(frozenset([s])) / t[0] for s, t in targets.items())
+    for _ in range(len(targets) + 1):
+        reached, routed = _solve(patterns, targets, total)
+        if reached >= total * (1 - 1e-9) - len(targets):
+            return total
+        got: dict[str, float] = {}
+        used: dict[tuple, float] = {}
+        for (p, s, r), f in routed.items():
+            got[s] = got.get(s, 0.0) + f
+            used[p, r] = used.get((p, r), 0.0) + f
+        # sources that a short one can't take from: all that share its full layers, directly or not
+        short = {s for s in targets if got.get(s, 0.0) < targets[s][0] * total - 1}
+        grown = True
+        while grown:
+            more = {s for (p, s, r) in routed if any(q in short and r <= targets[q][1] for q in p)} - short
+            short |= more
+            grown = bool(more)
+        bound = room(frozenset(short)) / sum(targets[s][0] for s in short)
+        if bound >= total * (1 - 1e-9):
+            break
+        total = bound
+    return total
+
+
 def plan(patterns: dict[frozenset, float], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict:
-    """``{(pattern, source, layer): tokens}`` of one mix.
+    """``{(pattern, source, layer): tokens}`` of one mix, by the sources of the mix that hold a text.
 
     Sources without documents can give nothing; the shares of the others are raised in proportion.
     Without a ``total`` the greatest is taken at which every other source still reaches its share.
@@ -93,16 +181,8 @@ def plan(patterns: dict[frozenset, float], targets: dict[str, tuple[float, int]]
     if not real or not weight:
         return {}
     real = {s: (t[0] / weight, t[1]) for s, t in real.items()}
-    if total is None:
-        high = min(sum(c for p, c in patterns.items() if s in p) * t[1] / t[0] for s, t in real.items())
-        low = 0.0
-        if _solve(patterns, real, high)[0] < high * (1 - 1e-9) - len(real):
-            for _ in range(30):
-                mid = (low + high) / 2
-                low, high = (mid, high) if _solve(patterns, real, mid)[0] >= mid * (1 - 1e-9) - len(real) else (low, mid)
-            high = low
-        total = high
-    return _solve(patterns, real, total)[1]
+    mine = _merged(patterns, set(real))
+    return _solve(mine, real, _greatest(mine, real) if total is None else total)[1]
 
 
 def distinct_texts(sized: DataFrame) -> DataFrame:
@@ -140,9 +220,16 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 11, total: float | Non
     cuts = []
     for name, t in sorted(mixes.items()):
         at: dict[tuple, float] = {}
-        for (p, s, layer), tokens in sorted(plan(patterns, t, total).items(), key=lambda x: (sorted(x[0][0]), x[0][2], x[0][1])):
+        routes = plan(patterns, t, total)
+        # patterns that are one to this mix are cut alike, each at the same part of its own tokens
+        real = {s for p, _, _ in routes for s in p}
+        alike: dict[frozenset, list[frozenset]] = {}
+        for p in patterns:
+            alike.setdefault(p & real, []).append(p)
+        for (p, s, layer), tokens in sorted(routes.items(), key=lambda x: (sorted(x[0][0]), x[0][2], x[0][1])):
+            whole = sum(patterns[q] for q in alike[p])
             start = at.get((p, layer), 0.0)
-            cuts.append((name, key[p], s, layer, start, start + tokens))
+            cuts += [(name, key[q], s, layer, start / whole * patterns[q], (start + tokens) / whole * patterns[q]) for q in alike[p]]
             at[p, layer] = start + tokens
     schema = "mix_name string, pattern string, source string, use_no int, lo double, hi double"
     cut = spark.createDataFrame(cuts, schema)
@@ -169,3 +256,12 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     both = want.join(got, ["mix_name", "source"], "left").fillna({"n_tokens": 0, "n_draws": 0, "most_uses": 0})
     whole = F.sum("n_tokens").over(Window.partitionBy("mix_name"))
     return both.withColumn("actual_share", F.coalesce(F.round(F.try_divide(F.col("n_tokens"), whole), 6), F.lit(0.0)))
+
+
+def kept(report: DataFrame) -> DataFrame:
+    """What must hold of ``shares``: each source with documents near its share of what such sources were
+    to give (``near``: within 0.01), none used more often than allowed (``capped``)."""
+    has = F.col("n_tokens") > 0
+    weight = F.sum(F.when(has, F.col("target_share"))).over(Window.partitionBy("mix_name"))
+    wanted = F.when(has, F.col("target_share") / weight).otherwise(F.lit(0.0))
+    return report.select("mix_name", "source", has.alias("has_documents"), F.round(wanted, 6).alias("wanted_share"), (F.abs(F.col("actual_share") - wanted) < 0.01).alias("near"), (F.col("most_uses") <= F.col("max_repeats")).alias("capped"))

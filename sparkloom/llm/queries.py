@@ -73,9 +73,13 @@ def p7_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 8: filling containers -------------------------------------------------------------------------------
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_key"), "text")
-    return packing.pack(written(tokens.token_sizes(d), "tokens"), table(spark, sf_dir, "pack_sizes"))
+    return written(tokens.token_sizes(d), "tokens")
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_sizes(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +90,13 @@ def p8_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.filling(_packed(spark, sf_dir))
 
 
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _sizes(spark, sf_dir)
+    return packing.kept(packing.pack(sizes, table(spark, sf_dir, "pack_sizes")), sizes)
+
+
+P8_KEPT_SQL = "SELECT pack_name, (SELECT count(*) FROM documents) AS n_texts, true AS within, true AS whole, true AS unsplit, true AS filled FROM pack_sizes"
+
 # --- 9: mixing sources -----------------------------------------------------------------------------------
 
 
@@ -103,6 +114,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return mixing.kept(s)
+
+
+P9_KEPT_SQL = """WITH held AS (SELECT DISTINCT lower(trim(source)) AS source FROM documents WHERE text <> '' AND source IS NOT NULL), t AS (SELECT mix_name, lower(trim(source)) AS source, target_share, lower(trim(source)) IN (SELECT source FROM held) AS has FROM mix_targets)
+SELECT mix_name, source, has AS has_documents, round(CASE WHEN has THEN target_share / sum(target_share) FILTER (WHERE has) OVER (PARTITION BY mix_name) ELSE 0 END, 6) AS wanted_share, true AS near, true AS capped FROM t"""
+
 # --- 10: wrong character encoding -----------------------------------------------------------------------
 
 
@@ -122,7 +141,9 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p8_packed": (p8_packed, None),
     "p8_filling": (p8_filling, None),
+    "p8_kept": (p8_kept, P8_KEPT_SQL),
     "p9_mixed": (p9_mixed, None),
+    "p9_kept": (p9_kept, P9_KEPT_SQL),
     "p9_shares": (p9_shares, None),
     "p10_found": (p10_found, None),
     "p10_restored": (p10_restored, None),

@@ -1,5 +1,6 @@
 """Operators on texts: planted cases, round trips and awkward input."""
 
+import itertools
 import random
 import re
 
@@ -171,6 +172,28 @@ def test_min_cost_flow_and_plan():
     assert mixing.plan({a: 10.0}, {"b": (1.0, 1)}) == {}
 
 
+def test_greatest_total_and_many_patterns():
+    import time
+
+    rng = random.Random(6)
+    for _ in range(60):
+        names = "abcd"[: rng.randrange(2, 5)]
+        patterns = {frozenset(rng.sample(names, rng.randrange(1, len(names) + 1))): float(rng.randrange(10, 5000)) for _ in range(rng.randrange(1, 9))}
+        held = {s for p in patterns for s in p}
+        targets = {s: (rng.uniform(0.05, 1), rng.randrange(1, 4)) for s in sorted(held)}
+        weight = sum(t[0] for t in targets.values())
+        targets = {s: (a / weight, r) for s, (a, r) in targets.items()}
+        got = mixing._greatest(patterns, targets)
+        some = [frozenset(x) for n in range(1, len(held) + 1) for x in itertools.combinations(sorted(held), n)]
+        bound = min(sum(c * max(targets[s][1] for s in p & x) for p, c in patterns.items() if p & x) / sum(targets[s][0] for s in x) for x in some)
+        assert got == pytest.approx(bound, abs=8) and mixing._solve(patterns, targets, bound)[0] == pytest.approx(bound, abs=8)
+    many = {frozenset(s for i, s in enumerate("abcdefghijkl") if k >> i & 1): float(1000 + k % 77) for k in range(1, 4096)}
+    many |= {p | {f"x{i}"}: 50.0 for i in range(3) for p in list(many)[:2000]}
+    start = time.time()
+    routed = mixing.plan(many, {s: (1 / 12, 1 + i % 3) for i, s in enumerate("abcdefghijkl")})
+    assert len(many) > 10_000 and routed and time.time() - start < 60
+
+
 def test_mixing_shares_and_caps(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice(["Docs ", "docs", "chat", None]), f"t{i % 350}", rng.randrange(1, 60)) for i in range(400)] + [(999, "chat", "empty", 0)]
