@@ -100,6 +100,17 @@ def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select(F.col("grp").alias("flow_id"), "node_kind", F.col("node").alias("node_name"), "root", "depth", F.array_join("path", " > ").alias("path"), "state", "n_descendants")
 
 
+def hierarchy_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``p2_hierarchy`` with a bound so low that flows are spread over partitions, their
+    local forests merged and their paths joined, as are groups too large for one task."""
+    h = hierarchy.hierarchy(column_links(spark, sf_dir), single_parent=True, bound=SPREAD_BOUND)
+    return h.select(F.col("grp").alias("flow_id"), F.lit("column").alias("node_kind"), F.col("node").alias("node_name"), "root", "depth", F.array_join("path", " > ").alias("path"), "state", "n_descendants")
+
+
+#: Links of a flow above which ``hierarchy_spread`` spreads it; about half the flows have more.
+SPREAD_BOUND = 40
+
+
 def p2_column_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = hierarchy.descendants(hierarchy.hierarchy(column_links(spark, sf_dir), single_parent=True, counts=False))
     return d.select(F.col("grp").alias("flow_id"), "ancestor", "descendant", F.col("distance").cast("bigint").alias("distance"))
@@ -139,6 +150,23 @@ reach(flow_id, ancestor, descendant, distance) USING KEY (flow_id, ancestor, des
       WHERE NOT EXISTS (SELECT 1 FROM recurring.reach q WHERE q.flow_id = r.flow_id AND q.ancestor = r.ancestor AND q.descendant = c.b))
 SELECT flow_id, ancestor, descendant, CAST(distance AS BIGINT) AS distance FROM reach WHERE ancestor <> descendant"""
 
+P2_HIERARCHY_SQL = f"""WITH RECURSIVE {P2_LINKS},
+g AS (SELECT flow_id, k, a, b FROM l WHERE flow_id IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
+ins AS (SELECT flow_id, recipe_id, unnest(inputs) AS n, generate_subscripts(inputs, 1) AS pos FROM recipes),
+first AS (SELECT flow_id, recipe_id, min(struct_pack(pos := pos, n := lower(trim(n)))).n AS n FROM ins WHERE n IS NOT NULL GROUP BY 1, 2),
+outs AS (SELECT flow_id, recipe_id, created_at, lower(trim(o)) AS n FROM recipes, unnest(outputs) AS t(o) WHERE o IS NOT NULL),
+maker AS (SELECT flow_id, n, min(struct_pack(born := coalesce(created_at, TIMESTAMP '9999-01-01'), id := recipe_id)).id AS recipe_id FROM outs GROUP BY 1, 2),
+nodes AS (SELECT flow_id, 'dataset' AS k, lower(trim(n)) AS n FROM ins WHERE n IS NOT NULL UNION SELECT flow_id, 'dataset', n FROM outs
+  UNION SELECT flow_id, 'column', lower(trim(final_dataset)) || '.' || lower(trim(column_name)) FROM column_lineage UNION SELECT flow_id, k, a FROM g WHERE k = 'column'),
+up AS (SELECT m.flow_id, 'dataset' AS k, m.n, f.n AS parent FROM maker m JOIN first f USING (flow_id, recipe_id) UNION ALL SELECT flow_id, k, b, min(a) FROM g WHERE k = 'column' GROUP BY 1, 2, 3),
+tree AS (SELECT flow_id, k, n, n AS root, 0 AS depth, n AS path FROM nodes WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.flow_id = nodes.flow_id AND up.k = nodes.k AND up.n = nodes.n)
+  UNION ALL SELECT t.flow_id, t.k, up.n, t.root, t.depth + 1, t.path || ' > ' || up.n FROM tree t JOIN up ON up.flow_id = t.flow_id AND up.k = t.k AND up.parent = t.n),
+reach AS (SELECT flow_id, k, a, b FROM g UNION SELECT r.flow_id, r.k, r.a, g.b FROM reach r JOIN g ON g.flow_id = r.flow_id AND g.k = r.k AND g.a = r.b),
+below AS (SELECT flow_id, k, a AS n, count(*) FILTER (WHERE a <> b) AS c, bool_or(a = b) AS closed FROM reach GROUP BY 1, 2, 3)
+SELECT n.flow_id, n.k AS node_kind, n.n AS node_name, CASE WHEN coalesce(closed, false) THEN NULL ELSE root END AS root, CAST(CASE WHEN coalesce(closed, false) THEN NULL ELSE depth END AS BIGINT) AS depth, CASE WHEN coalesce(closed, false) THEN NULL ELSE path END AS path,
+  CASE WHEN coalesce(closed, false) THEN 'closed' WHEN root IS NOT NULL THEN 'tree' ELSE 'below_closed' END AS state, coalesce(c, 0) AS n_descendants
+FROM nodes n LEFT JOIN tree t ON t.flow_id = n.flow_id AND t.k = n.k AND t.n = n.n LEFT JOIN below b ON b.flow_id = n.flow_id AND b.k = n.k AND b.n = n.n WHERE n.flow_id IS NOT NULL AND n.n IS NOT NULL"""
+
 # --- 3: references to what does not exist ----------------------------------------------------------
 
 
@@ -269,7 +297,8 @@ QUERIES = {
     "p1_found": (p1_found, P1_FOUND_SQL),
     "p1_rolling": (p1_rolling, P1_ROLLING_SQL),
     "p2_found": (p2_found, P2_FOUND_SQL),
-    "p2_hierarchy": (p2_hierarchy, None),
+    "p2_hierarchy": (p2_hierarchy, P2_HIERARCHY_SQL),
+    "hierarchy_spread": (hierarchy_spread, P2_HIERARCHY_SQL + " AND n.k = 'column'"),
     "p2_column_descendants": (p2_column_descendants, P2_DESC_SQL),
     "p2_column_descendants_all": (p2_column_descendants_all, P2_REACH_SQL % "column"),
     "p2_dataset_descendants": (p2_dataset_descendants, P2_REACH_SQL % "dataset"),
