@@ -58,6 +58,10 @@ PAIRS = {c: _pair(t) for c, t in TABLES.items()}
 ACCENTED = re.compile("(?<![A-Za-z])[\xc0-\xff]{4,}")
 
 
+#: Characters that stood for a byte above ASCII in a western encoding.
+HIGH = re.compile("[\x80-\xff€‚-„†-•–-›ŒœŠšŽžŸˆ˜™ƒ]+")
+
+
 def decoded_spans(text: str, codec: str) -> list[tuple[int, int, str]]:
     """``(start, end, restored)`` of maximal runs that are well-formed multibyte text in the bytes of
     ``codec`` and decode to plausible characters."""
@@ -140,10 +144,9 @@ def _cyrillic(line: str) -> tuple[str, str]:
     words = [w for w in ACCENTED.findall(line) if len(set(w) - set("ÃÂâ")) > 2]
     if not words:
         return line, ""
-    high = re.compile("[\x80-\xff€‚-„†-•–-›ŒœŠšŽžŸˆ˜™ƒ]+")
     best = None
     for codec in ("cp1251", "koi8_r"):
-        fixed = high.sub(lambda m, c=codec: _reread(m[0], c), line)
+        fixed = HIGH.sub(lambda m, c=codec: _reread(m[0], c), line)
         odd = len(INVERTED.findall(fixed)) + len(re.findall("[а-яё][А-ЯЁ]", fixed)) + len(re.findall(r"[^\W\d_Ѐ-ӿ][Ѐ-ӿ]", fixed))
         if best is None or odd < best[0]:
             best = (odd, fixed, codec)
