@@ -193,6 +193,10 @@ def _call(name: str, args: tuple[Node, ...], this: Column | None) -> Column:
         return F.timestamp_add(_unit(args[2]), cols[1].cast("int"), cols[0])
     if low == "trunc":
         return F.date_trunc(_unit(args[1]), cols[0])
+    if low == "geocontains":
+        from sparkloom.operators.joins import contains_udf
+
+        return contains_udf(*cols)
     if low not in FUNCTIONS:
         raise FormulaError(f"unknown function {name!r}")
     try:

@@ -258,21 +258,28 @@ def encode(df: DataFrame, column: str, kind: str, out: str | None = None, target
             return coded
         bits = max(1, (len(values) - 1).bit_length())
         return coded.withColumns({f"{out}_{b}": F.shiftright(F.col(out), b).bitwiseAND(F.lit(1)) for b in range(bits)}).drop(out)
-    y = F.col(quoted(target)).cast("double") if target else None
-    if kind in ("COUNT", "FREQUENCY"):
-        stats = df.groupBy(c.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        value = F.col("_n") if kind == "COUNT" else F.col("_n") / F.lit(df.count())
-    elif kind == "TARGET":
-        stats = df.groupBy(c.alias("_v")).agg(F.avg(y).alias("_m"))
-        value = F.col("_m")
-    elif kind == "LEAVE_ONE_OUT":
-        stats = df.groupBy(c.alias("_v")).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
-        value = F.try_divide(F.col("_s") - y, F.col("_n") - 1)
-    elif kind == "WOE":
-        good, bad = df.agg(F.sum(y), F.sum(1 - y)).first()
-        stats = df.groupBy(c.alias("_v")).agg(F.sum(y).alias("_g"), F.sum(1 - y).alias("_b"))
-        value = F.ln(F.try_divide(F.col("_g") / F.lit(good), F.col("_b") / F.lit(bad)))
-    else:
+    if kind not in STATISTICS:
         raise UnsupportedError(f"encoding {kind}")
+    return encode_many(df, column, target, [(kind, out)])
+
+
+#: Encodings that need only the number and the target's total of each value.
+STATISTICS = ("COUNT", "FREQUENCY", "TARGET", "LEAVE_ONE_OUT", "WOE")
+
+
+def encode_many(df: DataFrame, column: str, target: str | None, wanted: list[tuple[str, str | None]]) -> DataFrame:
+    """Several ``(encoding, output)`` of one column by one aggregate of its values, joined once, null-safe.
+
+    Values without a partner that the encoding needs get null: one that stands alone has no
+    LEAVE_ONE_OUT, one that is all of one class no WOE.
+    """
+    c = F.col(quoted(column))
+    y = F.col(quoted(target)).cast("double") if target else F.lit(None).cast("double")
+    stats = df.groupBy(c.alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s"), F.count(y).alias("_m"))
+    n, s, m = (F.lit(None) if x is None else F.lit(x) for x in stats.agg(F.sum("_n"), F.sum("_s"), F.sum("_m")).first()) if {k for k, _ in wanted} & {"FREQUENCY", "WOE"} else (F.lit(None),) * 3
+    values = {
+        "COUNT": lambda: F.col("_n"), "FREQUENCY": lambda: F.col("_n") / n, "TARGET": lambda: F.try_divide(F.col("_s"), F.col("_m")), "LEAVE_ONE_OUT": lambda: F.try_divide(F.col("_s") - y, F.col("_m") - 1),
+        "WOE": lambda: F.ln(F.try_divide(F.try_divide(F.col("_s"), s), F.try_divide(F.col("_m") - F.col("_s"), m - s))),
+    }
     joined = df.join(stats, c.eqNullSafe(F.col("_v")), "left")
-    return joined.withColumn(out, value).drop(*stats.columns)
+    return joined.withColumns({out or f"{column}_{kind.lower()}": values[kind]() for kind, out in wanted}).drop("_v", "_n", "_s", "_m")

@@ -109,3 +109,33 @@ def wasserstein(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
     within = Window.partitionBy("p").orderBy("v")
     run = parted.join(F.broadcast(parts), "p").select((F.sum("s").over(within) + F.col("base")).alias("f"), (F.coalesce(F.lead("v").over(within), "until") - F.col("v")).alias("w"))
     return run.agg(F.coalesce(F.sum(F.abs("f") * F.col("w")), F.lit(0.0)).alias("wasserstein"))
+
+
+def run_scenario(spark, flow, scenario: dict, inputs: dict[str, DataFrame] | None = None) -> list[dict]:
+    """Run the steps of a scenario in order: ``build`` (compute datasets and write those with a sink),
+    ``check`` (checks of one dataset) and ``sql``. A step that fails ends the run unless it has
+    ``proceed``; later steps come out as ``SKIPPED``. Triggers and reporters are kept as they are.
+    """
+    made: dict[str, DataFrame] = dict(inputs or {})
+    out, stopped = [], False
+    for step in scenario.get("steps") or []:
+        kind = str(step.get("type", "")).lower()
+        if stopped:
+            out.append({"name": step.get("name"), "type": kind, "outcome": "SKIPPED"})
+            continue
+        result: dict[str, Any] = {"name": step.get("name"), "type": kind}
+        if kind == "build":
+            made = flow.run(spark, inputs)
+            result |= {"written": flow.store(made), "outcome": "OK"}
+        elif kind == "check":
+            checks = run_checks(made[step["dataset"]], step["checks"])
+            worst = {c["outcome"] for c in checks}
+            result |= {"checks": checks, "outcome": "ERROR" if "ERROR" in worst else "WARNING" if "WARNING" in worst else "OK"}
+        elif kind == "sql":
+            made[step["name"]] = spark.sql(step["code"], **{k: made[k] for k in step.get("tables", [])})
+            result["outcome"] = "OK"
+        else:
+            raise UnsupportedError(f"scenario step {kind!r}")
+        stopped = result["outcome"] == "ERROR" and not step.get("proceed")
+        out.append(result)
+    return out

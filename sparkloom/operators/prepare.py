@@ -48,10 +48,18 @@ def put(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def apply_steps(df: DataFrame, steps: list[dict]) -> DataFrame:
-    """Run ``{type, params, disabled?}`` steps in order."""
-    for s in steps:
+    """Run ``{type, params, disabled?}`` steps in order. Encodings of one column by statistics of its
+    values, one after the other, are done at once."""
+    done = 0
+    for k, s in enumerate(steps):
         if s.get("disabled"):
             continue
+        if k < done:
+            continue
+        if (run := _encoders(steps, k)) and len(run) > 1:
+            df = modes.encode_many(df, run[0]["column"], run[0].get("target"), [(str(p["encoding"]).upper(), p.get("outputColumn")) for p in run])
+            done = k + len(run)
+            continue
         name = s.get("type") or s.get("processor_type")
         if s.get("metaType") == "GROUP" or name in ("ProcessorGroup",):
             df = apply_steps(df, s.get("params", {}).get("steps") or s.get("steps") or [])
@@ -65,6 +73,18 @@ def apply_steps(df: DataFrame, steps: list[dict]) -> DataFrame:
     return df
 
 
+def _encoders(steps: list[dict], start: int) -> list[dict]:
+    """Parameters of the encoders by statistics of one column and target from ``start`` on."""
+    out: list[dict] = []
+    for s in steps[start:]:
+        p = s.get("params") or {}
+        same = not out or (p.get("column"), p.get("target")) == (out[0].get("column"), out[0].get("target"))
+        if s.get("type") != "CategoricalEncoder" or s.get("disabled") or not same or str(p.get("encoding")).upper() not in modes.STATISTICS or p.get("outputColumn") == p.get("column"):
+            break
+        out.append(p)
+    return out
+
+
 def _keep(df: DataFrame, cond: Column, p: dict, flips: bool = True) -> DataFrame:
     """Keep or drop the rows of a condition, clear the cells, or flag them."""
     cond = F.coalesce(cond, F.lit(False))
@@ -1082,6 +1102,22 @@ def triggered_unfold(df, p):
     return numbered.groupBy(*[quoted(c) for c in p["partition"]], "session_no").agg(*[F.min(F.when(col(p["column"]) == v, t)).alias(f"{modes.slug(v)}_first") for v in values])
 
 
+@processor("MemoryJoin")
+def memory_join(df, p):
+    """Join with another table, given as ``with``; null keys match nothing."""
+    return joins.join(df, p["with"], p["keys"], p.get("joinType", "LEFT"))
+
+
+@processor("MemoryFuzzyJoin")
+def memory_fuzzy_join(df, p):
+    return joins.fuzzy(df, p["with"], p["leftColumn"], p["rightColumn"], float(p.get("threshold", 2)), p.get("metric", "DAMERAU_LEVENSHTEIN"), p.get("relative", False), normalise=p.get("textNormalization"), how=p.get("joinType", "LEFT"))
+
+
+@processor("MemoryGeoJoin")
+def memory_geo_join(df, p):
+    return joins.geo_join(df, p["with"], p["leftColumn"], p["rightColumn"], p.get("operator", "INTERSECTS"))
+
+
 @processor("NestedProcessor")
 def nested(df, p):
     inner = p["processor"]

@@ -114,6 +114,10 @@ def checked(f: Any, kw: dict) -> dict:
     return {k: v for k, v in kw.items() if k in known}
 
 
+#: Methods that plugins have added: name -> (compiler, base, args, kw) -> value.
+METHODS: dict[str, Any] = {}
+
+
 class Compiler:
     """One run over a module's statements. ``inputs`` maps a path or table name to a DataFrame."""
 
@@ -352,6 +356,8 @@ class Compiler:
         kw = {k.arg: self.value(k.value) for k in e.keywords}
         if isinstance(e.func, ast.Attribute):
             base = self.value(e.func.value)
+            if e.func.attr in METHODS and not isinstance(base, Module):
+                return METHODS[e.func.attr](self, base, args, kw)
             if isinstance(base, Module):
                 return self.module_call(f"{base.name}.{e.func.attr}", args, kw)
             for kind, methods in ((Frame, "frame"), (Series, "series"), (Grouped, "grouped"), (Rolling, "rolling"), (Accessor, "text")):

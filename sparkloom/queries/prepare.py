@@ -108,8 +108,8 @@ steps("multi_find_replace", "orders", [("MultiColumnFindReplace", {"columns": ["
 # --- more identifiers ---
 steps("countries_phones_exact", "nation", [("CountryNormalizer", {"column": "n_name", "outputColumn": "code"}), ("PhoneFormatter", {"column": "phone", "country": "FR", "outputColumn": "intl"})], ["n_nationkey", "code", "intl"], "SELECT n_nationkey, CASE n_name " + " ".join(f"WHEN '{k.upper()}' THEN '{v}'" for k, v in {"france": "FR", "germany": "DE", "united states": "US", "united kingdom": "GB", "japan": "JP", "china": "CN", "india": "IN", "brazil": "BR", "canada": "CA", "kenya": "KE", "egypt": "EG", "russia": "RU", "peru": "PE"}.items()) + " END AS code, '+331990012' || (n_nationkey + 10) AS intl FROM nation", lambda df: df.withColumn("phone", F.concat(F.lit("01 99 00 12 "), (F.col("n_nationkey") + 10))))
 AGENTS = {"Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0 Safari/537.36 Edg/120.0": ("Edge", "Windows", "desktop"), "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 Version/17.0 Mobile/15E148 Safari/604.1": ("Safari", "iOS", "mobile"), "Mozilla/5.0 (X11; Linux x86_64; rv:120.0) Gecko/20100101 Firefox/120.0": ("Firefox", "Linux", "desktop"), "examplebot/2.1 (crawler)": (None, None, "robot"), "Mozilla/5.0 (Linux; Android 14) AppleWebKit/537.36 Chrome/120.0 Mobile Safari/537.36": ("Chrome", "Android", "mobile")}
-_AGENT = F.get(F.array(*[F.lit(a) for a in AGENTS]), F.pmod(F.col("c_custkey"), F.lit(5)).cast("int"))
-steps("user_agents", "customer", [("UserAgentParser", {"column": "ua"})], ["c_custkey", "ua_browser", "ua_os", "ua_type"], "SELECT c_custkey, " + ", ".join("CASE c_custkey % 5 " + " ".join(f"WHEN {i} THEN " + (f"'{v[k]}'" if v[k] else "NULL") for i, v in enumerate(AGENTS.values())) + f" END AS ua_{n}" for k, n in enumerate(("browser", "os", "type"))) + " FROM customer", lambda df: df.withColumn("ua", _AGENT))
+_AGENT = lambda: F.get(F.array(*[F.lit(a) for a in AGENTS]), F.pmod(F.col("c_custkey"), F.lit(5)).cast("int"))
+steps("user_agents", "customer", [("UserAgentParser", {"column": "ua"})], ["c_custkey", "ua_browser", "ua_os", "ua_type"], "SELECT c_custkey, " + ", ".join("CASE c_custkey % 5 " + " ".join(f"WHEN {i} THEN " + (f"'{v[k]}'" if v[k] else "NULL") for i, v in enumerate(AGENTS.values())) + f" END AS ua_{n}" for k, n in enumerate(("browser", "os", "type"))) + " FROM customer", lambda df: df.withColumn("ua", _AGENT()))
 steps("addresses", "customer", [("AddressParser", {"column": "a"})], ["c_custkey", "a_number", "a_street", "a_postcode", "a_city"], "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS a_number, 'rue des Lilas' AS a_street, CAST(10000 + c_nationkey AS VARCHAR) AS a_postcode, 'Nantes' AS a_city FROM customer", lambda df: df.select("c_custkey", F.concat(F.col("c_custkey"), F.lit(" rue des Lilas, "), F.col("c_nationkey") + 10000, F.lit(" Nantes")).alias("a")))
 steps("grok", "customer", [("Grok", {"column": "line", "pattern": "%{IP:client} %{WORD:verb} %{NOTSPACE:path} %{INT:status} %{NUMBER:took}"})], ["c_custkey", "client", "verb", "path", "status", "took"], "SELECT c_custkey, '10.1.2.' || c_nationkey AS client, 'GET' AS verb, '/c/' || c_custkey AS path, '200' AS status, '0.5' AS took FROM customer", lambda df: df.select("c_custkey", F.concat(F.lit("10.1.2."), F.col("c_nationkey"), F.lit(" GET /c/"), F.col("c_custkey"), F.lit(" 200 0.5")).alias("line")))
 steps("visitor_uuid", "customer", [("VisitorId", {"columns": ["c_name", "c_nationkey"]}), ("UUIDGenerator", {"columns": ["c_custkey"], "outputColumn": "u"})], ["c_custkey", "visitor_id", "u"], "WITH h AS (SELECT c_custkey, sha256(c_name || '|' || c_nationkey) AS visitor_id, sha1(CAST(c_custkey AS VARCHAR)) AS h FROM customer) SELECT c_custkey, visitor_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-a' || h[18:20] || '-' || h[21:32] AS u FROM h")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,7 +31,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-ckpt-"))
@@ -50,9 +53,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_folder(spark), f"{label}-{uuid.uuid4().hex}.parquet")
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written by this application and not yet removed.
+_WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove all tables that ``written`` has made so far; call it when no result built on them is read
+    any more. The number of tables removed."""
+    jvm = spark.sparkContext._jvm
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
+@atexit.register
+def _clean_files() -> None:
+    """What is left at the end of the application, where it lies in a file system seen from here."""
+    for path in _WRITTEN:
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only when a count proves that ``df`` has at most ``max_rows`` rows."""
     if df.limit(max_rows + 1).count() <= max_rows:
