@@ -138,6 +138,11 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repaired(spark, sf_dir).where("state <> 'clean'")
 
 
+def p10_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged texts by state and the encodings that restored them; none for characters that are lost."""
+    return _repaired(spark, sf_dir).where("state <> 'clean'").groupBy("state", "codecs").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "p8_packed": (p8_packed, None),
     "p8_filling": (p8_filling, None),
@@ -147,6 +152,7 @@ QUERIES = {
     "p9_shares": (p9_shares, None),
     "p10_found": (p10_found, None),
     "p10_restored": (p10_restored, None),
+    "p10_ways": (p10_ways, None),
     "p5_found": (p5_found, None),
     "p5_redacted": (p5_redacted, None),
     "p5_ways": (p5_ways, None),
