@@ -255,8 +255,34 @@ def merged_schema(rows: DataFrame) -> DataFrame:
     return kinds.where(F.size(F.array_remove("k", F.lit("object"))) > 0).select("tbl", "field", kind.alias("col_type"), "n")
 
 
-def relational(rows: DataFrame, tbl: str, schema: dict[str, str]) -> DataFrame:
-    """One flat table: keys and ordinal, then a typed column for each field of ``schema``."""
-    taken = {"doc_key", "row_key", "parent_tbl", "parent_key", "ordinal", "item_key"}
-    columns = [F.col("fields")[f].try_cast(t).alias(f"{f}_field" if f in taken else f) for f, t in schema.items()]
-    return rows.where(F.col("tbl") == tbl).select("doc_key", "row_key", "parent_tbl", "parent_key", "ordinal", "item_key", *columns)
+#: Fields that one flat table may have as columns.
+MAX_COLUMNS = 2000
+
+
+def column_names(fields: list[str], taken: set[str]) -> dict[str, str]:
+    """A column name for each field: letters, digits and underscores, no two alike in lower case."""
+    out: dict[str, str] = {}
+    used = {t.lower() for t in taken}
+    for f in sorted(fields):
+        base = re.sub(r"\W+", "_", f).strip("_") or "field"
+        name, n = base, 2
+        while name.lower() in used:
+            name, n = f"{base}_{n}", n + 1
+        used.add(name.lower())
+        out[f] = name
+    return out
+
+
+def relational(rows: DataFrame, tbl: str, schema: dict[str, str] | None = None) -> DataFrame:
+    """One flat table: keys and ordinal, then a typed column for each field of ``schema``, by default
+    the merged schema of all rows of the table. More than ``MAX_COLUMNS`` fields raise an error. A
+    value that the merged type can't hold is null."""
+    keys = ["doc_key", "row_key", "parent_tbl", "parent_key", "ordinal", "item_key"]
+    mine = rows.where(F.col("tbl") == tbl)
+    if schema is None:
+        found = merged_schema(mine).select("field", "col_type").limit(MAX_COLUMNS + 1).collect()
+        if len(found) > MAX_COLUMNS:
+            raise ValueError(f"{tbl} has more than {MAX_COLUMNS} fields")
+        schema = {r["field"]: r["col_type"] for r in found}
+    names = column_names(list(schema), set(keys))
+    return mine.select(*keys, *[F.col("fields")[f].try_cast(schema[f]).alias(n) for f, n in names.items()])

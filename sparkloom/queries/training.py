@@ -255,6 +255,15 @@ def p4_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.merged_schema(export_rows(spark, sf_dir))
 
 
+def _flat(tbl: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """One flat table with the columns of its merged schema."""
+        rows = written(export_rows(spark, sf_dir, [tbl]), "p4-flat")
+        return nested.relational(rows, tbl).withColumn("export_id", F.col("doc_key").cast("bigint")).drop("doc_key")
+
+    return f
+
+
 def p4_zone_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(export_rows(spark, sf_dir, ["zones", "zones.datasets", "zones.recipes"]), "p4-zones")
     zones = rows.where("tbl = 'zones'").select(F.col("row_key").alias("parent_key"), F.coalesce(F.col("fields")["name"], F.col("item_key")).alias("zone_name"))
@@ -308,6 +317,9 @@ QUERIES = {
     "p4_rows": (p4_rows, None),
     "p4_schema": (p4_schema, None),
     "p4_zone_members": (p4_zone_members, None),
+    "p4_recipes": (_flat("recipes"), None),
+    "p4_steps": (_flat("recipes.steps"), None),
+    "p4_zones": (_flat("zones"), None),
     "p6_found": (p6_found, None),
     "p6_llm_calls": (p6_llm_calls, None),
     "p6_processors": (p6_processors, None),
