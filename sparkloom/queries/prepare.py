@@ -27,12 +27,10 @@ def steps(name: str, source: str, run: list[tuple[str, dict]], columns: list[str
 # --- text ---
 MODES = {"TO_UPPER": "upper(c_name)", "TO_LOWER": "lower(c_name)", "CAPITALIZE": "upper(c_name[1]) || lower(c_name[2:])", "TRIM": "trim(c_name)", "REMOVE_WHITESPACE": "regexp_replace(c_name, '\\s+', '', 'g')", "REMOVE_NON_ALPHANUMERIC": "regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')", "REMOVE_DIGITS": "regexp_replace(c_name, '\\d', '', 'g')", "KEEP_ONLY_DIGITS": "regexp_replace(c_name, '\\D', '', 'g')", "KEEP_ONLY_ALPHA": "regexp_replace(c_name, '[^A-Za-z]', '', 'g')", "PAD_LEFT": "lpad(c_name, 30, '*')", "PAD_RIGHT": "rpad(c_name, 30, '*')", "REVERSE": "reverse(c_name)", "QUOTE": "'\"' || c_name || '\"'", "REMOVE_PUNCTUATION": "regexp_replace(c_name, '[[:punct:]]', '', 'g')"}
 steps("string_modes", "customer", [("StringTransformer", {"column": "c_name", "mode": m, "outputColumn": m.lower(), "length": 30, "pad": "*"}) for m in MODES], ["c_custkey", *[m.lower() for m in MODES]], "SELECT c_custkey, " + ", ".join(f"{v} AS {k.lower()}" for k, v in MODES.items()) + " FROM customer")
-steps("string_unicode", "documents", [("StringTransformer", {"column": "source", "mode": m, "outputColumn": m.lower()}) for m in ("REMOVE_ACCENTS", "ASCII_TRANSLITERATE", "SWAPCASE", "TITLECASE")], ["doc_id", "remove_accents", "ascii_transliterate", "swapcase", "titlecase"], None)
 steps("find_replace", "orders", [("FindReplace", {"column": "o_orderpriority", "find": "-", "replace": ":", "outputColumn": "a"}), ("FindReplace", {"column": "o_orderpriority", "find": "[0-9]+", "replace": "#", "matchMode": "PATTERN", "outputColumn": "b"}), ("FindReplace", {"column": "o_orderstatus", "find": "F", "replace": "final", "matchMode": "FULL_STRING", "outputColumn": "c"})], ["o_orderkey", "a", "b", "c"], "SELECT o_orderkey, replace(o_orderpriority, '-', ':') AS a, regexp_replace(o_orderpriority, '[0-9]+', '#', 'g') AS b, CASE WHEN o_orderstatus = 'F' THEN 'final' ELSE o_orderstatus END AS c FROM orders")
 steps("extract", "customer", [("PatternExtract", {"column": "c_name", "pattern": r"([A-Za-z]+)\D*(\d+)", "outputColumns": ["word", "digits"]}), ("ExtractNumbers", {"column": "c_name", "outputColumn": "number"}), ("CountMatches", {"column": "c_name", "value": "0", "outputColumn": "zeros"})], ["c_custkey", "word", "digits", "number", "zeros"], r"SELECT c_custkey, nullif(regexp_extract(c_name, '([A-Za-z]+)\D*(\d+)', 1), '') AS word, nullif(regexp_extract(c_name, '([A-Za-z]+)\D*(\d+)', 2), '') AS digits, CAST(nullif(regexp_extract(c_name, '-?\d+(?:\.\d+)?'), '') AS DOUBLE) AS number, CAST(length(c_name) - length(replace(c_name, '0', '')) AS BIGINT) AS zeros FROM customer")
 steps("split_column", "orders", [("ColumnsSplitter", {"column": "o_orderpriority", "separator": "-", "outputColumns": ["first_part", "second_part"]})], ["o_orderkey", "first_part", "second_part"], "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS first_part, CASE WHEN contains(o_orderpriority, '-') THEN split_part(o_orderpriority, '-', 2) END AS second_part FROM orders")
 steps("tokenize", "part", [("Tokenizer", {"column": "p_name", "operation": "ROWS", "outputColumn": "token"})], ["p_partkey", "token"], r"SELECT p_partkey, unnest(list_filter(regexp_split_to_array(trim(p_name), '\s+'), lambda x: x <> '')) AS token FROM part")
-steps("simplify", "documents", [("SimplifyText", {"column": "text", "outputColumn": "simple"}), ("TextHasher", {"column": "simple", "algorithm": "MD5", "outputColumn": "h"})], ["doc_id", "h"], None)
 steps("html_stem_language", "documents", [("HtmlStripper", {"column": "text", "outputColumn": "plain"}), ("LanguageDetector", {"column": "plain", "outputColumn": "guess"}), ("SentimentAnalyzer", {"column": "plain", "outputColumn": "mood"}), ("StemText", {"column": "doc_kind", "outputColumn": "stem"}), ("LemmatizeText", {"column": "doc_kind", "outputColumn": "lemma"})], ["doc_id", "guess", "mood", "stem", "lemma"], None)
 steps("hashes", "customer", [("TextHasher", {"column": "c_name", "algorithm": "MD5", "outputColumn": "md5"}), ("HashComputer", {"column": "c_name", "algorithm": "SHA256", "outputColumn": "sha"}), ("ColumnPseudoAnonymizer", {"column": "c_mktsegment", "salt": "s", "pepper": "p", "outputColumn": "pseudonym"})], ["c_custkey", "md5", "sha", "pseudonym"], "SELECT c_custkey, md5(c_name) AS md5, sha256(c_name) AS sha, sha256('ps' || c_mktsegment) AS pseudonym FROM customer")
 steps("chunks", "documents", [("SplitIntoChunks", {"column": "text", "size": 400, "overlap": 40, "outputColumn": "chunk"}), ("Formula", {"outputColumn": "n", "expression": 'length(val("chunk"))'})], ["doc_id", "chunk_index", "n"], None)
@@ -40,7 +38,6 @@ steps("chunks", "documents", [("SplitIntoChunks", {"column": "text", "size": 400
 # --- identifiers ---
 URL = lambda df: df.select("c_custkey", F.concat(F.lit("https://h"), F.col("c_custkey"), F.lit(".test:8080/a/b?x="), F.col("c_nationkey"), F.lit("&y=2#top")).alias("url"), F.concat(F.lit("user"), F.col("c_custkey"), F.lit("@mail.test")).alias("mail"), F.concat(F.lit("10.0."), F.col("c_nationkey"), F.lit(".7")).alias("ip"))
 steps("urls", "customer", [("SplitURL", {"column": "url"}), ("QuerystringSplitter", {"column": "url_querystring", "keys": ["x", "y"]}), ("EmailDomainExtractor", {"column": "mail"}), ("IPAddressParser", {"column": "ip"})], ["c_custkey", "url_scheme", "url_host", "url_port", "url_path", "url_anchor", "url_querystring_x", "url_querystring_y", "mail_localpart", "mail_domain", "ip_version", "ip_private"], "SELECT c_custkey, 'https' AS url_scheme, 'h' || c_custkey || '.test' AS url_host, CAST(8080 AS BIGINT) AS url_port, '/a/b' AS url_path, 'top' AS url_anchor, CAST(c_nationkey AS VARCHAR) AS url_querystring_x, '2' AS url_querystring_y, 'user' || c_custkey AS mail_localpart, 'mail.test' AS mail_domain, CAST(4 AS BIGINT) AS ip_version, true AS ip_private FROM customer", URL)
-steps("countries_phones", "nation", [("CountryNormalizer", {"column": "n_name", "outputColumn": "code"}), ("PhoneFormatter", {"column": "phone", "country": "FR", "outputColumn": "intl"}), ("VisitorId", {"columns": ["n_name", "phone"]})], ["n_nationkey", "code", "intl", "visitor_id"], None, lambda df: df.withColumn("phone", F.concat(F.lit("01 99 00 12 "), (F.col("n_nationkey") + 10))))
 
 # --- numbers ---
 NUM = {"MULTIPLY": ("3", "x * 3"), "ADD": ("3", "x + 3"), "SUBTRACT": ("3", "x - 3"), "DIVIDE": ("4", "x / 4"), "POWER": ("2", "x * x"), "SQRT": (None, "CASE WHEN x >= 0 THEN sqrt(x) END"), "LOG": (None, "CASE WHEN x > 0 THEN ln(x) END"), "LOG10": (None, "CASE WHEN x > 0 THEN log10(x) END"), "ABS": (None, "abs(x)"), "NEGATE": (None, "-x"), "FLOOR": (None, "CAST(floor(x) AS BIGINT)"), "CEIL": (None, "CAST(ceil(x) AS BIGINT)"), "INVERSE": (None, "CASE WHEN x <> 0 THEN 1 / x END"), "SIN": (None, "sin(x)"), "ATAN": (None, "atan(x)"), "DEGREES_TO_RADIANS": (None, "radians(x)")}
@@ -101,12 +98,12 @@ MORE = {"TRIM_LEFT": r"regexp_replace(t, '^\s+', '')", "TRIM_RIGHT": r"regexp_re
 steps("string_modes_more", "part", [*[("StringTransformer", {"column": "t", "mode": m, "outputColumn": m.lower(), "length": 80, "pad": "*"}) for m in MORE], ("StringTransformer", {"column": "q", "mode": "UNQUOTE", "outputColumn": "unquote"}), ("StringTransformer", {"column": "q", "mode": "TRUNCATE", "length": 5, "outputColumn": "truncate"})], ["p_partkey", *[m.lower() for m in MORE], "unquote", "truncate"], RAGGED_SQL + "SELECT p_partkey, " + ", ".join(f"{v} AS {k.lower()}" for k, v in MORE.items()) + ", q[2:-2] AS unquote, q[1:5] AS truncate FROM r", RAGGED)
 steps("titlecase", "part", [("StringTransformer", {"column": "p_type", "mode": "TITLECASE", "outputColumn": "titled"})], ["p_partkey", "titled"], "SELECT p_partkey, array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS titled FROM part")
 steps("ngrams", "part", [("Ngrammer", {"column": "p_type", "n": 2, "outputColumn": "grams"}), ("ArrayJoiner", {"column": "grams", "separator": "|", "outputColumn": "joined"})], ["p_partkey", "joined"], "WITH w AS (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part) SELECT p_partkey, array_to_string(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), '|') AS joined FROM w")
-steps("simplify_exact", "part", [("SimplifyText", {"column": "p_type", "stopWords": ["tin", "steel"], "sort": True, "outputColumn": "simple"})], ["p_partkey", "simple"], "SELECT p_partkey, array_to_string(list_sort(list_filter(string_split(lower(p_type), ' '), lambda w: w NOT IN ('tin', 'steel'))), ' ') AS simple FROM part")
+steps("simplify", "part", [("SimplifyText", {"column": "p_type", "stopWords": ["tin", "steel"], "sort": True, "outputColumn": "simple"})], ["p_partkey", "simple"], "SELECT p_partkey, array_to_string(list_sort(list_filter(string_split(lower(p_type), ' '), lambda w: w NOT IN ('tin', 'steel'))), ' ') AS simple FROM part")
 steps("html", "part", [("HtmlStripper", {"column": "h", "outputColumn": "plain"})], ["p_partkey", "plain"], "SELECT p_partkey, p_name || ' & ' || p_brand || ' <' || p_size AS plain FROM part", lambda df: df.select("p_partkey", F.concat(F.lit("<html><script>var a = '<p>';</script><p class='x'>"), F.col("p_name"), F.lit("&nbsp;&amp;</p>\n<b>"), F.col("p_brand"), F.lit("</b> &lt;"), F.col("p_size"), F.lit("<style>p {}</style></html>")).alias("h")))
 steps("multi_find_replace", "orders", [("MultiColumnFindReplace", {"columns": ["o_orderstatus", "o_orderpriority"], "mapping": [{"from": "F", "to": "f"}, {"from": "URGENT", "to": "now"}]}), ("UnicodeNormalizer", {"column": "u", "form": "NFC"}), ("StemText", {"column": "words", "outputColumn": "stem"}), ("LemmatizeText", {"column": "words", "outputColumn": "lemma"}), ("SentimentAnalyzer", {"column": "mood", "outputColumn": "mood"})], ["o_orderkey", "o_orderstatus", "o_orderpriority", "u", "stem", "lemma", "mood"], "SELECT o_orderkey, replace(o_orderstatus, 'F', 'f') AS o_orderstatus, replace(replace(o_orderpriority, 'F', 'f'), 'URGENT', 'now') AS o_orderpriority, nfc_normalize('e' || chr(769) || o_orderkey) AS u, 'table run city' AS stem, 'tables running cities' AS lemma, CASE WHEN o_orderstatus = 'F' THEN CAST(-1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS mood FROM orders", lambda df: df.withColumn("u", F.concat(F.lit("é"), F.col("o_orderkey"))).withColumn("words", F.lit("tables running cities")).withColumn("mood", F.when(F.col("o_orderstatus") == "F", "this is wrong").otherwise("a great success")))
 
 # --- more identifiers ---
-steps("countries_phones_exact", "nation", [("CountryNormalizer", {"column": "n_name", "outputColumn": "code"}), ("PhoneFormatter", {"column": "phone", "country": "FR", "outputColumn": "intl"})], ["n_nationkey", "code", "intl"], "SELECT n_nationkey, CASE n_name " + " ".join(f"WHEN '{k.upper()}' THEN '{v}'" for k, v in {"france": "FR", "germany": "DE", "united states": "US", "united kingdom": "GB", "japan": "JP", "china": "CN", "india": "IN", "brazil": "BR", "canada": "CA", "kenya": "KE", "egypt": "EG", "russia": "RU", "peru": "PE"}.items()) + " END AS code, '+331990012' || (n_nationkey + 10) AS intl FROM nation", lambda df: df.withColumn("phone", F.concat(F.lit("01 99 00 12 "), (F.col("n_nationkey") + 10))))
+steps("countries_phones", "nation", [("CountryNormalizer", {"column": "n_name", "outputColumn": "code"}), ("PhoneFormatter", {"column": "phone", "country": "FR", "outputColumn": "intl"})], ["n_nationkey", "code", "intl"], "SELECT n_nationkey, CASE n_name " + " ".join(f"WHEN '{k.upper()}' THEN '{v}'" for k, v in {"france": "FR", "germany": "DE", "united states": "US", "united kingdom": "GB", "japan": "JP", "china": "CN", "india": "IN", "brazil": "BR", "canada": "CA", "kenya": "KE", "egypt": "EG", "russia": "RU", "peru": "PE"}.items()) + " END AS code, '+331990012' || (n_nationkey + 10) AS intl FROM nation", lambda df: df.withColumn("phone", F.concat(F.lit("01 99 00 12 "), (F.col("n_nationkey") + 10))))
 AGENTS = {"Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0 Safari/537.36 Edg/120.0": ("Edge", "Windows", "desktop"), "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 Version/17.0 Mobile/15E148 Safari/604.1": ("Safari", "iOS", "mobile"), "Mozilla/5.0 (X11; Linux x86_64; rv:120.0) Gecko/20100101 Firefox/120.0": ("Firefox", "Linux", "desktop"), "examplebot/2.1 (crawler)": (None, None, "robot"), "Mozilla/5.0 (Linux; Android 14) AppleWebKit/537.36 Chrome/120.0 Mobile Safari/537.36": ("Chrome", "Android", "mobile")}
 _AGENT = lambda: F.get(F.array(*[F.lit(a) for a in AGENTS]), F.pmod(F.col("c_custkey"), F.lit(5)).cast("int"))
 steps("user_agents", "customer", [("UserAgentParser", {"column": "ua"})], ["c_custkey", "ua_browser", "ua_os", "ua_type"], "SELECT c_custkey, " + ", ".join("CASE c_custkey % 5 " + " ".join(f"WHEN {i} THEN " + (f"'{v[k]}'" if v[k] else "NULL") for i, v in enumerate(AGENTS.values())) + f" END AS ua_{n}" for k, n in enumerate(("browser", "os", "type"))) + " FROM customer", lambda df: df.withColumn("ua", _AGENT()))

@@ -26,8 +26,8 @@ def p1_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = [F.col("entity").alias("provider"), F.date_format("day", "yyyy-MM-dd").alias("day")]
     for w in (7, 30):
         out += [F.col(f"{m}_{w}d").cast("bigint").alias(f"{m}_{w}d") for m in ("calls", "prompt_tokens")]
-        out.append(F.round(F.col(f"cost_usd_{w}d").cast("double"), 8).alias(f"cost_usd_{w}d"))
-        out += [F.round(f"{m}_avg_{w}d", 8).alias(f"{m}_avg_{w}d") for m in ("calls", "prompt_tokens", "cost_usd")]
+        out.append(F.round(F.col(f"cost_usd_{w}d").cast("double"), 12).alias(f"cost_usd_{w}d"))
+        out += [F.round(f"{m}_avg_{w}d", 12).alias(f"{m}_avg_{w}d") for m in ("calls", "prompt_tokens", "cost_usd")]
     return t.select(*out)
 
 
@@ -49,10 +49,10 @@ w AS (SELECT provider, strftime(day, '%Y-%m-%d') AS day, least(7, date_diff('day
 """
 P1_ROLLING_SQL = (
     P1_BASE
-    + """SELECT provider, day, CAST(c7 AS BIGINT) AS calls_7d, CAST(t7 AS BIGINT) AS prompt_tokens_7d, round(CAST(u7 AS DOUBLE), 8) AS cost_usd_7d,
- round(CAST(c7 AS DOUBLE) / n7, 8) AS calls_avg_7d, round(CAST(t7 AS DOUBLE) / n7, 8) AS prompt_tokens_avg_7d, round(CAST(u7 AS DOUBLE) / n7, 8) AS cost_usd_avg_7d,
- CAST(c30 AS BIGINT) AS calls_30d, CAST(t30 AS BIGINT) AS prompt_tokens_30d, round(CAST(u30 AS DOUBLE), 8) AS cost_usd_30d,
- round(CAST(c30 AS DOUBLE) / n30, 8) AS calls_avg_30d, round(CAST(t30 AS DOUBLE) / n30, 8) AS prompt_tokens_avg_30d, round(CAST(u30 AS DOUBLE) / n30, 8) AS cost_usd_avg_30d FROM w"""
+    + """SELECT provider, day, CAST(c7 AS BIGINT) AS calls_7d, CAST(t7 AS BIGINT) AS prompt_tokens_7d, round(CAST(u7 AS DOUBLE), 12) AS cost_usd_7d,
+ round(CAST(c7 AS DOUBLE) / n7, 12) AS calls_avg_7d, round(CAST(t7 AS DOUBLE) / n7, 12) AS prompt_tokens_avg_7d, round(CAST(u7 AS DOUBLE) / n7, 12) AS cost_usd_avg_7d,
+ CAST(c30 AS BIGINT) AS calls_30d, CAST(t30 AS BIGINT) AS prompt_tokens_30d, round(CAST(u30 AS DOUBLE), 12) AS cost_usd_30d,
+ round(CAST(c30 AS DOUBLE) / n30, 12) AS calls_avg_30d, round(CAST(t30 AS DOUBLE) / n30, 12) AS prompt_tokens_avg_30d, round(CAST(u30 AS DOUBLE) / n30, 12) AS cost_usd_avg_30d FROM w"""
 )
 P1_FOUND_SQL = P1_BASE + "SELECT provider, day AS quiet_day FROM w WHERE c7 = 0"
 
@@ -302,6 +302,27 @@ def p6_processors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p6_table(spark, sf_dir, "processor")
 
 
+P6_FOUND_SQL = r"""WITH j AS (SELECT coalesce(studio_node, '') AS n, coalesce(record_kind, '') AS k, file_seq, CASE WHEN json_valid(b) THEN b END AS b FROM (SELECT *, regexp_extract(raw, '(?s)\{.*\}') AS b FROM log_lines WHERE file_seq IS NOT NULL)),
+f AS (SELECT *, lag(file_seq) OVER (PARTITION BY n, k ORDER BY file_seq) AS prev FROM (SELECT DISTINCT n, k, file_seq FROM j)),
+e AS (SELECT n, k, file_seq, x.key AS field, x.value AS v, CASE x.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM j, json_each(j.b) AS x WHERE b IS NOT NULL AND b <> ''),
+c AS (SELECT n, k, file_seq, field, kind, count(*) AS c FROM e GROUP BY ALL),
+t AS (SELECT n, k, file_seq, field, max(struct_pack(c := CASE WHEN kind IS NULL THEN -1 ELSE c END, a := CASE kind WHEN 'array' THEN 5 WHEN 'boolean' THEN 4 WHEN 'number' THEN 3 WHEN 'object' THEN 2 ELSE 1 END, kind := kind)).kind AS kind FROM c GROUP BY ALL),
+b AS (SELECT f.n, f.k, f.file_seq, f.prev, t.field, t.kind FROM f JOIN t ON t.n = f.n AND t.k = f.k AND t.file_seq = f.prev),
+a AS (SELECT f.n, f.k, f.file_seq, f.prev, t.field, t.kind FROM f JOIN t ON t.n = f.n AND t.k = f.k AND t.file_seq = f.file_seq WHERE f.prev IS NOT NULL),
+gone AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.n = b.n AND a.k = b.k AND a.file_seq = b.file_seq AND a.field = b.field)),
+fresh AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.n = b.n AND a.k = b.k AND a.file_seq = b.file_seq AND a.field = b.field)),
+s1 AS (SELECT n, k, file_seq, field, v ->> '$' AS s FROM e WHERE kind IN ('string', 'number', 'boolean') UNION ALL SELECT n, k, file_seq, field, x.atom ->> '$' FROM e, json_tree(e.v) AS x WHERE kind IN ('object', 'array') AND x.type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
+s2 AS (SELECT DISTINCT n, k, file_seq, field, s FROM (SELECT * FROM s1 WHERE NOT (ltrim(s)[1] IN ('{', '[') AND json_valid(s)) UNION ALL SELECT n, k, file_seq, field, x.atom ->> '$' FROM (SELECT * FROM s1 WHERE ltrim(s)[1] IN ('{', '[') AND json_valid(s)) AS y, json_tree(y.s) AS x WHERE x.type NOT IN ('OBJECT', 'ARRAY', 'NULL'))),
+o AS (SELECT g.n, g.k, g.file_seq, g.field, s2.s FROM gone g JOIN s2 ON s2.n = g.n AND s2.k = g.k AND s2.file_seq = g.prev AND s2.field = g.field),
+w AS (SELECT g.n, g.k, g.file_seq, g.field, s2.s FROM fresh g JOIN s2 ON s2.n = g.n AND s2.k = g.k AND s2.file_seq = g.file_seq AND s2.field = g.field),
+p AS (SELECT o.n, o.k, o.file_seq, o.field AS old, w.field AS new, count(*) AS c FROM o JOIN w USING (n, k, file_seq, s) GROUP BY ALL),
+q AS (SELECT p.*, c / least(x, y) AS share, c / (x + y - c) AS jac FROM p JOIN (SELECT n, k, file_seq, field AS old, count(*) AS x FROM o GROUP BY ALL) USING (n, k, file_seq, old) JOIN (SELECT n, k, file_seq, field AS new, count(*) AS y FROM w GROUP BY ALL) USING (n, k, file_seq, new)),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, k, file_seq, old ORDER BY share DESC, jac DESC, c DESC, new) AS ro, row_number() OVER (PARTITION BY n, k, file_seq, new ORDER BY share DESC, jac DESC, c DESC, old) AS rn FROM q WHERE share >= 0.5) WHERE ro = 1 AND rn = 1)
+SELECT n AS studio_node, k AS record_kind, CAST(file_seq AS BIGINT) AS file_seq, 'renamed' AS change_kind, old AS old_field, new AS new_field FROM m
+UNION ALL SELECT n, k, file_seq, 'added', '', field FROM fresh WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.n = fresh.n AND m.k = fresh.k AND m.file_seq = fresh.file_seq AND m.new = fresh.field)
+UNION ALL SELECT n, k, file_seq, 'removed', field, '' FROM gone WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.n = gone.n AND m.k = gone.k AND m.file_seq = gone.file_seq AND m.old = gone.field)
+UNION ALL SELECT a.n, a.k, a.file_seq, 'type_changed', a.field, a.field FROM a JOIN b ON a.n = b.n AND a.k = b.k AND a.file_seq = b.file_seq AND a.field = b.field WHERE a.kind <> b.kind"""
+
 QUERIES = {
     "p1_found": (p1_found, P1_FOUND_SQL),
     "p1_rolling": (p1_rolling, P1_ROLLING_SQL),
@@ -320,7 +341,7 @@ QUERIES = {
     "p4_recipes": (_flat("recipes"), None),
     "p4_steps": (_flat("recipes.steps"), None),
     "p4_zones": (_flat("zones"), None),
-    "p6_found": (p6_found, None),
+    "p6_found": (p6_found, P6_FOUND_SQL),
     "p6_llm_calls": (p6_llm_calls, None),
     "p6_processors": (p6_processors, None),
 }
