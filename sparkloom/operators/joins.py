@@ -371,28 +371,38 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, unit: str
     return F.lit(2 * EARTH / UNITS[unit]) * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
 
 
+def _point_cells(points: DataFrame, lat: str, lon: str, step: float, near: int = 0) -> DataFrame:
+    """Points with band ``_y`` and cell ``_x``, for each of the ``near`` bands and cells around them.
+    A band has as many cells as stay wide enough for ``step`` degrees at its latitude, one at the poles."""
+    y = F.floor(F.col(lat) / step).cast("bigint")
+    far = F.greatest(F.abs("_y"), F.abs(F.col("_y") + 1)) * step + step  # no partner of a point in the band is nearer a pole
+    n_lon = F.when(far >= 89.99, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.cos(F.radians(far)) * (360.0 / step)))).cast("bigint")
+    own = F.floor((F.col(lon) + 180.0) * F.col("_n") / 360.0).cast("bigint")
+    xs = F.array_distinct(F.array(*[F.pmod(own + i, F.col("_n")) for i in range(-near, near + 1)]))
+    bands = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_y", F.explode(F.sequence(y - near, y + near)))
+    return bands.withColumn("_n", n_lon).withColumn("_x", F.explode(xs)).drop("_n")
+
+
 def within_distance(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], distance: float, unit: str = "METER") -> DataFrame:
     """Pairs of points no farther apart than ``distance``, by cells of latitude and longitude.
 
-    Cells are as high as the distance; each right point is put in its own and the neighbouring cells,
-    as many in longitude as the distance spans at its latitude. Columns are prefixed ``l_``, ``r_``.
+    Bands of latitude are as high as the distance; each is cut into as many cells as stay as wide as
+    the distance spans at its latitude, one at the poles. Each right point is put in at most nine
+    cells, its own and the neighbouring ones. Only distinct points are compared, their rows are joined
+    to the pairs found. Columns are prefixed ``l_``, ``r_``.
     """
     metres = distance * UNITS[unit]
-    step = max(math.degrees(metres / EARTH), 1e-6)
+    step = max(math.degrees(metres / EARTH), 1e-6) * (1 + 1e-9)
     l = left.withColumnsRenamed({c: f"l_{c}" for c in left.columns})
     r = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns})
-    la, lo = (F.col(quoted("l_" + c)).cast("double") for c in left_at)
-    ra, ro = (F.col(quoted("r_" + c)).cast("double") for c in right_at)
-    n_lon = max(1, math.ceil(360.0 / step) if step > 1e-3 else 360_000)
-    cell = lambda lon: F.floor((lon + 180.0) / F.lit(360.0 / n_lon)).cast("bigint")
-    l = l.withColumn("_y", F.floor(la / step).cast("bigint")).withColumn("_x", F.pmod(cell(lo), F.lit(n_lon)))
-    width = F.least(F.lit(180.0), F.lit(step) / F.greatest(F.cos(F.radians(F.least(F.abs(ra) + step, F.lit(89.99)))), F.lit(1e-4)))
-    span = F.ceil(width / F.lit(360.0 / n_lon)).cast("bigint")
-    xs = F.array_distinct(F.transform(F.sequence(cell(ro) - span, cell(ro) + span), lambda x: F.pmod(x, F.lit(n_lon))))
-    y = F.floor(ra / step).cast("bigint")
-    r = r.withColumn("_x", F.explode(xs)).withColumn("_y", F.explode(F.sequence(y - 1, y + 1)))
-    d = haversine(la, lo, ra, ro, unit)
-    return l.join(r, ["_x", "_y"]).withColumn("distance", d).where(F.col("distance") <= distance).drop("_x", "_y")
+    columns = [F.col(quoted(c)) for c in (*l.columns, *r.columns)]
+    l = l.withColumns({k: F.col(quoted("l_" + c)).cast("double") for k, c in zip(("_la", "_lo"), left_at, strict=True)})
+    r = r.withColumns({k: F.col(quoted("r_" + c)).cast("double") for k, c in zip(("_ra", "_ro"), right_at, strict=True)})
+    a = _point_cells(l.select("_la", "_lo").distinct(), "_la", "_lo", step)
+    b = _point_cells(r.select("_ra", "_ro").distinct(), "_ra", "_ro", step, 1)
+    d = haversine(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro"), unit)
+    found = a.join(b, ["_x", "_y"]).withColumn("distance", d).where(F.col("distance") <= distance).drop("_x", "_y")
+    return found.join(l, ["_la", "_lo"]).join(r, ["_ra", "_ro"]).select(*columns, "distance")
 
 
 def beyond_distance(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], distance: float, unit: str = "METER") -> DataFrame:
