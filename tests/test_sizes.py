@@ -24,3 +24,11 @@ def test_points_near_the_poles_take_few_cells(spark, unit):
         assert set(got) == want and len(got) == len(want)
     cells = joins._point_cells(df, "lat", "lon", math.degrees(1 / joins.EARTH), 1).groupBy("id").count().collect()
     assert len(cells) == len(known) and max(r["count"] for r in cells) <= 9
+
+
+def test_points_of_equal_place_come_out_row_by_row(spark):
+    df = spark.createDataFrame([(i, 10.0 if i < 6 else 10.4, 179.9 if i % 2 else -179.9) for i in range(8)], "id int, lat double, lon double")
+    plan = joins.within_distance(df, df, ("lat", "lon"), ("lat", "lon"), 48.0, "KILOMETER")
+    got = sorted((r.l_id, r.r_id) for r in plan.collect())
+    assert got == sorted([(a, b) for a in range(6) for b in range(6)] + [(a, b) for a in (6, 7) for b in (6, 7)] + [p for a in range(6) for b in (6, 7) if a % 2 == b % 2 for p in ((a, b), (b, a))])
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [_") == 2  # both sides' points are compared once each
