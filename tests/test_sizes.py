@@ -7,7 +7,7 @@ import pytest
 from sparkloom.operators import joins
 
 
-@pytest.mark.parametrize("unit", ["KILOMETER", "NAUTICAL_MILE", "METER", "YARD", "FOOT"])
+@pytest.mark.parametrize("unit", ["KILOMETER", "NAUTICAL_MILE", "METER", "YARD", "FOOT", "MILE"])
 def test_points_near_the_poles_take_few_cells(spark, unit):
     points = [(i, lat, lon) for i, (lat, lon) in enumerate([(la, lo) for la in (-90.0, -89.9, -60.2, -0.1, 0.2, 45.0, 89.75, 89.99, 90.0) for lo in (-180.0, -179.9, -90.0, -0.2, 0.0, 0.3, 90.0, 179.8, 180.0)])]
     points += [(100, 0.2, 0.3), (101, 0.2, 0.3), (102, None, 1.0), (103, 1.0, None)]
