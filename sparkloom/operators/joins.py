@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from sparkloom.errors import UnsupportedError, ValidationError
 from sparkloom.functions.formula import quoted
@@ -428,13 +428,14 @@ def geo_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, kin
     Only shapes whose bounding boxes meet are compared. A box is put in the at most four cells it
     meets in a grid as coarse as the box is large, and in the cells of all coarser grids; two boxes
     meet in the cell of the coarser of their grids that holds the least corner of what they share.
-    DISJOINT is a product without the pairs that meet.
+    DISJOINT is a product by its nature: pairs whose boxes are apart need no more than the boxes, the
+    others are compared once for each two distinct shapes.
     """
     l = left.withColumnsRenamed({c: f"l_{c}" for c in left.columns})
     r = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns})
     a, b = "l_" + left_on, "r_" + right_on
     if kind == "DISJOINT":
-        return l.crossJoin(r).where(geo_relation(kind)(F.col(quoted(a)), F.col(quoted(b))))
+        return _disjoint(l, r, a, b)
     l, r = _boxed(l, a, "_a"), _boxed(r, b, "_b")
     side = lambda p: F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0"), F.lit(1e-6))
     level = lambda p: F.ceil(F.log2(side(p))).cast("int")
@@ -456,6 +457,31 @@ def geo_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, kin
     return pairs.where(geo_relation(kind)(F.col(quoted(a)), F.col(quoted(b))))
 
 
+#: Pairs of rows that one task of a product makes.
+PAIRS = 5_000_000
+
+
+def _product(l: DataFrame, r: DataFrame, pairs: int) -> DataFrame:
+    """All pairs of rows, the longer side spread so that a task makes about ``pairs`` of them."""
+    n_l, n_r = l.count(), r.count()
+    tasks = max(1, min(4000, max(n_l, n_r), -(-n_l * n_r // pairs)))
+    return l.repartition(tasks).crossJoin(r.repartition(1)) if n_l >= n_r else r.repartition(tasks).crossJoin(l.repartition(1))
+
+
+def _disjoint(l: DataFrame, r: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of shapes without a point in common. A shape without a box, as one that holds no
+    coordinates, is compared with all others."""
+    columns = [F.col(quoted(c)) for c in (*l.columns, *r.columns)]
+    boxed = lambda df, c, p: df.where(F.col(quoted(c)).isNotNull()).withColumn(p, box_udf(F.col(quoted(c)))).select("*", *[F.col(f"{p}.{k}").alias(p + k) for k in ("x0", "y0", "x1", "y1")]).drop(p)
+    l, r = boxed(l, a, "_a"), boxed(r, b, "_b")
+    apart = F.coalesce((F.col("_ax1") < F.col("_bx0")) | (F.col("_bx1") < F.col("_ax0")) | (F.col("_ay1") < F.col("_by0")) | (F.col("_by1") < F.col("_ay0")), F.lit(False))
+    found = _product(l, r, PAIRS).where(apart).select(*columns)
+    shapes = lambda df, c, p: df.select(F.col(quoted(c)).alias(f"{p}s"), *[f"{p}{k}" for k in ("x0", "y0", "x1", "y1")]).distinct()
+    near = _product(shapes(l, a, "_a"), shapes(r, b, "_b"), PAIRS // 20).where(~apart).select("_as", "_bs")
+    near = near.where(geo_relation("DISJOINT")(F.col("_as"), F.col("_bs")))
+    return found.unionByName(near.join(l, F.col("_as") == F.col(quoted(a))).join(r, F.col("_bs") == F.col(quoted(b))).select(*columns))
+
+
 def rings(wkt: str | None) -> list[list[tuple[float, float]]]:
     """Rings of a POLYGON, points of a LINESTRING, or the point of a POINT in WKT; shapes of several
     parts are refused."""
@@ -491,6 +517,17 @@ def contains_udf(area: pd.Series, point: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="boolean")
 
 
+@F.pandas_udf(StructType([StructField(k, DoubleType()) for k in ("x0", "y0", "x1", "y1")]))
+def box_udf(shape: pd.Series) -> pd.DataFrame:
+    """The bounding box of a WKT shape; nulls where it has no coordinates or one that is no number."""
+    out = []
+    for s in shape:
+        xy = [p for ring in rings(s) for p in ring]
+        known = xy and all(v == v for p in xy for v in p)
+        out.append([*map(min, zip(*xy, strict=True)), *map(max, zip(*xy, strict=True))] if known else [None] * 4)
+    return pd.DataFrame(out, columns=["x0", "y0", "x1", "y1"], dtype="float64")
+
+
 def _cross(o, a, b) -> float:
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 

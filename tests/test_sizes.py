@@ -3,6 +3,8 @@
 import math
 
 import pytest
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from sparkloom.operators import joins
 
@@ -32,3 +34,16 @@ def test_points_of_equal_place_come_out_row_by_row(spark):
     got = sorted((r.l_id, r.r_id) for r in plan.collect())
     assert got == sorted([(a, b) for a in range(6) for b in range(6)] + [(a, b) for a in (6, 7) for b in (6, 7)] + [p for a in range(6) for b in (6, 7) if a % 2 == b % 2 for p in ((a, b), (b, a))])
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [_") == 2  # both sides' points are compared once each
+
+
+def test_disjoint_shapes_are_told_by_their_boxes(spark, monkeypatch):
+    shapes = [f"POLYGON(({x} {x}, {x + w} {x}, {x + w} {x + w}, {x} {x + w}, {x} {x}))" for x, w in ((0, 10), (10, 1), (-5, 2), (12, 0.5))]
+    shapes += ["POLYGON((0 0, 9 0, 0 9, 0 0))", "POLYGON((9 9, 9 5, 5 9, 9 9))", "LINESTRING(0 20, 20 0)", "POINT(.5 -3e0)", "POINT(0 0)", "none", "", "POLYGON(", "POINT(nan 1)"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([*shapes, *shapes, None])], "id int, s string")
+    want = sorted((i, j) for i, a in enumerate(shapes * 2) for j, b in enumerate(shapes * 2) if joins.relation(a, b, "DISJOINT"))
+    assert sorted((r.l_id, r.r_id) for r in joins.geo_join(df, df, "s", "s", "DISJOINT").collect()) == want
+    far = df.where("id < 4")
+    monkeypatch.setattr(joins, "geo_relation", lambda kind: lambda a, b: F.when(a == b, False).otherwise(F.raise_error(F.lit("compared")).cast("boolean")))
+    assert joins.geo_join(far.where("id > 1"), far.where("id > 1"), "s", "s", "DISJOINT").count() == 2
+    with pytest.raises(PythonException, match="several parts"):
+        joins.geo_join(spark.createDataFrame([(1, "MULTIPOINT((1 1),(2 2))")], "id int, s string"), far, "s", "s", "DISJOINT").count()
