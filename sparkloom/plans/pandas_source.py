@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import inspect
+import re
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -721,8 +722,7 @@ class Compiler:
         return replace(s, col=F.last(s.col, ignorenulls=True).over(w))
 
     def shared_bfill(self, s):
-        w = Window.partitionBy().orderBy(*s.frame.sorted()).rowsBetween(0, Window.unboundedFollowing)
-        return replace(s, col=F.first(s.col, ignorenulls=True).over(w))
+        return replace(s, col=_next_known(s.frame, s.col))
 
     def shared_interpolate(self, s, method="linear"):
         """Gaps between two values on a line between them, those after the last value kept at it."""
@@ -730,10 +730,10 @@ class Compiler:
             raise UnsupportedError(f"interpolate method={method!r}")
         w = Window.partitionBy().orderBy(*s.frame.sorted())
         n, c = F.row_number().over(w), s.col.cast("double")
-        back, fore = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        back, fore = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, Window.partitionBy().orderBy(F.desc("__n"))))
         df = s.frame.df.withColumns({"__c": c, "__n": n}).withColumn("__at", F.when(F.col("__c").isNotNull(), F.col("__n")))
-        a, b = F.last("__c", ignorenulls=True).over(back), F.first("__c", ignorenulls=True).over(fore)
-        pa, pb = F.last("__at", ignorenulls=True).over(back), F.first("__at", ignorenulls=True).over(fore)
+        a, b = F.last("__c", ignorenulls=True).over(back), F.last("__c", ignorenulls=True).over(fore)
+        pa, pb = F.last("__at", ignorenulls=True).over(back), F.last("__at", ignorenulls=True).over(fore)
         line = F.when(F.col("__c").isNotNull(), F.col("__c")).when(b.isNotNull(), a + (b - a) * (F.col("__n") - pa) / (pb - pa)).otherwise(a)
         made = df.withColumn("__line", line).drop("__c", "__n", "__at")
         return Filled(replace(s.frame, df=made), F.col("__line"), s.name)
@@ -850,8 +850,20 @@ def _over(s: Series, kind: str, w, n: int | None, method: str) -> Column:
 
 def _flip(c: Column) -> Column:
     text = c._jc.toString() if hasattr(c, "_jc") else str(c)
-    bare = text.split(" ")[0].strip("`'")
-    return F.col(quoted(bare)).asc_nulls_first() if " DESC" in text else F.col(quoted(bare)).desc_nulls_first()
+    bare, down, first = re.fullmatch(r"(.*?)(?: (?:ASC|(DESC))(?: NULLS (?:LAST|(FIRST)))?)?", text, re.DOTALL).groups()
+    col = F.col(quoted(bare[1:-1].replace("``", "`") if bare[:1] == "`" else bare))
+    if down:
+        return col.asc_nulls_last() if first else col.asc_nulls_first()
+    return col.desc_nulls_last() if first else col.desc_nulls_first()
+
+
+def _next_known(f: Frame, c: Column) -> Column:
+    """The first value at or after each row. A frame that ends at the last row would be gone through
+    again for every row, so that it is a running frame over the rows in reverse."""
+    order = [_flip(x) if isinstance(x, Column) else F.desc(x) for x in f.order if isinstance(x, Column) or x in f.df.columns]
+    if not order:
+        return F.first(c, ignorenulls=True).over(Window.partitionBy().orderBy(F.lit(0)).rowsBetween(0, Window.unboundedFollowing))
+    return F.last(c, ignorenulls=True).over(Window.partitionBy().orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def _bin_expr(s: Series, mode: str, n: Any, labels: Any) -> Column:

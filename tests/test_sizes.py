@@ -7,6 +7,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from sparkloom.operators import joins
+from sparkloom.plans.pandas_source import compile_source
 
 
 @pytest.mark.parametrize("unit", ["KILOMETER", "NAUTICAL_MILE", "METER", "YARD", "FOOT", "MILE"])
@@ -47,3 +48,22 @@ def test_disjoint_shapes_are_told_by_their_boxes(spark, monkeypatch):
     assert joins.geo_join(far.where("id > 1"), far.where("id > 1"), "s", "s", "DISJOINT").count() == 2
     with pytest.raises(PythonException, match="several parts"):
         joins.geo_join(spark.createDataFrame([(1, "MULTIPOINT((1 1),(2 2))")], "id int, s string"), far, "s", "s", "DISJOINT").count()
+
+
+def test_next_known_values_are_running_frames(spark):
+    rows = [(i, [None, float(i), None][i % 3], (i * 7) % 10) for i in range(10)] + [(None, 50.0, 20), (None, None, 21)]
+    df = spark.createDataFrame(rows, "`a b` int, v double, p int")
+    code = "import pandas as pd\nt = pd.read_csv('t.csv')\nt = t.sort_values(['a b', 'p'], ascending=[False, True])\nt['up'] = t['v'].bfill()\nt['line'] = t['v'].interpolate()\nu = t.bfill()\n"
+    made = compile_source(code, {"t": df})
+    got = {(r["a b"], r.p): (r.up, r.line) for r in made["t"].collect()}
+    asked = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    for k, (a, v, p) in enumerate(asked):
+        after = [(j, x[1]) for j, x in enumerate(asked) if j >= k and x[1] is not None]
+        before = [(j, x[1]) for j, x in enumerate(asked) if j <= k and x[1] is not None]
+        up, line = got[a, p]
+        assert up == (after[0][1] if after else None)
+        (i, x), (j, y) = (before or [(k, None)])[-1], (after or [(k, None)])[0]
+        assert line == v if v is not None else (line is None if not before else line == x if not after else abs(line - (x + (y - x) * (k - i) / (j - i))) < 1e-9)
+    assert sorted(r.v is None for r in made["u"].collect()) == [False] * 11 + [True]
+    for name in made:
+        assert "unboundedfollowing" not in made[name]._jdf.queryExecution().optimizedPlan().toString().lower()
