@@ -4,8 +4,9 @@ A solution is a set of containers; its genes are whole containers. Crossover inj
 containers of one parent into the other, removes those of the other that hold an injected text again,
 and best-fits the texts this displaced. Texts are dealt at random into shards of bounded size, each
 solved by several islands with populations of their own; between epochs the elite of each island
-moves on to the next. A shard that best-fit packs into the least number of containers possible is at
-its optimum and not evolved. What remains in poorly filled containers of all shards is dealt and
+moves on to the next. Only a shard whose best-fit no solution can surpass in fitness is not evolved:
+the least number of containers possible is not enough for that, as its space may still be gathered
+in fewer of them. What remains in poorly filled containers of all shards is dealt and
 solved once more, as often as it still shrinks.
 """
 
@@ -58,6 +59,12 @@ def fitness(bins: Bins, sizes: list[int], capacity: int) -> float:
     return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def highest(sizes: list[int], capacity: int) -> float:
+    """Fitness that no solution surpasses: the least number of containers, all but one of them full."""
+    n, rest = divmod(sum(sizes), capacity)
+    return (n + (rest / capacity) ** 2) / max(1, n + (rest > 0))
+
+
 def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
     """``a`` with well-filled containers of ``b`` injected."""
     fill = [sum(sizes[i] for i in x) for x in b]
@@ -117,16 +124,16 @@ def _bins(codes) -> Bins:
     return list(out.values())
 
 
-ISLAND = "pack_name string, capacity int, shard bigint, island int, sizes array<int>, codes array<int>, fit double, least boolean"
-NAMES = ["pack_name", "capacity", "shard", "island", "sizes", "codes", "fit", "least"]
+ISLAND = "pack_name string, capacity int, shard bigint, island int, sizes array<int>, codes array<int>, fit double, solved boolean"
+NAMES = ["pack_name", "capacity", "shard", "island", "sizes", "codes", "fit", "solved"]
 
 
 def _row(pack: str, cap: int, shard: int, island: int, sizes: list[int], bins: Bins) -> tuple:
-    return pack, cap, shard, island, sizes, _codes(bins, len(sizes)), fitness(bins, sizes, cap), len(bins) <= -(-sum(sizes) // cap)
+    return pack, cap, shard, island, sizes, _codes(bins, len(sizes)), (fit := fitness(bins, sizes, cap)), fit >= highest(sizes, cap) - 1e-12
 
 
 def _first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Best-fit of each shard, its sizes being in falling order, and whether fewer containers can't do."""
+    """Best-fit of each shard, its sizes being in falling order, and whether no solution can be fitter."""
     for batch in batches:
         rows = []
         for pack, cap, shard, sizes in zip(*[batch[c] for c in ("pack_name", "capacity", "shard", "sizes")], strict=True):
@@ -160,10 +167,10 @@ def _level(items: DataFrame, counts: dict[str, int], seed: int) -> DataFrame:
     # few and slow rows: more tasks than their bytes would ask for
     spread = lambda df, n: df.repartition(max(8, min(4000, n // 8)), *keys, *(["island"] if "island" in df.columns else []))
     first = written(spread(base, sum(parts.values())).mapInPandas(_first_fit, ISLAND), "pack-first")
-    solved = first.where("least")
-    hard = first.where("not least").count()
+    solved = first.where("solved")
+    hard = first.where("not solved").count()
     if hard:
-        state = first.where("not least").withColumn("elites", F.array("codes")).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))).select(*keys, "sizes", "island", "elites")
+        state = first.where("not solved").withColumn("elites", F.array("codes")).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))).select(*keys, "sizes", "island", "elites")
         for e in range(EPOCHS):
             done = written(spread(state, hard * ISLANDS).mapInPandas(_epoch(e), ISLAND), "pack-epoch")
             if e + 1 < EPOCHS:
