@@ -12,7 +12,7 @@ from sparkloom.functions import quality
 from sparkloom.operators import joins, relational
 from sparkloom.plans.flow import Flow, register_callable
 from sparkloom.plans.steps import compile_steps
-from sparkloom.queries.relational import POINTS, rounded
+from sparkloom.queries.relational import POINTS, place, rounded
 from sparkloom.session import checkpoint_folder
 from sparkloom.session import table as T
 from sparkloom.sources import io
@@ -175,7 +175,7 @@ _fuzzy("COSINE", 0.08, (f"1 - len(list_intersect({_A}, {_B})) / sqrt(len({_A}) *
 
 def _text_points(spark: SparkSession, d: str, name: str) -> DataFrame:
     k = F.col("c_custkey")
-    lat, lon = ((k * 7919) % 18000) / 100.0 - 90.0, ((k * 104729) % 36000) / 100.0 - 180.0
+    lat, lon = place(k)
     return T(spark, d, "customer").select(k.alias("id"), lat.alias("lat"), lon.alias("lon"), F.concat(F.lit("POINT("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")")).alias(name))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import quality
@@ -177,6 +177,13 @@ def k_nearest(spark, d):
 POINTS = "SELECT c_custkey AS id, ((c_custkey * 7919) % 18000) / 100.0 - 90.0 AS lat, ((c_custkey * 104729) % 36000) / 100.0 - 180.0 AS lon FROM customer"
 
 
+def place(key: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of POINTS. Keys are reduced before they are multiplied, which gives the same
+    remainders and does not overflow, however large the keys or narrow their type."""
+    at = lambda by, n: (key.cast("bigint") % n * by) % n / 100.0
+    return at(7919, 18000) - 90.0, at(104729, 36000) - 180.0
+
+
 @query(f"""WITH p AS ({POINTS}), q AS (SELECT a.id AS a, b.id AS b, 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km FROM p a, p b)
  SELECT a, b, round(km, 3) AS km FROM q WHERE km <= 60.0""")
 def geo_within_distance(spark, d):

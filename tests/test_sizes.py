@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import joins
 from sparkloom.plans.pandas_source import compile_source
+from sparkloom.queries import nodes, relational
 
 
 @pytest.mark.parametrize("unit", ["KILOMETER", "NAUTICAL_MILE", "METER", "YARD", "FOOT", "MILE"])
@@ -37,6 +38,19 @@ def test_points_of_equal_place_come_out_row_by_row(spark):
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [_") == 2  # both sides' points are compared once each
 
 
+@pytest.mark.parametrize("name", ["geo_within_nautical_mile"])
+def test_points_of_large_keys(spark, tmp_path, name):
+    def pairs(kind, shift):
+        folder = str(tmp_path / f"{kind}{shift}")
+        spark.range(1500).select((F.col("id") + shift).cast(kind).alias("c_custkey")).write.parquet(f"{folder}/customer.parquet")
+        return sorted((r.a - shift, r.b - shift, r.km) for r in (nodes.QUERIES | relational.QUERIES)[name][0](spark, folder).collect())
+
+    want = pairs("bigint", 0)
+    assert len(want) > 1500  # neighbours too
+    for kind, shift in (("int", 36_000), ("int", 36_000 * 50_000), ("bigint", 36_000 * 10**10), ("bigint", 36_000 * 10**14)):
+        assert pairs(kind, shift) == want
+
+
 def test_disjoint_shapes_are_told_by_their_boxes(spark, monkeypatch):
     shapes = [f"POLYGON(({x} {x}, {x + w} {x}, {x + w} {x + w}, {x} {x + w}, {x} {x}))" for x, w in ((0, 10), (10, 1), (-5, 2), (12, 0.5))]
     shapes += ["POLYGON((0 0, 9 0, 0 9, 0 0))", "POLYGON((9 9, 9 5, 5 9, 9 9))", "LINESTRING(0 20, 20 0)", "POINT(.5 -3e0)", "POINT(0 0)", "none", "", "POLYGON(", "POINT(nan 1)"]
