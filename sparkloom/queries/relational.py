@@ -188,7 +188,8 @@ def place(key: Column) -> tuple[Column, Column]:
  SELECT a, b, round(km, 3) AS km FROM q WHERE km <= 60.0""")
 def geo_within_distance(spark, d):
     k = F.col("c_custkey")
-    p = T(spark, d, "customer").select(k.alias("id"), (((k * 7919) % 18000) / 100.0 - 90.0).alias("lat"), (((k * 104729) % 36000) / 100.0 - 180.0).alias("lon"))
+    lat, lon = place(k)
+    p = T(spark, d, "customer").select(k.alias("id"), lat.alias("lat"), lon.alias("lon"))
     out = joins.within_distance(p, p, ("lat", "lon"), ("lat", "lon"), 60.0, "KILOMETER")
     return out.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.round("distance", 3).alias("km"))
 
