@@ -38,7 +38,7 @@ def test_points_of_equal_place_come_out_row_by_row(spark):
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [_") == 2  # both sides' points are compared once each
 
 
-@pytest.mark.parametrize("name", ["geo_within_nautical_mile", "geo_within_distance", "geo_within_meter", "geo_within_yard", "geo_within_foot"])
+@pytest.mark.parametrize("name", ["geo_within_nautical_mile", "geo_within_distance", "geo_within_meter", "geo_within_yard", "geo_within_foot", "geo_within_mile"])
 def test_points_of_large_keys(spark, tmp_path, name):
     def pairs(kind, shift):
         folder = str(tmp_path / f"{kind}{shift}")
