@@ -389,7 +389,8 @@ def within_distance(left: DataFrame, right: DataFrame, left_at: tuple[str, str],
     Bands of latitude are as high as the distance; each is cut into as many cells as stay as wide as
     the distance spans at its latitude, one at the poles. Each right point is put in at most nine
     cells, its own and the neighbouring ones. Only distinct points are compared, their rows are joined
-    to the pairs found. Columns are prefixed ``l_``, ``r_``.
+    to the pairs found. No side is broadcast: file sizes say little of the rows, and all pairs would be
+    made in the few tasks of the pairs found. Columns are prefixed ``l_``, ``r_``.
     """
     metres = distance * UNITS[unit]
     step = max(math.degrees(metres / EARTH), 1e-6) * (1 + 1e-9)
@@ -401,8 +402,8 @@ def within_distance(left: DataFrame, right: DataFrame, left_at: tuple[str, str],
     a = _point_cells(l.select("_la", "_lo").distinct(), "_la", "_lo", step)
     b = _point_cells(r.select("_ra", "_ro").distinct(), "_ra", "_ro", step, 1)
     d = haversine(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro"), unit)
-    found = a.join(b, ["_x", "_y"]).withColumn("distance", d).where(F.col("distance") <= distance).drop("_x", "_y")
-    return found.join(l, ["_la", "_lo"]).join(r, ["_ra", "_ro"]).select(*columns, "distance")
+    found = a.join(b.hint("merge"), ["_x", "_y"]).withColumn("distance", d).where(F.col("distance") <= distance).drop("_x", "_y")
+    return found.join(l.hint("merge"), ["_la", "_lo"]).join(r.hint("merge"), ["_ra", "_ro"]).select(*columns, "distance")
 
 
 def beyond_distance(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], distance: float, unit: str = "METER") -> DataFrame:

@@ -38,6 +38,14 @@ def test_points_of_equal_place_come_out_row_by_row(spark):
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [_") == 2  # both sides' points are compared once each
 
 
+def test_rows_near_each_other_are_not_broadcast(spark):
+    df = spark.createDataFrame([(i, 10.0 + i, 20.0) for i in range(4)], "id int, lat double, lon double")
+    pairs = joins.within_distance(df, df, ("lat", "lon"), ("lat", "lon"), 40.0, "MILE")
+    assert sorted((r.l_id, r.r_id) for r in pairs.collect()) == [(i, i) for i in range(4)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("name", ["geo_within_nautical_mile", "geo_within_distance", "geo_within_meter", "geo_within_yard", "geo_within_foot", "geo_within_mile"])
 def test_points_of_large_keys(spark, tmp_path, name):
     def pairs(kind, shift):
